@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .neardup import near_duplicates
+from .substrings import repeated_passages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +24,13 @@ def op10_near_dedup_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("th")
 
 
+def op9_substring_dedup_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), texts=False).drop("th")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate_winnowing": op7_decontaminate_winnowing,
+    "op9_substring_dedup_rlz": op9_substring_dedup_rlz,
     "op10_near_dedup_minhash": op10_near_dedup_minhash,
 }
 

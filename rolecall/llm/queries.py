@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ctw import score_texts
 from .decontaminate import contamination
 from .neardup import near_duplicates
 from .substrings import repeated_passages
@@ -28,8 +29,18 @@ def op9_substring_dedup_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), texts=False).drop("th")
 
 
+def id_remainder(n: int):
+    """crc32 of doc_id as text, modulo n; a null id has none."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op6_lm_score_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), id_remainder(10) != 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate_winnowing": op7_decontaminate_winnowing,
+    "op6_lm_score_ctw": op6_lm_score_ctw,
     "op9_substring_dedup_rlz": op9_substring_dedup_rlz,
     "op10_near_dedup_minhash": op10_near_dedup_minhash,
 }

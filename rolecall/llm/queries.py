@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ctw import score_texts
 from .decontaminate import contamination
 from .neardup import near_duplicates
+from .quality import fit, scores
 from .substrings import repeated_passages
 
 
@@ -38,9 +39,16 @@ def op6_lm_score_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), id_remainder(10) != 0)
 
 
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = fit(docs, table(spark, sf_dir, "labels"), id_remainder(3) != 1)
+    return scores(docs, network).select("doc_id", (F.coalesce(id_remainder(3), F.lit(1)) == 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate_winnowing": op7_decontaminate_winnowing,
     "op6_lm_score_ctw": op6_lm_score_ctw,
+    "op8_quality_cnn": op8_quality_cnn,
     "op9_substring_dedup_rlz": op9_substring_dedup_rlz,
     "op10_near_dedup_minhash": op10_near_dedup_minhash,
 }

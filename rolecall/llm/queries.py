@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ctw import score_texts
 from .decontaminate import contamination
+from .media import features, store
 from .neardup import near_duplicates
 from .quality import fit, scores
 from .substrings import repeated_passages
@@ -45,8 +46,13 @@ def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, network).select("doc_id", (F.coalesce(id_remainder(3), F.lit(1)) == 1).alias("held_out"), "score", "predicted")
 
 
+def op5_media_wav_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(store(table(spark, sf_dir, "documents"))).drop("marks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate_winnowing": op7_decontaminate_winnowing,
+    "op5_media_wav_peaks": op5_media_wav_peaks,
     "op6_lm_score_ctw": op6_lm_score_ctw,
     "op8_quality_cnn": op8_quality_cnn,
     "op9_substring_dedup_rlz": op9_substring_dedup_rlz,

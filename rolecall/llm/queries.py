@@ -11,6 +11,7 @@ from .ctw import score_texts
 from .decontaminate import contamination
 from .media import features, store
 from .neardup import near_duplicates
+from .pieces import encoded
 from .quality import fit, scores
 from .substrings import repeated_passages
 
@@ -50,8 +51,13 @@ def op5_media_wav_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(store(table(spark, sf_dir, "documents"))).drop("marks")
 
 
+def op4_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate_winnowing": op7_decontaminate_winnowing,
+    "op4_sentencepiece_wfst": op4_sentencepiece_wfst,
     "op5_media_wav_peaks": op5_media_wav_peaks,
     "op6_lm_score_ctw": op6_lm_score_ctw,
     "op8_quality_cnn": op8_quality_cnn,

@@ -14,6 +14,7 @@ from .neardup import near_duplicates
 from .pieces import encoded
 from .quality import fit, scores
 from .substrings import repeated_passages
+from .warc import fixity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +56,55 @@ def op4_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A second replica of the pages in which every 89th record has a changed byte,
+    every 199th is missing and every 307th stands again as an extra record of a new id."""
+    rest = pages.filter(F.col("page_id") % 199 != 7).select(
+        "page_id", "url", F.when(F.col("page_id") % 89 == 3, F.concat("html", F.lit(" "))).otherwise(F.col("html")).alias("html")
+    )
+    return rest.union(pages.filter(F.col("page_id") % 307 == 11).select(F.col("page_id") + 10_000_000, "url", "html"))
+
+
+def op1_warc_fixity_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return fixity(pages, damaged(pages))
+
+
+OP1_SQL = """
+WITH RECURSIVE raw AS (
+  SELECT 'a' AS side, page_id AS rid, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+  UNION ALL
+  SELECT 'b', page_id, coalesce(url, ''), CASE WHEN page_id % 89 = 3 THEN html || ' ' ELSE html END FROM pages WHERE page_id % 199 <> 7
+  UNION ALL
+  SELECT 'b', page_id + 10000000, coalesce(url, ''), html FROM pages WHERE page_id % 307 = 11
+), rec AS (
+  SELECT side, rid, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Block-Digest: sha256:' || sha256(html)
+    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS raw
+  FROM raw
+), leaf AS (
+  SELECT side, rid // 4096 AS archive, rid % 4096 AS place, CAST(strlen(raw) AS BIGINT) AS bytes, sha256(raw) AS hash FROM rec
+), l1 AS (
+  SELECT side, archive, place // 16 AS place, sum(bytes) AS bytes, sha256(string_agg(place || ':' || hash, ';' ORDER BY place)) AS hash FROM leaf GROUP BY 1, 2, 3
+), l2 AS (
+  SELECT side, archive, place // 16 AS place, sum(bytes) AS bytes, sha256(string_agg(place || ':' || hash, ';' ORDER BY place)) AS hash FROM l1 GROUP BY 1, 2, 3
+), root AS (
+  SELECT side, archive, sum(bytes) AS bytes, sha256(string_agg(place || ':' || hash, ';' ORDER BY place)) AS hash FROM l2 GROUP BY 1, 2
+), placed AS (
+  SELECT *, coalesce(sum(bytes) OVER (PARTITION BY archive ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM leaf WHERE side = 'a'
+)
+SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a.archive, b.archive) * 4096 + coalesce(a.place, b.place) AS page_id, CAST(a.off AS BIGINT) AS "offset", a.bytes AS length,
+  CASE WHEN b.hash IS NULL THEN 'missing' WHEN a.hash IS NULL THEN 'extra' ELSE 'changed' END AS kind, a.hash AS hash_a, b.hash AS hash_b
+FROM placed a FULL OUTER JOIN (SELECT * FROM leaf WHERE side = 'b') b ON a.archive = b.archive AND a.place = b.place
+WHERE a.hash IS DISTINCT FROM b.hash
+UNION ALL
+SELECT coalesce(a.archive, b.archive), NULL, 0, CAST(a.bytes AS BIGINT), 'root', a.hash, b.hash
+FROM (SELECT * FROM root WHERE side = 'a') a FULL OUTER JOIN (SELECT * FROM root WHERE side = 'b') b ON a.archive = b.archive
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate_winnowing": op7_decontaminate_winnowing,
+    "op1_warc_fixity_merkle": op1_warc_fixity_merkle,
     "op4_sentencepiece_wfst": op4_sentencepiece_wfst,
     "op5_media_wav_peaks": op5_media_wav_peaks,
     "op6_lm_score_ctw": op6_lm_score_ctw,
@@ -65,4 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup_minhash": op10_near_dedup_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_fixity_merkle": OP1_SQL,
+}

@@ -8,9 +8,9 @@ is confirmed on the full shingle sets.
 
 A star can miss a link between two members that are both unlike the centre.
 Buckets whose members still lie in different components are therefore compared
-whole, in blocks of bounded size, on 128-byte sketches; what may reach the
-threshold is again confirmed on full sets.  At similarity 0.8 a pair shares no
-bucket with probability (1 - 0.8**4)**32, about 4e-8.
+whole, on full sets, in blocks of bounded size; a block returns which components
+it joins and no pairs.  At similarity 0.8 a pair shares no bucket with
+probability (1 - 0.8**4)**32, about 4e-8.
 """
 
 from __future__ import annotations
@@ -29,10 +29,9 @@ from .rows import checkpointed, keyed, row_condition
 SHINGLE = 5
 BINS = 128
 BAND_ROWS = 4
-BLOCK = 256
-#: Of the 128 sketch bytes, the share that must agree before full sets are compared:
-#: at similarity 0.8 fewer agree with probability under 1e-7.
-SKETCH_SHARE = 0.6
+#: Documents, and shingles, that half a block of a bucket holds on average.
+BLOCK = 1024
+BLOCK_SHINGLES = 400_000
 PERCENT = 80
 
 
@@ -81,20 +80,19 @@ def _sketches(n: int, bins: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, one, two, bands, sketch = [], [], [], [], []
+            sizes, one, two, bands = [], [], [], []
             for u in shingle_sets(batch.column("text"), n):
                 sizes.append(len(u))
                 if not len(u):
-                    one.append(0), two.append(0), bands.append(None), sketch.append(None)
+                    one.append(0), two.append(0), bands.append(None)
                     continue
                 one.append(int(W.mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(W.mix(u ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).view(np.int64)))
                 v = W.mix(signature(u, order))
                 bands.append(W.signed(W.mix((v.reshape(-1, rows) * base).sum(axis=1, dtype=np.uint64) ^ band)))
-                sketch.append((v & np.uint64(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "th", "n_shingles", "set1", "set2", "bands", "sketch"],
+                [batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "th", "n_shingles", "set1", "set2", "bands"],
             )
 
     return run
@@ -130,24 +128,41 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(n, percent), "a long, b long").distinct()
 
 
-def _compare_block(key, pdf):
-    """Pairs of one block of a bucket that lie in different components and whose sketches agree enough."""
-    import pandas as pd
+def _join_block(n: int, percent: int):
+    """One block of a bucket (rep, component, chunk, text) to the components it joins.
+    All intersections come from products of 0/1 matrices over the shingles that occur twice."""
+
+    def run(key, rows):
+        one, two = key[1].as_py(), key[2].as_py()
+        chunk, component = rows.column("chunk").to_numpy(), rows.column("component").to_numpy()
+        sets = list(shingle_sets(rows.column("text"), n))
+        size = np.array([len(u) for u in sets])
+        _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(len(sets)), size)[times[at] > 1]
+        column = (np.cumsum(times > 1) - 1)[at[times[at] > 1]]
+        left, right = np.flatnonzero(chunk == one), np.flatnonzero(chunk == two)
+        place = np.zeros((2, len(sets)), np.int64)
+        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+        both = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        doc, column = doc[order], column[order]
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            i, j = np.searchsorted(column, [c, c + 4096])
+            sides = []
+            for side, ids, mine in ((0, left, one), (1, right, two)):
+                grid = np.zeros((len(ids), 4096), np.float32)
+                here = chunk[doc[i:j]] == mine
+                grid[place[side, doc[i:j][here]], column[i:j][here] - c] = 1
+                sides.append(grid)
+            both += sides[0] @ sides[1].T
+        total = size[left][:, None] + size[right][None, :]
+        linked = (100 * both >= percent * (total - both)) & (component[left][:, None] != component[right][None, :])
+        x, y = np.nonzero(linked)
+        ends = np.sort(np.column_stack([component[left][x], component[right][y]]), axis=1)
+        ends = np.unique(ends, axis=0) if len(ends) else ends.astype(np.int64).reshape(0, 2)
+        return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
 
-    one, two = key[1], key[2]
-    left, right = pdf[pdf.chunk == one], pdf[pdf.chunk == two]
-    s = np.frombuffer(b"".join(left.sketch), np.uint8).reshape(len(left), -1)
-    t = np.frombuffer(b"".join(right.sketch), np.uint8).reshape(len(right), -1)
-    x, y, cx, cy, hx = left.rep.to_numpy(), right.rep.to_numpy(), left.component.to_numpy(), right.component.to_numpy(), left["head"].to_numpy()
-    found = []
-    for k in range(len(x)):
-        agree = (t == s[k]).mean(axis=1) >= SKETCH_SHARE
-        ok = agree & (cy != cx[k]) & (y != x[k]) & (x[k] != hx[k]) & (y != hx[k])
-        if one == two:
-            ok &= y > x[k]
-        found.append(np.column_stack([np.full(ok.sum(), x[k]), y[ok]]))
-    out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": np.minimum(out[:, 0], out[:, 1]), "b": np.maximum(out[:, 0], out[:, 1])})
+    return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, rows: int = BAND_ROWS) -> DataFrame:
@@ -158,12 +173,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     document's least id: its component is the least id of its copies, or itself.
     """
     docs = keyed(docs)
-    base = checkpointed(docs.mapInArrow(_sketches(shingle, bins, rows), "doc_id long, th long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary"))
+    base = checkpointed(docs.mapInArrow(_sketches(shingle, bins, rows), "doc_id long, th long, n_shingles long, set1 long, set2 long, bands array<long>"))
     full = base.filter("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     on_set = ["set1", "set2", "n_shingles"]
-    lead = full.join(reps, on_set).filter("doc_id = rep").select("rep", "bands", "sketch")
-    members = lead.select("rep", F.explode("bands").alias("bucket")).distinct()
+    lead = full.join(reps, on_set).filter("doc_id = rep").select("rep", "n_shingles", "bands")
+    members = lead.select("rep", "n_shingles", F.explode("bands").alias("bucket")).distinct()
     buckets = members.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1")
     star = members.join(buckets, "bucket").filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     texts = docs.select("doc_id", "text")
@@ -172,20 +187,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     label = components(links)
 
     placed = members.join(buckets.filter("n > 2"), "bucket").join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "bucket", "head", "n", "rep", F.coalesce("component", "rep").alias("component")
+        "bucket", "n", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")
     )
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = (
+    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n_shingles").alias("weight")).filter("lo < hi").select("bucket", "weight")
+    chunks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    more = (
         placed.join(open_buckets, "bucket")
-        .join(lead.select("rep", "sketch").dropDuplicates(["rep"]), "rep")
-        .select("bucket", "head", "rep", "component", "sketch", F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-        .select("*", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))
+        .select("bucket", "rep", "component", F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+        .select("bucket", "rep", "component", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))
+        .join(texts.withColumnRenamed("doc_id", "rep"), "rep")
         .groupBy("bucket", "one", "two")
-        .applyInPandas(_compare_block, "a long, b long")
+        .applyInArrow(_join_block(shingle, percent), "a long, b long")
         .distinct()
     )
-    more = checkpointed(confirmed(rest, texts, shingle, percent))
+    more = checkpointed(more)
     if not more.isEmpty():
         label = components(links.union(more))
 

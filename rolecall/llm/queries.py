@@ -11,6 +11,7 @@ from .ctw import score_texts
 from .decontaminate import contamination
 from .media import features, store
 from .neardup import near_duplicates
+from .pii import personal_data
 from .pieces import encoded
 from .quality import fit, scores
 from .substrings import repeated_passages
@@ -52,6 +53,10 @@ def op5_media_wav_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(store(table(spark, sf_dir, "documents"))).drop("marks")
 
 
+def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents")).drop("span_list")
+
+
 def op4_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
@@ -105,6 +110,7 @@ FROM (SELECT * FROM root WHERE side = 'a') a FULL OUTER JOIN (SELECT * FROM root
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate_winnowing": op7_decontaminate_winnowing,
     "op1_warc_fixity_merkle": op1_warc_fixity_merkle,
+    "op3_pii_disclosure": op3_pii_disclosure,
     "op4_sentencepiece_wfst": op4_sentencepiece_wfst,
     "op5_media_wav_peaks": op5_media_wav_peaks,
     "op6_lm_score_ctw": op6_lm_score_ctw,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ctw import score_texts
 from .decontaminate import contamination
+from .licenses import licenses
 from .media import features, store
 from .neardup import near_duplicates
 from .pii import personal_data
@@ -53,6 +54,10 @@ def op5_media_wav_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(store(table(spark, sf_dir, "documents"))).drop("marks")
 
 
+def op2_license_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents")).drop("span_list")
 
@@ -110,6 +115,7 @@ FROM (SELECT * FROM root WHERE side = 'a') a FULL OUTER JOIN (SELECT * FROM root
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate_winnowing": op7_decontaminate_winnowing,
     "op1_warc_fixity_merkle": op1_warc_fixity_merkle,
+    "op2_license_patience": op2_license_patience,
     "op3_pii_disclosure": op3_pii_disclosure,
     "op4_sentencepiece_wfst": op4_sentencepiece_wfst,
     "op5_media_wav_peaks": op5_media_wav_peaks,

@@ -7,9 +7,9 @@ candidate pairs grow with members and not with their square.  Every candidate
 is confirmed on the full shingle sets.
 
 A star can miss a link between two members that are both unlike the centre.
-Buckets whose members still lie in different components are therefore compared
-whole, on full sets, in blocks of bounded size; a block returns which components
-it joins and no pairs.  At similarity 0.8 a pair shares no bucket with
+Documents connected by buckets whose members still lie in different components
+are therefore compared whole, on full sets, in blocks of bounded size; a block
+returns which components it joins and no pairs.  At similarity 0.8 a pair shares no bucket with
 probability (1 - 0.8**4)**32, about 4e-8.
 """
 
@@ -29,7 +29,7 @@ from .rows import checkpointed, keyed, row_condition
 SHINGLE = 5
 BINS = 128
 BAND_ROWS = 4
-#: Documents, and shingles, that half a block of a bucket holds on average.
+#: Documents, and shingles, that half a block of a family holds on average.
 BLOCK = 1024
 BLOCK_SHINGLES = 400_000
 PERCENT = 80
@@ -129,7 +129,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
 
 def _join_block(n: int, percent: int):
-    """One block of a bucket (rep, component, chunk, text) to the components it joins.
+    """One block of a family (rep, component, chunk, text) to the components it joins.
     All intersections come from products of 0/1 matrices over the shingles that occur twice."""
 
     def run(key, rows):
@@ -187,16 +187,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     label = components(links)
 
     placed = members.join(buckets.filter("n > 2"), "bucket").join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "bucket", "n", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")
+        "bucket", "head", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")
     )
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n_shingles").alias("weight")).filter("lo < hi").select("bucket", "weight")
+    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    rest = checkpointed(placed.join(open_buckets, "bucket").select("head", "rep", "n_shingles", "component").distinct())
+    # documents that open buckets connect form a family, so that each text travels once for all its buckets
+    family = components(rest.select("head", "rep"), "head", "rep").select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    kin = rest.select("rep", "n_shingles", "component").distinct().join(family, "rep")
+    size = kin.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     chunks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     more = (
-        placed.join(open_buckets, "bucket")
-        .select("bucket", "rep", "component", F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-        .select("bucket", "rep", "component", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))
+        kin.join(size, "family")
+        .select("family", "rep", "component", F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+        .select("family", "rep", "component", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))
         .join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-        .groupBy("bucket", "one", "two")
+        .groupBy("family", "one", "two")
         .applyInArrow(_join_block(shingle, percent), "a long, b long")
         .distinct()
     )

@@ -28,7 +28,9 @@ def row_condition(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder; the session's own setting comes first."""
+    """Cut lineage through the shared folder; the session's own setting comes first.
+    A collection on the driver then lets Spark's cleaner drop the shuffle files of
+    the lineage that was cut, which would stay on executors' disks until some later one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -37,4 +39,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
             shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    sc._jvm.System.gc()
+    return out

@@ -28,6 +28,8 @@ REMOVE = 0.95
 SUPPORT = 3
 #: How far (in code points) a term may stand from an entity to count as beside it.
 NEAR = 80
+#: Up to so many terms (some 20 MB) are broadcast.
+BROADCAST_TERMS = 500_000
 _BIN = 128
 
 #: The four kinds in order.  A match begins at the start of its run of
@@ -117,6 +119,8 @@ def disclosing(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE
     total = docs.select(F.count_distinct("th").alias("n"))
     df_e = spans.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
     wanted = beside.select("term").distinct()
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)  # else the words of all texts are shuffled to meet them
     words = docs.select("th", F.explode(F.split(F.lower("text"), BETWEEN, -1)).alias("term"))
     df_t = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df_t"))
     share = F.log(F.col("n") * F.col("df_te") / (F.col("df_t") * F.col("df_e"))) / F.log(F.col("n") / F.col("df_e"))

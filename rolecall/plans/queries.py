@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scores, text
-from ..operators import evaluation, lexical, linking, operations, preparation, scoring
+from ..operators import evaluation, layout, lexical, linking, operations, preparation, scoring
 from ..sources import taxonomy
 from ..streaming import limits
 
@@ -245,6 +245,22 @@ def stratified_split(spark, d):
     return preparation.stratified_split(T(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", 0.2, 7).select("doc_id", "split")
 
 
+@query(
+    """
+WITH w AS (SELECT user_id AS page, CASE WHEN value < 10 THEN value * 3.7 ELSE 55 + CAST(value AS BIGINT) % 44 END AS x FROM events WHERE user_id % 3 > 0 OR value < 10),
+b AS (SELECT page, least(floor(x / 5.0), 19) AS bin, count(*) AS n FROM w GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER (PARTITION BY page) AS words, lag(bin) OVER (PARTITION BY page ORDER BY bin) AS before FROM b),
+g AS (SELECT page, count(*) AS gaps, min(before) AS before, max(bin) AS bin FROM r WHERE words >= 10 AND bin - before - 1 >= 2 AND before + 1 < 16 AND bin - 1 >= 4 GROUP BY 1)
+SELECT page, round(greatest((before + 1) * 5.0, 20.0), 6) AS left_to, round(least(bin * 5.0, 80.0), 6) AS right_from FROM g WHERE gaps = 1"""
+)
+def column_detection(spark, d):
+    """PRJ3, PRJ4, WIN10: pages with two columns and where each ends."""
+    x = F.when(F.col("value") < 10, F.col("value") * 3.7).otherwise(55 + F.round("value").cast("long") % 44)
+    w = T(spark, d, "events").filter("user_id % 3 > 0 or value < 10").select(F.col("user_id").alias("page"), x.alias("x"), F.lit(100.0).alias("width"))
+    c = layout.column_ranges(layout.column_gaps(w))
+    return c.select("page", r6(F.col("left.to"), "left_to"), r6(F.col("right.from"), "right_from"))
+
+
 # ---- vectors -------------------------------------------------------------
 
 _TOPK = """

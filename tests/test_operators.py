@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolecall.functions import scores, text
 from rolecall.operators import lexical, linking, operations, preparation, scoring
-from rolecall.sources import taxonomy
+from rolecall.sources import overlays, taxonomy
 from rolecall.streaming import limits
 
 
@@ -151,3 +151,19 @@ def test_streaming_limits(spark, tmp_path):
     merge(spark.createDataFrame([(1, 1)], "id long, v long"), 0)
     merge(spark.createDataFrame([(1, 2), (2, 1)], "id long, v long"), 1)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/1")).collect()) == [(1, 2), (2, 1)]
+
+
+def test_overlays(spark, tmp_path):
+    pytest.importorskip("yaml")
+    a = tmp_path / "a.yaml"
+    a.write_text("aliases:\n  - target_uri: u1\n    surfaces: [pg, Postgres]\n  - target_uri: gone\n    surfaces: [x]\n")
+    base = spark.createDataFrame([("u1", "PostgreSQL", ["postgres"])], "concept_uri string, preferred_label string, alt_labels array<string>")
+    both, unknown = taxonomy.with_surfaces(base, overlays.aliases(spark, str(a)))
+    assert both.first().alt_labels == ["postgres", "pg"] and [r.concept_uri for r in unknown.collect()] == ["gone"]
+    r = tmp_path / "r.yaml"
+    r.write_text("rules:\n  - surface_pattern: It\n    target_concept_uri: u\n    case_sensitive: true\n    context_required: {forbidden_sections: [skills]}\n")
+    row = overlays.suppression_rules(spark, str(r)).first()
+    assert row.case_sensitive and row.window_chars == 60 and row.forbidden_sections == ["skills"] and row.allowed_sections is None
+    r.write_text("rules:\n  - surface_pattern: It\n")
+    with pytest.raises(ValueError):
+        overlays.suppression_rules(spark, str(r))

@@ -206,7 +206,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     ``exact`` tells that decoding the ids returned every byte of the text.  Null and
     empty texts are the word mark alone; repeated rows and null ids get one row each.
-    Texts are read once, in runs of about 4 MB; the compiled vocabulary is broadcast
+    Texts are read once, in runs of about 2 MB; the compiled vocabulary is broadcast
     (its size is that of the model file).
     """
     machine = docs.sparkSession.sparkContext.broadcast(compiled(model))
@@ -214,7 +214,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = W.text_buffers(batch.column("text"))
-            for i, j in W.groups(at, 4 << 20):
+            for i, j in W.groups(at):
                 d, a = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 ids, counts, cost = machine.value.encode(d, a)
                 back, b = machine.value.decode(ids, counts)

@@ -81,6 +81,19 @@ def groups(at: np.ndarray, limit: int = GROUP_BYTES):
         j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a reused Python worker otherwise keeps
+    the most that any batch of any stage took, beside the executor's heap."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def word_bounds(data: np.ndarray, at: np.ndarray, separators: np.ndarray):

@@ -6,12 +6,16 @@ every context of 0 to ``DEPTH`` preceding bytes.  Context-tree weighting mixes
 the estimates of all depths by how well each coded the training texts.
 
 Counts of (context, byte) come from every training text.  A context is a node
-of the tree if it holds at least 1 / ``SHARE`` of all training bytes, so that a
-depth has at most ``SHARE`` nodes however large the corpus; the other contexts
-of a node form one leaf together.  The trained tree is a table of log
-probabilities with at most DEPTH * SHARE + 1 rows of 256, which goes to the
-tasks; the word counts of the baseline are joined, all but a head of bounded
-size.
+of the tree if it was met ``LEAST`` times, whatever the size of the corpus, so
+the tree grows with it; the rarer contexts of a node form one leaf together.
+
+A decision is mixed along its own contexts only.  Codes are dealt out by the last
+``TOP + 1`` bytes of their context; each such subtree is a whole in one task and
+goes up as one sum for each decision of the ``TOP`` bytes before the byte.  The
+top, which the alphabet bounds, is weighted on the driver and goes back, and the
+second pass down the subtrees gives the log probability of every (context, byte)
+that any text holds.  Texts meet these, and the word counts of the baseline, by
+join; a head of bounded size, the most frequent ones, is broadcast.
 """
 
 from __future__ import annotations
@@ -20,18 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .rows import checkpointed
 
 DEPTH = 5
-SHARE = 1 << 15
+LEAST = 2
+TOP = 2
 HEAD = 1 << 20
 END = 0xFF
 _END_WORD = 0x1F83D9ABFB41BD6B
-_MERGE = 1 << 21
+_MERGE = 1 << 20
+#: Rows of subtrees that are weighted at once.
+_CHUNK = 1 << 17
+_SLICE = 1 << 16
 
 
 class Table:
@@ -106,14 +114,15 @@ def byte_codes(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray
 
 
 def _counts(depth: int):
-    """Batches of (text) to (kind, key, n): counts of words (0) and of byte codes (1), merged within the task."""
+    """Batches of (text, held_out) to (kind, key, n): counts of words (0) and of byte codes (1), merged within
+    the task.  Codes of held-out texts are listed with the count 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {0: [], 1: []}
 
-        def add(kind, keys):
+        def add(kind, keys, times=1):
             u, n = np.unique(keys, return_counts=True)
-            held[kind].append((u, n))
+            held[kind].append((u, n * times))
             if sum(len(p[0]) for p in held[kind]) > _MERGE:
                 held[kind] = [_merged(held[kind])]
                 if len(held[kind][0][0]) > _MERGE // 2:
@@ -123,17 +132,26 @@ def _counts(depth: int):
             if held[kind]:
                 keys, n = _merged(held[kind])
                 held[kind] = []
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(W.signed(keys)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+                for i in range(0, len(keys), _SLICE):
+                    k, m = keys[i : i + _SLICE], n[i : i + _SLICE]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(W.signed(k)), pa.array(m.astype(np.int64))], ["kind", "key", "n"])
+                del keys, n
+                W.trim()
 
         for batch in batches:
             data, at = W.text_buffers(batch.column("text"))
             data = W.LOWER.take(data)
-            for i, j in W.groups(at):
-                d, a = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                starts, ends, _ = W.word_bounds(d, a, W.SPACE)
-                hashes = np.append(W.word_hashes(d, starts, ends), np.full(j - i, _END_WORD, np.uint64))
-                yield from add(0, hashes)
-                yield from add(1, byte_codes(d, a, depth)[0])
+            learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            for i, j in W.groups(at, 1 << 20):
+                d, a, mine = data[at[i] : at[j]], at[i : j + 1] - at[i], learn[i:j]
+                code, b = byte_codes(d, a, depth)
+                if mine.any():
+                    starts, ends, first = W.word_bounds(d, a, W.SPACE)
+                    hashes = W.word_hashes(d, starts, ends)[mine[W.doc_of(first)]]
+                    yield from add(0, np.append(hashes, np.full(mine.sum(), _END_WORD, np.uint64)))
+                    yield from add(1, code[np.repeat(mine, np.diff(b))])
+                if not mine.all():
+                    yield from add(1, code[np.repeat(~mine, np.diff(b))], 0)
         yield from give(0)
         yield from give(1)
 
@@ -233,60 +251,217 @@ class Tree:
         return self.logs[row * 256 + (code & np.uint64(255)).astype(np.int64)]
 
 
-def train_counts(training: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n): counts of every word and every byte with its context in every training text."""
-    counts = training.select("text").mapInArrow(_counts(depth), "kind int, key long, n long")
+def _lookup(x: np.ndarray, shift: float, known: np.ndarray) -> np.ndarray:
+    """ln Gamma(x + shift) of counts, from a table up to its end."""
+    out = known[np.minimum(x, len(known) - 1)]
+    big = np.flatnonzero(x >= len(known))
+    out[big] = log_gamma(x[big] + shift)
+    return out
+
+
+_HALF, _ONE = (log_gamma(np.arange(1 << 12) + shift) for shift in (0.5, 1.0))
+
+
+def _block(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """ln of the KT block probability of counts."""
+    return _lookup(zero, 0.5, _HALF) + _lookup(one, 0.5, _HALF) - np.log(np.pi) - _lookup(zero + one, 1.0, _ONE)
+
+
+def _estimate(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return (one + 0.5) / (zero + one + 1)
+
+
+class Decisions:
+    """Counts of decisions in nested contexts of ``low`` to ``high`` bytes, weighted from the longest up.
+
+    Rows are sorted by ``key``, (decision, context from its last byte back); ``kept[d]`` says
+    of each row whether its context of d bytes is a node.  ``deeper`` has what rows' kept contexts
+    of ``high`` + 1 bytes hold (zeros, ones, ln of weighted probability); without it ``high`` ends the tree.
+    """
+
+    def __init__(self, key: np.ndarray, zero: np.ndarray, one: np.ndarray, kept: dict[int, np.ndarray], low: int, high: int, deeper: tuple | None = None):
+        self.low, self.high, self.kept = low, high, kept
+        self.group, self.first, self.up, self.p, self.rest, self.weight = {}, {}, {}, {}, {}, {}
+        for d in range(low, high + 1):
+            part = key >> np.int64(8 * (high - d))
+            new = np.append(True, part[1:] != part[:-1])
+            self.first[d], self.group[d] = np.flatnonzero(new), np.cumsum(new) - 1
+            self.up[d] = self.group[d - 1][self.first[d]] if d > low else None
+        for d in range(high, low - 1, -1):
+            size = len(self.first[d])
+            z, o = np.add.reduceat(zero, self.first[d]), np.add.reduceat(one, self.first[d])
+            block, self.p[d] = _block(z, o), _estimate(z, o)
+            if deeper is None:
+                below = block
+            else:
+                at, dz, do, db = deeper
+                total = lambda x: np.bincount(at, x, size)
+                rz, ro = z - total(dz).astype(np.int64), o - total(do).astype(np.int64)
+                self.rest[d] = _estimate(rz, ro)
+                below = np.logaddexp(block, _block(rz, ro) + total(db)) - np.log(2)
+                self.weight[d] = np.exp(block - np.log(2) - below)
+            node = kept[d][self.first[d]]
+            self.zero, self.one, self.below = z * node, o * node, below * node
+            if d > low:
+                deeper = self.up[d], self.zero, self.one, self.below
+
+    def down(self, fixed: np.ndarray, left: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From what shorter contexts give each row (probability, weight left, probability if no
+        longer context is a node) to what the contexts of ``high`` bytes give it."""
+        p = p.copy()
+        for d in range(self.low, self.high + 1):
+            row = self.group[d]
+            if d in self.weight:
+                w = self.weight[d][row]
+                fixed, left = fixed + left * w * self.p[d][row], left * (1 - w)
+                here = fixed + left * self.rest[d][row]
+            else:
+                here = fixed + left * self.p[d][row]
+            p = np.where(self.kept[d], here, p)
+        return fixed, left, p
+
+
+def _frequent(part: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """Of sorted rows, whether those of the same ``part`` hold ``least`` counts."""
+    new = np.append(True, part[1:] != part[:-1])
+    return (np.add.reduceat(n, np.flatnonzero(new)) >= least)[np.cumsum(new) - 1]
+
+
+def _subtrees(depth: int, top: int, least: float, then):
+    """Batches of (key, n, part) sorted by ``part`` to what ``then`` makes of whole parts: for each bit of the
+    bytes it gets the order of the rows, the bit, the rows' keys and their ``Decisions``."""
+
+    def work(code, n):
+        context, byte = code >> np.int64(8), code & np.int64(255)
+        back = np.zeros(len(code), np.int64)
+        for k in range(depth):
+            back = back << np.int64(8) | context >> np.int64(8 * k) & np.int64(255)
+        order = np.argsort(back)
+        code, n, back, byte = code[order], n[order], back[order], byte[order]
+        kept = {d: _frequent(back >> np.int64(8 * (depth - d)), n, least) for d in range(top + 1, depth + 1)}
+
+        def bits():
+            for k in range(8):
+                node, bit = (256 + byte) >> (8 - k), (byte >> (7 - k)) & 1
+                by = np.argsort(node.astype(np.uint8), kind="stable")
+                key, one = node[by] << np.int64(8 * depth) | back[by], (n * bit)[by]
+                yield by, bit[by], key, Decisions(key, n[by] - one, one, {d: x[by] for d, x in kept.items()}, top + 1, depth)
+
+        return then(code, n, bits())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("key", "n", "part")])
+            size += len(batch)
+            if size < _CHUNK:
+                continue
+            key, n, part = (np.concatenate(x) for x in zip(*held))
+            cut = np.searchsorted(part, part[-1])
+            held, size = [[key[cut:], n[cut:], part[cut:]]], len(key) - cut
+            if cut:
+                yield from work(key[:cut], n[:cut])
+        if size:
+            key, n, _ = (np.concatenate(x) for x in zip(*held))
+            yield from work(key, n)
+        W.trim()
+
+    return run
+
+
+def _tops(depth: int, top: int):
+    """What goes up from subtrees: sums by (decision, context of ``top`` bytes), with those of kept longer contexts."""
+
+    def then(code, n, bits):
+        for by, bit, key, tree in bits:
+            part = key >> np.int64(8 * (depth - top))
+            new = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            at = np.searchsorted(new, tree.first[top + 1], "right") - 1
+            one = n[by] * bit
+            sums = [np.add.reduceat(x, new) for x in (n[by] - one, one)] + [np.bincount(at, x, len(new)) for x in (tree.zero, tree.one, tree.below)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[new]), *(pa.array(x.astype(np.int64)) for x in sums[:4]), pa.array(sums[4])], ["at", "zero", "one", "deep_zero", "deep_one", "below"])
+
+    return then
+
+
+def _logs(depth: int, top: int, model):
+    """The log10 probability of each code, from the top's state and its subtree."""
+
+    def then(code, n, bits):
+        at, *state = model.value
+        out = np.zeros(len(code))
+        for by, bit, key, tree in bits:
+            row = np.searchsorted(at, key >> np.int64(8 * (depth - top)))
+            p = np.clip(tree.down(*(x[row] for x in state))[2], 1e-15, 1 - 1e-15)
+            out[by] += np.log10(np.where(bit, p, 1 - p))
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n), pa.array(out)], ["key", "n", "logp"])
+
+    return then
+
+
+def train_counts(mine: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(kind, key, n): counts in the training texts of every word of theirs, and of every byte with its context of any text."""
+    counts = mine.select("text", "held_out").mapInArrow(_counts(depth), "kind int, key long, n long")
     return checkpointed(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
-def fit_tree(counts: DataFrame, depth: int = DEPTH, share: int = SHARE) -> Tree:
-    """The weighted tree of all counted bytes; what reaches the driver is the counts of kept contexts."""
-    codes = counts.filter("kind = 1")
-    total = codes.agg(F.sum("n")).first()[0] or 0
-    by_depth = codes.select(
-        F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"), F.shiftright("key", 8).alias("full"), F.col("key").bitwiseAND(F.lit(255)).alias("byte"), "n"
-    ).select("d", F.expr("full & (shiftleft(1L, 8 * d) - 1)").alias("context"), "byte", "n")
-    by_depth = by_depth.groupBy("d", "context", "byte").agg(F.sum("n").alias("n"))
-    kept = by_depth.groupBy("d", "context").agg(F.sum("n").alias("total")).filter((F.col("total") * share >= F.lit(total)) | (F.col("d") == 0)).select("d", "context")
-    rows = by_depth.join(kept, ["d", "context"]).toArrow()
-    d, context, byte, n = (rows.column(c).to_numpy() for c in ("d", "context", "byte", "n"))
-    contexts, matrices = [], []
-    for k in range(depth + 1):
-        here = d == k
-        codes_k, at = np.unique(context[here], return_inverse=True)
-        if k == 0 and not len(codes_k):
-            codes_k = np.zeros(1, np.int64)
-        matrix = np.zeros((len(codes_k), 256))
-        matrix[at, byte[here]] = n[here]
-        contexts.append(codes_k)
-        matrices.append(matrix)
-    return Tree(depth, contexts, matrices)
-
-
-def head_counts(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray, int]:
-    """The most frequent words, at most ``most`` of them, as (hashes, counts), and the least count among them.
+def code_logs(counts: DataFrame, depth: int = DEPTH, least: float = LEAST) -> DataFrame:
+    """(key, n, logp): the log10 probability of every counted byte in its context, in the weighted tree of all of them."""
+    top = min(TOP, depth - 1)
+    part = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (top + 1)) - 1))
+    codes = counts.filter("kind = 1").select("key", "n", part.alias("part")).repartition("part").sortWithinPartitions("part")
+    up = codes.mapInArrow(_subtrees(depth, top, least, _tops(depth, top)), "at long, zero long, one long, deep_zero long, deep_one long, below double")
+    rows = up.groupBy("at").agg(*(F.sum(c).alias(c) for c in up.columns[1:])).toArrow().sort_by("at")
+    at, zero, one, deep_zero, deep_one, below = (c.to_numpy() for c in rows.columns)
+    state = (np.zeros(0),) * 3
+    if len(at):
+        node, context, n = at >> np.int64(8 * top), at & np.int64((1 << 8 * top) - 1), zero + one
+        whole = node == 1  # the first decision of a byte holds all bytes
+        kept = {0: np.ones(len(at), bool)}
+        for d in range(1, top + 1):
+            kept[d] = _frequent(context[whole] >> np.int64(8 * (top - d)), n[whole], least)[np.searchsorted(context[whole], context)]
+        tree = Decisions(at, zero, one, kept, 0, top, (np.arange(len(at)), deep_zero, deep_one, below))
+        state = tree.down(np.zeros(len(at)), np.ones(len(at)), np.zeros(len(at)))
+    model = counts.sparkSession.sparkContext.broadcast((at, *state))
+    return checkpointed(codes.mapInArrow(_subtrees(depth, top, least, _logs(depth, top, model)), "key long, n long, logp double"))
+
+
+def head_of(rows: DataFrame, value: str, most: int = HEAD) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent rows of (key, n), at most ``most`` of them, as (keys, values), and the least count among them.
     The cut is a count, found from a histogram of their logarithms (at most 1,024 rows)."""
     sizes = F.floor(F.log2("n") * 16).cast("int")
-    histogram = counts.filter("kind = 0").groupBy(sizes.alias("size")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
+    histogram = rows.filter("n > 0").groupBy(sizes.alias("size")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect()
     room, least = most, None
     for r in sorted(histogram, key=lambda r: -r["size"]):
-        if r["words"] > room:
+        if r["rows"] > room:
             break
-        room -= r["words"]
+        room -= r["rows"]
         least = r["least"]
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-    rows = counts.filter((F.col("kind") == 0) & (F.col("n") >= least)).select("key", "n").toArrow()
-    return rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy(), least
+        return np.zeros(0, np.uint64), np.zeros(0), 0
+    head = rows.filter(F.col("n") >= least).select("key", F.col(value).alias("value")).toArrow()
+    return head.column("key").to_numpy().view(np.uint64), head.column("value").to_numpy(), least
+
+
+def _outside(least: int) -> Column:
+    return F.col("n") < least if least else F.lit(True)
+
+
+def _by_text(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (text, key) once, with how often it occurs."""
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return doc[new], key[new], np.diff(np.append(new, len(key)))
 
 
-def _scores(depth: int, model, floor: float):
-    """Batches of (doc_id, held_out, text) to one row per text and one per word of it outside the head."""
+def _scores(depth: int, model):
+    """Batches of (doc_id, held_out, text) to one row per text, and one per word (kind 0) and per byte code (1) of it outside the heads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tree, head, logs = model.value
+        codes, code_logs, head, logs = model.value
         serial = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, at = W.text_buffers(batch.column("text"))
@@ -294,7 +469,11 @@ def _scores(depth: int, model, floor: float):
             for i, j in W.groups(at):
                 d, a = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 code, b = byte_codes(d, a, depth)
-                score = np.add.reduceat(tree.score(code).astype(np.float64), b[:-1])
+                where = codes.find(code)
+                met = where >= 0
+                in_doc = np.repeat(np.arange(j - i), np.diff(b))
+                score = np.bincount(in_doc[met], code_logs[where[met]], j - i)
+                code_doc, rare_code, code_times = _by_text(in_doc[~met], code[~met])
                 starts, ends, first = W.word_bounds(d, a, W.SPACE)
                 hashes = W.word_hashes(d, starts, ends)
                 doc = W.doc_of(first)
@@ -310,17 +489,16 @@ def _scores(depth: int, model, floor: float):
                     n_known += 1
                 else:
                     rare_doc, rare = np.append(rare_doc, np.arange(j - i)), np.append(rare, np.full(j - i, _END_WORD, np.uint64))
-                order = np.lexsort((rare, rare_doc))
-                rare_doc, rare = rare_doc[order], rare[order]
-                new = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1]))) if len(rare) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(rare)))
+                rare_doc, rare, times = _by_text(rare_doc, rare)
                 part = batch.slice(i, j - i)
-                m, none = len(new), pa.nulls
+                m, none = len(rare) + len(rare_code), pa.nulls
+                kind = np.concatenate([np.full(j - i, 2), np.zeros(len(rare)), np.ones(len(rare_code))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.append(rows, rows[rare_doc[new]])),
-                        pa.array(np.append(W.signed(W.mix(rows.astype(np.uint64))), W.signed(rare[new]))),
-                        pa.array(np.append(np.zeros(j - i, np.int64), times)),
+                        pa.array(np.concatenate([rows, rows[rare_doc], rows[code_doc]])),
+                        pa.array(kind),
+                        pa.array(np.concatenate([W.signed(W.mix(rows.astype(np.uint64))), W.signed(rare), W.signed(rare_code)])),
+                        pa.array(np.concatenate([np.zeros(j - i, np.int64), times, code_times])),
                         pa.concat_arrays([part.column("doc_id"), none(m, pa.int64())]),
                         pa.concat_arrays([part.column("held_out"), none(m, pa.bool_())]),
                         pa.array(np.append(np.diff(first) + 1, np.zeros(m, np.int64))),
@@ -329,37 +507,44 @@ def _scores(depth: int, model, floor: float):
                         pa.array(np.append(score, np.zeros(m))),
                         pa.array(np.append(np.diff(a), np.zeros(m, np.int64))),
                     ],
-                    ["row", "key", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes"],
+                    ["row", "kind", "key", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes"],
                 )
             serial += len(batch)
 
     return run
 
 
-def score_texts(docs: DataFrame, learn, depth: int = DEPTH, share: int = SHARE, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, learn, depth: int = DEPTH, share: int | None = None, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score, bits_per_byte.
 
     ``learn`` is a condition on ``docs``; where it is not true a row is held out.
-    Null and empty texts are the end token (and the end byte) alone.  Without
-    training rows every count is 0 and the score is the KT prior.  Repeated rows
-    get one row each; a null doc_id is kept.
+    With ``share`` a node holds 1 / ``share`` of all training bytes, which bounds the
+    tree; without it, ``LEAST`` bytes.  Null and empty texts are the end token (and
+    the end byte) alone.  Without training rows every count is 0 and the score is the
+    KT prior.  Repeated rows get one row each; a null doc_id is kept.
     """
     mine = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (~F.coalesce(learn, F.lit(False))).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    counts = train_counts(mine.filter("not held_out"), depth)
-    tokens, distinct = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = fit_tree(counts, depth, share)
-    hashes, n, least = head_counts(counts, head)
+    counts = train_counts(mine, depth)
+    words = counts.filter("kind = 0")
+    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    least_node = LEAST if share is None else (counts.filter("kind = 1").agg(F.sum("n")).first()[0] or 0) / share
+    codes = code_logs(counts, depth, least_node)
+    hashes, n, least = head_of(words, "n", head)
+    known, known_logs, least_code = head_of(codes, "logp", head)
     denominator = tokens + 0.1 * (distinct + 1)
-    model = docs.sparkSession.sparkContext.broadcast((tree, Table(hashes), np.log10((n + 0.1) / denominator).astype(np.float64)))
+    model = docs.sparkSession.sparkContext.broadcast((Table(known), known_logs, Table(hashes), np.log10((n + 0.1) / denominator).astype(np.float64)))
     rows = mine.mapInArrow(
-        _scores(depth, model, denominator), "row long, key long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long"
+        _scores(depth, model), "row long, kind int, key long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long"
     )
-    tail = counts.filter("kind = 0").filter(F.col("n") < least if least else F.lit(True)).select("key", F.col("n").alias("c"))
-    met = rows.join(tail, "key", "left").select(
-        "row", "doc_id", "held_out", "n_tokens", "score", "n_bytes",
-        (F.col("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        (F.col("base") + F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(denominator))).alias("base"),
+    tail = words.filter(_outside(least)).select("kind", "key", F.col("n").alias("c"), F.lit(0.0).alias("logp"))
+    tail = tail.unionByName(codes.filter(_outside(least_code)).select(F.lit(1).alias("kind"), "key", F.lit(0).cast("long").alias("c"), "logp"))
+    word = F.when(F.col("kind") == 0, F.col("times")).otherwise(0)
+    met = rows.join(tail, ["kind", "key"], "left").select(
+        "row", "doc_id", "held_out", "n_tokens", "n_bytes",
+        (F.col("n_known") + F.when(F.col("c") > 0, word).otherwise(0)).alias("n_known"),
+        (F.col("base") + word * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(denominator))).alias("base"),
+        (F.col("score") + F.col("times") * F.coalesce("logp", F.lit(0.0))).alias("score"),
     )
     return met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),

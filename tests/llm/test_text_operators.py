@@ -267,6 +267,17 @@ def test_scores_of_the_context_tree(spark, docs, no_docs, corpus):
     assert ctw.score_texts(docs.limit(3), F.lit(False)).count() == 3
 
 
+def test_rare_contexts_stay_in_the_tree_of_a_large_corpus(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "_CHUNK", 50)
+    train = ["abcdefgh qrstuv", "abcdefgh qrstuv", "xyzzy"] + ["the cat sat on the mat again %d" % (k % 7) for k in range(4000)]
+    held = "abcdefgh qrstuv xyzzy mat, never seen"
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(train)] + [(-1, held)], "doc_id long, text string")
+    want = kt_tree(train, 4, sum(len(t) + 1 for t in train) / ctw.LEAST, None)
+    got = {r.doc_id: r.score for r in ctw.score_texts(rows, F.col("doc_id") >= 0, depth=4, head=40).collect()}
+    for i in (-1, 0, 2, 3):
+        assert got[i] == pytest.approx(want(held if i < 0 else train[i]), rel=1e-6), i
+
+
 def test_distribution_of_the_tree_sums_to_one():
     rng = np.random.default_rng(2)
     contexts = [np.zeros(1, np.int64), np.array([97, 98]), np.array([97 * 256 + 97])]

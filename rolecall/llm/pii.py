@@ -2,15 +2,16 @@
 
 Base entities (email, ip, card, phone) are found by pattern in every text.
 Around them the corpus tells which other terms give an entity away.  With N
-texts, of which df_e hold the entity, df_t the term, and df_te the term near the
-entity, the term discloses
+texts, of which df_e hold the entity, df_t the term, and df_te both, the term
+discloses
 
     PMI(t; e) / IC(e) = ln(N df_te / (df_t df_e)) / ln(N / df_e)
 
 of the entity: 1 when the term stands nowhere else.  In texts that hold the
 entity, terms that disclose ``GENERALISE`` or more are generalised to a class,
 and from ``REMOVE`` on they are removed.  Texts are counted once whatever their
-copies, and a term needs ``SUPPORT`` different texts beside the entity.
+copies, and a term needs ``SUPPORT`` different texts with the entity.  Every
+term counts: names, short ones and numbers, wherever in the text they stand.
 
 Matches and terms get their places from the lengths of what lies between them
 (``split``) and of themselves (``regexp_extract_all``), summed in text order.
@@ -26,8 +27,6 @@ from .rows import checkpointed, keyed, row_condition, same_row
 GENERALISE = 0.8
 REMOVE = 0.95
 SUPPORT = 3
-#: How far (in code points) a term may stand from an entity to count as beside it.
-NEAR = 80
 #: Up to so many terms (some 20 MB) are broadcast.
 BROADCAST_TERMS = 500_000
 _BIN = 128
@@ -100,31 +99,31 @@ def _bins(first: Column, last: Column) -> Column:
 
 def disclosing(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
     """(doc_id, th, kind, start, end): the terms of texts with entities that give one of their entities away."""
-    owners = found.select(*_KEY).distinct()
+    spans = found.select(*_KEY, F.concat_ws(":", "kind", F.lower("value")).alias("entity"), F.col("start").alias("from"), F.col("end").alias("to"))
+    total = docs.select(F.count_distinct("th").alias("n"))
+    holds = spans.select("entity", "th").distinct()
+    df_e = holds.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support).crossJoin(F.broadcast(total)).filter("n > df_e")
+    holds = checkpointed(holds.join(df_e, "entity"))  # no other entity can be told
+    owners = found.join(holds.select("th").distinct(), "th", "left_semi").select(*_KEY).distinct()
     texts = docs.join(owners, same_row(docs, owners), "left_semi").dropDuplicates(_KEY)
     terms = _placed(texts.select(*_KEY, _parts(F.col("text"), TERM).alias("parts")), _KEY)
-    terms = terms.filter((F.length("value") >= 3) & F.col("value").rlike(r"\p{L}")).select(*_KEY, "start", "end", "value", F.lower("value").alias("term"), F.floor(F.col("start") / _BIN).alias("bin"))
-    spans = found.select(*_KEY, F.concat_ws(":", "kind", F.lower("value")).alias("entity"), F.col("start").alias("from"), F.col("end").alias("to"))
+    terms = terms.select(*_KEY, "start", "end", "value", F.lower("value").alias("term"), F.floor(F.col("start") / _BIN).alias("bin"))
     taken = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "from", "to", _bins(F.col("from"), F.col("to")).alias("b"))
     terms = terms.join(taken, terms["doc_id"].eqNullSafe(taken["d"]) & (terms["th"] == taken["h"]) & (terms["bin"] == taken["b"]) & (terms["start"] < taken["to"]) & (terms["end"] > taken["from"]), "left_anti")
-    terms = checkpointed(terms)
-
-    around = spans.select("th", "entity", "from", "to", _bins(F.greatest(F.col("from") - NEAR, F.lit(0)), F.col("to") + NEAR).alias("bin"))
-    beside = (
-        terms.join(around, ["th", "bin"])
-        .filter((F.col("end") >= F.col("from") - NEAR) & (F.col("start") <= F.col("to") + NEAR))
-        .select("entity", "term", "th").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= support)
-    )
-    beside = checkpointed(beside)
-    total = docs.select(F.count_distinct("th").alias("n"))
-    df_e = spans.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    wanted = beside.select("term").distinct()
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)  # else the words of all texts are shuffled to meet them
+    terms = checkpointed(terms.drop("bin"))
+
+    beside = terms.select("th", "term").distinct()
+    wanted = checkpointed(beside.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= support).select("term"))
+    few = (lambda rows: F.broadcast(rows)) if wanted.count() <= BROADCAST_TERMS else (lambda rows: rows)  # else the words of all texts are shuffled to meet them
     words = docs.select("th", F.explode(F.split(F.lower("text"), BETWEEN, -1)).alias("term"))
-    df_t = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df_t"))
+    df_t = checkpointed(words.join(few(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df_t")))
+    # df_te is df_e at most, so a term that discloses enough stands in n^(1 - g) df_e^g texts at most
+    most = F.pow(F.col("n"), 1 - generalise) * F.pow(F.col("df_e"), generalise) * (1 + 1e-9)
+    rare = df_t.crossJoin(F.broadcast(holds.agg(F.max(most).alias("most")))).filter("df_t <= most").drop("most")
+    both = beside.join(few(rare), "term").join(holds, "th").filter(F.col("df_t") <= most)
+    both = both.groupBy("entity", "term").agg(F.count("*").alias("df_te"), *(F.first(c).alias(c) for c in ("df_t", "df_e", "n"))).filter(F.col("df_te") >= support)
     share = F.log(F.col("n") * F.col("df_te") / (F.col("df_t") * F.col("df_e"))) / F.log(F.col("n") / F.col("df_e"))
-    scored = beside.join(df_e, "entity").join(df_t, "term").crossJoin(F.broadcast(total)).filter("n > df_e").select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
+    scored = both.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
     told = spans.select(*_KEY, "entity").distinct().join(scored, "entity").groupBy(*_KEY, "term").agg(F.max("share").alias("share"))
     told = told.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("term").alias("t"), "share")
     hit = terms.join(told, terms["doc_id"].eqNullSafe(told["d"]) & (terms["th"] == told["h"]) & (terms["term"] == told["t"]))

@@ -447,6 +447,19 @@ def test_disclosing_terms(spark):
     assert new[200] == "Zanzibarfest is something else" and new[5] == dict(plain)[5]
 
 
+def test_short_and_distant_and_numeric_terms_disclose(spark):
+    plain = [(k, f"the usual words of every day number{k} and so on") for k in range(60)]
+    told = [(100 + k, f"Li 48151623 {'the usual words of every day ' * 9}and so on, boss@corp.example, item{k}") for k in range(4)]
+    docs = spark.createDataFrame(plain + told + told[:2] + [(300 + k, t) for k, t in told], "doc_id long, text string")
+    rows = pii.personal_data(docs).collect()
+    assert len(rows) == 70
+    for r in rows:
+        if r.doc_id < 100:
+            assert r.spans == ""
+        else:
+            assert r.n_term == 2 and r.spans.startswith("term_remove:0:2,term_remove:3:11,email:")
+
+
 def test_patience_alignment():
     assert licenses.longest_increasing([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4])
     assert licenses.patience(list("xabycz"), list("abc")) == [(1, 0), (2, 1), (4, 2)]

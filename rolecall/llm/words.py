@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 GROUP_BYTES = 2 << 20
 _SEGMENT = 1 << 18
+#: Bits of a place in the keys that winnowing compares.
+_PLACE = 24
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD6E8FEB86659FD93 | 1
 
@@ -182,15 +184,15 @@ def winnow(hashes: np.ndarray, first: np.ndarray, n: int, w: int) -> np.ndarray:
     total = len(hashes)
     if total < n + w - 1:
         return np.zeros(0, np.int64)
-    low = np.uint64(24)
-    if total >= 1 << 24:
-        low = np.uint64(int(total).bit_length())
-    mask = (np.uint64(1) << low) - np.uint64(1)
-    key = (hashes & ~mask) | (mask - np.arange(total, dtype=np.uint64))
-    least = sliding_min(key, w)
+    mask = np.uint64((1 << _PLACE) - 1)
     starts = gram_starts(first, n + w - 1)
     kept = np.zeros(total, dtype=bool)
-    kept[(mask - (least[starts] & mask)).astype(np.int64)] = True
+    size = (1 << _PLACE) - w
+    for lo in range(0, total, size):  # places count within a slice, so that ties are broken alike in texts of any length
+        part = hashes[lo : lo + size + w - 1]
+        least = sliding_min((part & ~mask) | (mask - np.arange(len(part), dtype=np.uint64)), w)
+        mine = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, lo + size)] - lo
+        kept[lo + (mask - (least[mine] & mask)).astype(np.int64)] = True
     return np.flatnonzero(kept)
 
 

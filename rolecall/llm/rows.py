@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Up to so many narrow rows (some 20 MB) are broadcast.
+BROADCAST_ROWS = 500_000
+
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, text): only the columns an operator reads, so extra columns
@@ -27,18 +32,47 @@ def row_condition(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text
     return docs[id_col].cast("long").eqNullSafe(keys["doc_id"]) & (F.xxhash64(docs[text_col]) == keys["th"])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    Only a local session may go without one, and gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        shared = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder; the session's own setting comes first.
     A collection on the driver then lets Spark's cleaner drop the shuffle files of
     the lineage that was cut, which would stay on executors' disks until some later one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:  # a local session, as in tests
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
     sc._jvm.System.gc()
     return out
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: lineage is cut as by
+    ``checkpointed``, in columns and compressed, which suits long narrow tables.
+    The table goes when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame | None:
+    """``rows`` marked for broadcast if they are counted to be at most ``most``, else None:
+    the caller then joins in another way."""
+    return F.broadcast(rows) if rows.count() <= most else None

@@ -18,18 +18,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .rows import checkpointed, keyed, same_row
+from .rows import few, keyed, same_row, written
 
 WINDOW = 50
 GRAM = 8
 _SECOND = 0xA0761D6478BD642F
+#: Bits for the words of a block on one side of its anchor.
+_SIDE = 12
+_POS = f"shiftright(place, {2 * _SIDE})"
+_S = f"{_POS} - (shiftright(place, {_SIDE}) & {(1 << _SIDE) - 1})"
+_E = f"{_POS} + (place & {(1 << _SIDE) - 1})"
 
 
 def _each_group(batch: pa.RecordBatch):
@@ -42,6 +48,7 @@ def _each_group(batch: pa.RecordBatch):
 
 
 def _anchors(window: int, gram: int):
+    """Anchors of texts; ``place`` holds the anchor's word, and how many words before and from it the block covers."""
     reach = window - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,13 +62,13 @@ def _anchors(window: int, gram: int):
                 lo, hi = first[doc], first[doc + 1]
                 left, right = np.maximum(at - reach, lo), np.minimum(at + window, hi)
                 # what the ends of the document cut off is part of the block
-                cut = (at - left).astype(np.uint64) * np.uint64(1024) + (right - at).astype(np.uint64)
+                cut = (at - left).astype(np.uint64) << np.uint64(_SIDE) | (right - at).astype(np.uint64)
+                place = (at - lo).astype(np.int64) << 2 * _SIDE | cut.view(np.int64)
                 part = batch.slice(i, j - i)
                 who = pa.array(doc)
-                s, e = np.maximum(at - reach, lo) - lo, np.minimum(at, hi - window) + window - lo
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(who), part.column("th").take(who), *(pa.array(x.astype(np.int32)) for x in (at - lo, s, e)), pa.array(W.signed(every[at])), pa.array(W.signed(one.of(left, right) ^ cut)), pa.array(W.signed(two.of(left, right) ^ cut))],
-                    ["doc_id", "th", "pos", "s", "e", "anchor", "block1", "block2"],
+                    [part.column("doc_id").take(who), part.column("th").take(who), *(pa.array(x) for x in (place, W.signed(every[at]), W.signed(one.of(left, right) ^ cut), W.signed(two.of(left, right) ^ cut)))],
+                    ["doc_id", "th", "place", "anchor", "block1", "block2"],
                 )
 
     return run
@@ -150,44 +157,55 @@ def _each_group_bounds(batch: pa.RecordBatch):
 
 
 def parse(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Anchors of keyed documents that more than one document has: doc_id, th, pos,
-    [s, e) the words that windows around it cover, ``ref`` the first place
-    (doc_id, pos) of its block, ``mixed`` whether the anchor has several blocks."""
-    anchors = docs.filter("doc_id is not null").mapInArrow(_anchors(window, gram), "doc_id long, th long, pos int, s int, e int, anchor long, block1 long, block2 long")
-    shared = (
+    """Anchors of keyed documents that more than one document has: doc_id, th, place,
+    ``ref`` the first place (doc_id, pos) of its block, ``mixed`` whether the anchor has several blocks.
+
+    Each step is a narrow table, so that joins meet plain scans on both sides and
+    Spark can split the rows of an anchor or a block that very many documents hold.
+    """
+    anchors = docs.filter("doc_id is not null").mapInArrow(_anchors(window, gram), "doc_id long, th long, place long, anchor long, block1 long, block2 long")
+    shared = written(
         anchors.groupBy("anchor")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("block1") < F.max("block1")).alias("mixed"))
         .filter("lo < hi")
         .select("anchor", "mixed")
     )
-    live = anchors.join(shared, "anchor").select("doc_id", "th", "pos", "s", "e", "mixed", "block1", "block2")
-    index = live.groupBy("block1", "block2").agg(F.min(F.struct("doc_id", "pos")).alias("ref"))
-    return live.join(index, ["block1", "block2"]).select("doc_id", "th", "pos", "s", "e", "mixed", "ref")
+    live = written(anchors.join(shared, "anchor").select("doc_id", "th", "place", "mixed", "block1", "block2"))
+    index = written(live.groupBy("block1", "block2").agg(F.min(F.struct("doc_id", F.expr(_POS).alias("pos"))).alias("ref")))
+    return written(live.join(index, ["block1", "block2"]).select("doc_id", "th", "place", "mixed", "ref"))
 
 
 def _factors(parsed: DataFrame) -> DataFrame:
-    """Greedy factors: the anchors of a document that continue one copy from one earlier
-    document at one distance, as spans of words in text order."""
-    known = parsed.filter("ref.doc_id < doc_id")
-    return known.groupBy("doc_id", "th", F.col("ref.doc_id").alias("ref_doc"), (F.col("pos") - F.col("ref.pos")).alias("shift")).agg(
-        F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans")
-    )
+    """(doc_id, th, ref_doc, shift, s, e): greedy factors.  Anchors are taken in text order;
+    a factor goes on while the next block continues the copy from the same earlier
+    document at the same distance, and ends where the source changes or words lie between."""
+    known = parsed.filter("ref.doc_id < doc_id").select("doc_id", "th", F.expr(_POS).alias("pos"), F.expr(_S).alias("s"), F.expr(_E).alias("e"), F.col("ref.doc_id").alias("ref_doc"), F.expr(f"{_POS} - ref.pos").alias("shift"))
+    order = Window.partitionBy("doc_id", "th").orderBy("pos")
+    before = lambda c: F.lag(c).over(order)
+    goes_on = (before("ref_doc") == F.col("ref_doc")) & (before("shift") == F.col("shift")) & (F.col("s") <= before("e"))
+    number = F.sum(F.when(goes_on, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return known.withColumn("number", number).groupBy("doc_id", "th", "number").agg(F.first("ref_doc").alias("ref_doc"), F.first("shift").alias("shift"), F.min("s").alias("s"), F.max("e").alias("e")).drop("number")
 
 
 def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The parse itself: (doc_id, ref_doc, shift, spans), spans of words copied from ``ref_doc``."""
+    """The parse itself: (doc_id, ref_doc, shift, s, e), words [s, e) copied from
+    ``ref_doc``, where they stand ``shift`` words earlier; every factor has ``window`` words at least."""
     return _factors(parse(keyed(docs), window, gram)).drop("th")
 
 
 def _spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(doc_id, th, spans): the words of factors, and the windows at their ends that an earlier document holds."""
-    parsed = checkpointed(parse(docs, window, gram))
-    ask = parsed.filter("mixed and ref.doc_id >= doc_id").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("ask"))
-    windows = docs.join(ask, ["doc_id", "th"]).select("doc_id", "th", "text", "ask").mapInArrow(_windows(window, gram), "doc_id long, th long, pos int, win1 long, win2 long")
-    first = windows.groupBy("win1", "win2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    late = windows.join(first, ["win1", "win2"]).filter("lo < doc_id").select("doc_id", "th", F.struct(F.col("pos").alias("s"), (F.col("pos") + window).alias("e")).alias("span"))
-    whole = _factors(parsed).select("doc_id", "th", F.explode("spans").alias("span"))
-    return whole.union(late).groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
+    parsed = parse(docs, window, gram)
+    ask = written(parsed.filter("mixed and ref.doc_id >= doc_id").groupBy("doc_id", "th").agg(F.collect_set(F.expr(_POS)).alias("ask")))
+    asked = docs.filter("doc_id is not null")
+    if (keys := few(ask.select("doc_id", "th"))) is not None:
+        asked = asked.join(keys, ["doc_id", "th"], "left_semi")
+    asked = asked.join(ask, ["doc_id", "th"]).select("doc_id", "th", "text", "ask")
+    windows = written(asked.mapInArrow(_windows(window, gram), "doc_id long, th long, pos int, win1 long, win2 long"))
+    first = written(windows.groupBy("win1", "win2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi"))
+    late = windows.join(first, ["win1", "win2"]).filter("lo < doc_id").select("doc_id", "th", F.struct(F.col("pos").cast("long").alias("s"), (F.col("pos") + window).cast("long").alias("e")).alias("span"))
+    whole = _factors(parsed).select("doc_id", "th", F.struct("s", "e").alias("span"))
+    return written(whole.union(late).groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans")))
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True) -> DataFrame:
@@ -200,9 +218,13 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, t
     nor larger than any, so such rows stay whole; repeated rows get one row each.
     """
     docs = keyed(docs)
-    spans = checkpointed(_spans(docs, window, gram))
+    spans = _spans(docs, window, gram)
+    keys = few(spans.select("doc_id", "th"))
+    parts = [docs]
+    if keys is not None:  # only texts with spans are shuffled to meet them
+        parts = [docs.join(keys, same_row(docs, keys), "left_semi"), docs.join(keys, same_row(docs, keys), "left_anti")]
+    joined = [d.join(spans, same_row(d, spans), "left").select(d["doc_id"], d["th"], "text", "spans") for d in parts[:1]]
+    joined += [d.select("doc_id", "th", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")) for d in parts[1:]]
     schema = "doc_id long, th long, n_words long, n_removed long, "
-    joined = docs.join(spans, same_row(docs, spans), "left").select(docs["doc_id"], docs["th"], "text", "spans")
-    if texts:
-        return joined.mapInArrow(_cut, schema + "kept_text string, removed array<struct<s:long,e:long>>")
-    return joined.mapInArrow(_digest, schema + "kept_sha256 string")
+    run, schema = (_cut, schema + "kept_text string, removed array<struct<s:long,e:long>>") if texts else (_digest, schema + "kept_sha256 string")
+    return reduce(DataFrame.unionByName, (d.mapInArrow(run, schema) for d in joined))

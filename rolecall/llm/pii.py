@@ -1,17 +1,25 @@
 """Personal data: patterns, and information-theoretic sanitisation, in native expressions only.
 
-Base entities (email, ip, card, phone) are found by pattern in every text.
-Around them the corpus tells which other terms give an entity away.  With N
-texts, of which df_e hold the entity, df_t the term, and df_te both, the term
+Base values (email, ip, card, phone) are found by pattern in every text.  Each
+stands for protected entities at three levels: the value itself, its owner
+(domain of an address, network of an ip, issuer of a card, area of a phone) and
+personal data as such.  The corpus tells which other terms give an entity away.
+With N texts, of which df_e hold the entity, df_t the term, and df_te both, the
+share of texts with the term that hold the entity is at least p, the lower end of
+Wilson's interval for df_te of df_t at ``Z`` standard deviations, and the term
 discloses
 
-    PMI(t; e) / IC(e) = ln(N df_te / (df_t df_e)) / ln(N / df_e)
+    PMI(t; e) / IC(e) = ln(p N / df_e) / ln(N / df_e)
 
-of the entity: 1 when the term stands nowhere else.  In texts that hold the
-entity, terms that disclose ``GENERALISE`` or more are generalised to a class,
-and from ``REMOVE`` on they are removed.  Texts are counted once whatever their
-copies, and a term needs ``SUPPORT`` different texts with the entity.  Every
-term counts: names, short ones and numbers, wherever in the text they stand.
+of the entity at least: near 1 when many texts hold the term and all hold the
+entity, less when the evidence is thin.  In texts that hold the entity, terms that
+surely disclose ``GENERALISE`` or more are generalised to a class; those of them
+whose estimate (with df_te / df_t for p) is ``REMOVE`` or more are removed.  Texts
+are counted once whatever their copies.  What stands in one text only is no
+co-occurrence and has no estimate of its own; a term with digits and ``FORM`` or
+more letters and digits is also counted by its form (letters or none, and
+length), so that keys and numbers that never recur are told by what their like
+stand beside.  Every term counts, short ones and numbers too, wherever it stands.
 
 Matches and terms get their places from the lengths of what lies between them
 (``split``) and of themselves (``regexp_extract_all``), summed in text order.
@@ -19,17 +27,17 @@ Matches and terms get their places from the lengths of what lies between them
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rows import checkpointed, keyed, row_condition, same_row
+from .rows import few, keyed, quoted, written
 
-GENERALISE = 0.8
+GENERALISE = 2 / 3
 REMOVE = 0.95
-SUPPORT = 3
-#: Up to so many terms (some 20 MB) are broadcast.
-BROADCAST_TERMS = 500_000
-_BIN = 128
+Z = 2.4
+FORM = 12
 
 #: The four kinds in order.  A match begins at the start of its run of
 #: characters or where the last match ended (\G); quantifiers never give back, so
@@ -46,7 +54,8 @@ GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "p
 TERM = r"[\p{L}\p{N}]+"
 BETWEEN = r"[^\p{L}\p{N}]+"
 TERM_KINDS = ("term_general", "term_remove")
-_KEY = ["doc_id", "th"]
+#: Terms that also count by their form.
+_FORMED = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{L}}*\p{{N}})[\p{{L}}\p{{N}}]{{{FORM},}}"
 
 
 def _digits(value: Column) -> Column:
@@ -71,7 +80,7 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _placed(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``parts`` (gap, value) in text order to (by..., start, end, value), in code points."""
+    """``parts`` (gap, value) in text order to (by..., start, end, value), in code points; one window for each text."""
     each = rows.select(*by, F.posexplode("parts")).select(*by, "pos", F.length("col.gap").alias("gap"), F.col("col.value").alias("value"))
     w = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     size = F.coalesce(F.length("value"), F.lit(0))
@@ -84,65 +93,112 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("value"))
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, kind, start, end, value) of every valid base match of keyed documents."""
-    hit = {k: F.when(F.col("text").rlike(GUARDS[k]) if k != "email" else F.contains("text", F.lit("@")), F.col("text").rlike(PATTERNS[k])).otherwise(False) for k in KINDS}
-    some = docs.filter(hit["email"] | hit["ip"] | hit["card"] | hit["phone"]).dropDuplicates(_KEY)
-    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), _parts(F.col("text"), PATTERNS[k]).alias("parts")) for k in KINDS)))
-    rows = some.select(*_KEY, kinds.alias("k")).select(*_KEY, F.col("k.kind").alias("kind"), F.col("k.parts").alias("parts"))
-    return _placed(rows, [*_KEY, "kind"]).filter(_valid(F.col("kind"), F.col("value"))).drop("pos")
-
-
-def _bins(first: Column, last: Column) -> Column:
-    return F.explode(F.sequence(F.floor(first / _BIN), F.floor(last / _BIN)))
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(th, text): every text of keyed documents once, without null and empty ones.  Most texts
+    have no copy and are passed on where they lie; only those with copies are brought together."""
+    docs = docs.filter("text <> ''")
+    copied = written(docs.groupBy("th").agg(F.count("*").alias("n")).filter("n > 1").select("th"))
+    keys = few(copied)
+    if keys is None:
+        return docs.select("th", "text").dropDuplicates(["th"])
+    alone = docs.join(keys, "th", "left_anti").select("th", "text")
+    return alone.union(docs.join(keys, "th", "left_semi").select("th", "text").dropDuplicates(["th"]))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """(doc_id, th, kind, start, end): the terms of texts with entities that give one of their entities away."""
-    spans = found.select(*_KEY, F.concat_ws(":", "kind", F.lower("value")).alias("entity"), F.col("start").alias("from"), F.col("end").alias("to"))
-    total = docs.select(F.count_distinct("th").alias("n"))
-    holds = spans.select("entity", "th").distinct()
-    df_e = holds.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support).crossJoin(F.broadcast(total)).filter("n > df_e")
-    holds = checkpointed(holds.join(df_e, "entity"))  # no other entity can be told
-    owners = found.join(holds.select("th").distinct(), "th", "left_semi").select(*_KEY).distinct()
-    texts = docs.join(owners, same_row(docs, owners), "left_semi").dropDuplicates(_KEY)
-    terms = _placed(texts.select(*_KEY, _parts(F.col("text"), TERM).alias("parts")), _KEY)
-    terms = terms.select(*_KEY, "start", "end", "value", F.lower("value").alias("term"), F.floor(F.col("start") / _BIN).alias("bin"))
-    taken = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "from", "to", _bins(F.col("from"), F.col("to")).alias("b"))
-    terms = terms.join(taken, terms["doc_id"].eqNullSafe(taken["d"]) & (terms["th"] == taken["h"]) & (terms["bin"] == taken["b"]) & (terms["start"] < taken["to"]) & (terms["end"] > taken["from"]), "left_anti")
-    terms = checkpointed(terms.drop("bin"))
+def entities(texts: DataFrame) -> DataFrame:
+    """(th, kind, start, end, value) of every valid base match of distinct texts."""
+    hit = {k: F.when(F.col("text").rlike(GUARDS[k]) if k != "email" else F.contains("text", F.lit("@")), F.col("text").rlike(PATTERNS[k])).otherwise(False) for k in KINDS}
+    some = texts.filter(hit["email"] | hit["ip"] | hit["card"] | hit["phone"])
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), _parts(F.col("text"), PATTERNS[k]).alias("parts")) for k in KINDS)))
+    rows = some.select("th", kinds.alias("k")).select("th", F.col("k.kind").alias("kind"), F.col("k.parts").alias("parts"))
+    return _placed(rows, ["th", "kind"]).filter(_valid(F.col("kind"), F.col("value"))).drop("pos")
+
+
+def protected(kind: Column, value: Column) -> Column:
+    """The names of the entities that a base value stands for: value, owner, personal data as such."""
+    value, digits = F.lower(value), _digits(value)
+    owner = (
+        F.when(kind == "email", F.substring_index(value, "@", -1))
+        .when(kind == "ip", F.substring_index(value, ".", 2))
+        .when(kind == "card", F.substring(digits, 1, 6))
+        .otherwise(F.substring(digits, 1, 4))
+    )
+    exact = F.when(kind.isin("card", "phone"), digits).otherwise(value)
+    return F.array(F.concat_ws(":", F.lit("value"), kind, exact), F.concat_ws(":", F.lit("owner"), kind, owner), F.lit("any"))
+
+
+def _form(term: Column) -> Column:
+    """The form of a long term with digits: letters among them or not, and its length."""
+    return F.concat(F.when(term.rlike(r"\p{L}"), "#x").otherwise("#n"), F.length(term).cast("string"))
+
+
+def _wilson(k: Column, n: Column, z: float) -> Column:
+    """The lower end of Wilson's interval for k of n."""
+    p = k / n
+    return (p + z * z / (2 * n) - z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _beside(terms: DataFrame, found: DataFrame) -> DataFrame:
+    """The terms that overlap no base match: in text order, each looks back to the
+    furthest end and ahead to the next start of a match."""
+    rows = terms.withColumn("base", F.lit(False)).unionByName(found.select("th", "start", "end", F.lit(None).cast("string").alias("value"), F.lit(True).alias("base")))
+    order = "over (partition by th order by start, base desc"
+    past = F.expr(f"max(case when base then end end) {order} rows between unbounded preceding and current row)")
+    ahead = F.expr(f"lead(case when base then start end) ignore nulls {order})")
+    rows = rows.withColumns({"past": past, "ahead": ahead})
+    return rows.filter("not base and coalesce(past <= start, true) and coalesce(ahead >= end, true)").drop("base", "past", "ahead")
+
+
+def disclosing(texts: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z) -> DataFrame:
+    """(th, kind, start, end, value): the terms of distinct texts with base matches that give one of their entities away."""
+    holds = found.select("th", F.explode(protected(F.col("kind"), F.col("value"))).alias("entity")).distinct()
+    n = texts.count()
+    df_e = holds.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e").between(2, n - 1))
+    holds = written(holds.join(written(df_e), "entity"))  # no other entity can be told
+    owners = holds.select("th").distinct()
+    private = texts.join(few(owners) or owners, "th", "left_semi")
+    terms = _beside(_placed(private.select("th", _parts(F.col("text"), TERM).alias("parts")), ["th"]).drop("pos"), found)
+    # a form is a further name of the same place
+    term = F.lower("value")
+    names = F.explode(F.when(term.rlike(rf"^{_FORMED}$"), F.array(term, _form(term))).otherwise(F.array(term)))
+    terms = written(terms.select("th", "start", "end", "value", names.alias("term")))
 
     beside = terms.select("th", "term").distinct()
-    wanted = checkpointed(beside.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= support).select("term"))
-    few = (lambda rows: F.broadcast(rows)) if wanted.count() <= BROADCAST_TERMS else (lambda rows: rows)  # else the words of all texts are shuffled to meet them
-    words = docs.select("th", F.explode(F.split(F.lower("text"), BETWEEN, -1)).alias("term"))
-    df_t = checkpointed(words.join(few(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df_t")))
-    # df_te is df_e at most, so a term that discloses enough stands in n^(1 - g) df_e^g texts at most
-    most = F.pow(F.col("n"), 1 - generalise) * F.pow(F.col("df_e"), generalise) * (1 + 1e-9)
-    rare = df_t.crossJoin(F.broadcast(holds.agg(F.max(most).alias("most")))).filter("df_t <= most").drop("most")
-    both = beside.join(few(rare), "term").join(holds, "th").filter(F.col("df_t") <= most)
-    both = both.groupBy("entity", "term").agg(F.count("*").alias("df_te"), *(F.first(c).alias(c) for c in ("df_t", "df_e", "n"))).filter(F.col("df_te") >= support)
-    share = F.log(F.col("n") * F.col("df_te") / (F.col("df_t") * F.col("df_e"))) / F.log(F.col("n") / F.col("df_e"))
-    scored = both.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
-    told = spans.select(*_KEY, "entity").distinct().join(scored, "entity").groupBy(*_KEY, "term").agg(F.max("share").alias("share"))
-    told = told.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("term").alias("t"), "share")
-    hit = terms.join(told, terms["doc_id"].eqNullSafe(told["d"]) & (terms["th"] == told["h"]) & (terms["term"] == told["t"]))
-    return hit.select(*_KEY, F.when(F.col("share") >= remove, TERM_KINDS[1]).otherwise(TERM_KINDS[0]).alias("kind"), "start", "end", "value")
-
-
-def all_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """(doc_id, th, spans): base and added spans of each keyed row that has any, by start and kind."""
-    found = checkpointed(entities(docs))
-    every = found.unionByName(disclosing(docs, found, generalise, remove, support))
+    wanted = written(beside.groupBy("term").agg(F.count("*").alias("df_p")).filter("df_p > 1"))
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), BETWEEN, -1))).alias("term"))
+    forms = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_FORMED), 0), _form))).alias("term"))
+    met = words.union(forms)
+    if (names := few(wanted.select("term"))) is not None:  # else all terms are counted
+        met = met.join(names, "term", "left_semi")
+    df_t = met.groupBy("term").agg(F.count("*").alias("df_t"))
+    df_t = written(wanted.join(df_t, "term"))
+    # p is df_te / df_t at most, and df_te is neither over df_e nor over the private texts with the term
+    most = F.least("df_e", "df_p") * F.pow(n / F.col("df_e"), 1 - generalise) * (1 + 1e-9)
+    both = beside.join(few(df_t) or df_t, "term").join(holds, "th").filter(F.col("df_t") <= most)
+    both = written(both.select("th", "entity", "term", "df_t", "df_e"))
+    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("df_te"), F.first("df_t").alias("df_t"), F.first("df_e").alias("df_e")).filter("df_te > 1")
+    share = lambda p: F.log(p * n / F.col("df_e")) / F.log(n / F.col("df_e"))
+    sure = share(_wilson(F.col("df_te"), F.col("df_t"), z))
+    scored = written(pairs.filter(sure >= generalise).select("entity", "term", share(F.col("df_te") / F.col("df_t")).alias("share")))
+    told = both.join(few(scored) or scored, ["entity", "term"]).groupBy("th", "term").agg(F.max("share").alias("share"))
+    hit = terms.join(told, ["th", "term"]).groupBy("th", "start", "end", "value").agg(F.max("share").alias("share"))
+    return hit.select("th", F.when(F.col("share") >= remove, TERM_KINDS[1]).otherwise(TERM_KINDS[0]).alias("kind"), "start", "end", "value")
+
+
+def all_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z) -> DataFrame:
+    """(th, spans): base and added spans of each text of keyed documents that has any, by start and kind."""
+    texts = distinct_texts(docs)
+    found = written(entities(texts))
+    every = found.unionByName(disclosing(texts, found, generalise, remove, z))
     rank = F.array_position(F.array(*(F.lit(k) for k in KINDS + TERM_KINDS)), F.col("kind")).cast("int")
-    return every.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "value"))).alias("spans"))
+    return written(every.groupBy("th").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "value"))).alias("spans")))
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, n_term,
     base_sha256, spans (text), span_list.
 
@@ -150,8 +206,8 @@ def personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float
     one text; a null doc_id is kept; an entity that every text holds discloses nothing.
     """
     docs = keyed(docs)
-    spans = all_spans(docs, generalise, remove, support)
-    rows = docs.select(*_KEY).join(spans, same_row(docs, spans), "left").select(docs["doc_id"], F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("span_list"))
+    spans = all_spans(docs, generalise, remove, z)
+    rows = docs.select("doc_id", "th").join(spans, "th", "left").select("doc_id", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("span_list"))
     count = lambda *kinds: F.size(F.filter("span_list", lambda s: s["kind"].isin(*kinds))).cast("long")
     return rows.select(
         "doc_id",
@@ -163,20 +219,30 @@ def personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float
     )
 
 
-def sanitised(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def sanitised(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z) -> DataFrame:
     """``docs`` with entities replaced by [KIND], generalised terms by [NUMBER], [NAME] or
     [WORD], and removed terms left out; of spans that overlap the first counts.  Other
-    columns are unchanged, but ``n_chars``, if there, counts the new text."""
-    spans = all_spans(keyed(docs), generalise, remove, support)
+    columns are unchanged, whatever their names, but ``n_chars``, if there, counts the new text.
+
+    Null and empty texts stay as they are; repeated rows and null ids stay, one row each.
+    """
+    spans = all_spans(keyed(docs), generalise, remove, z)
     word = lambda v: F.when(v.rlike("[0-9]"), "[NUMBER]").when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
     token = lambda s: F.when(s["kind"] == TERM_KINDS[1], "").when(s["kind"] == TERM_KINDS[0], word(s["value"])).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    text = F.col("__text")
+    # the columns travel as one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns)).alias("row"), F.xxhash64(F.col("text")).alias("th"))
+    text = F.col("row")["text"]
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(
         F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), token(s)).alias("out"))
     )
-    new = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    named = spans.withColumnRenamed("spans", "__spans")
-    both = docs.withColumn("__text", docs["text"]).join(named, row_condition(docs, named), "left").withColumn("__new", F.when(F.col("__spans").isNull(), text).otherwise(new))
-    columns = [F.col("__new").alias("text") if c == "text" else F.length("__new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    new = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    keys = few(spans.select("th"))
+    parts = [rows]
+    if keys is not None:  # only texts with spans are shuffled to meet them
+        parts = [rows.join(keys, "th", "left_semi"), rows.join(keys, "th", "left_anti")]
+    joined = [parts[0].join(spans, "th", "left").select("row", F.when(F.col("spans").isNull(), text).otherwise(new).alias("new"))]
+    joined += [p.select("row", text.alias("new")) for p in parts[1:]]
+    both = reduce(DataFrame.union, joined)
+    columns = [F.col("new").alias("text") if c == "text" else F.length("new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
     return both.select(*columns)

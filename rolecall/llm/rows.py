@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` takes it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, text): only the columns an operator reads, so extra columns
     with any name never clash.  ``th`` hashes the text: two rows with one
@@ -29,7 +34,7 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
 
 def row_condition(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
     """As ``same_row``, from a table of documents to rows of keys."""
-    return docs[id_col].cast("long").eqNullSafe(keys["doc_id"]) & (F.xxhash64(docs[text_col]) == keys["th"])
+    return docs[f"`{id_col}`"].cast("long").eqNullSafe(keys["doc_id"]) & (F.xxhash64(docs[f"`{text_col}`"]) == keys["th"])
 
 
 def shared_folder(spark: SparkSession) -> str:

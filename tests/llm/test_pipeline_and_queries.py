@@ -1,5 +1,7 @@
 """The registered queries over the smallest tables, and the pipeline stage by stage."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from rolecall.llm import decontaminate, neardup, pieces, pii, quality
 from rolecall.llm.queries import ORACLES, QUERIES
@@ -40,3 +42,26 @@ def test_stages(spark, sf_dir):
             assert docs.filter("not exact").count() == 0 and kept[name] == before.count()
     assert pieces.MODEL.endswith(".model")
     assert corpus_pipeline.run(spark, sf_dir).count() == kept["sentencepiece_encoding"]
+
+
+def test_pipeline_of_hard_rows(spark, sf_dir, tmp_path):
+    """Nulls, empty and long texts, repeated rows and columns of clashing names through all stages."""
+    good = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    odd = [(None, None), (9001, None), (9002, ""), (9003, " "), (9004, "x" * 200_000), (9005, "a b c d@e.org " * 3000), (9005, "a b c d@e.org " * 3000)]
+    rows = good.select("doc_id", "text").union(good.select("doc_id", "text").limit(5)).union(spark.createDataFrame(odd, "doc_id long, text string"))
+    names = ["th", "row", "spans", "x.y", "new", "rep", "component", "label", "n_words", "__text"]
+    docs = rows.select("doc_id", "text", *(F.lit(n).alias(n) for n in names))
+    for table in (docs, docs.limit(0)):
+        path = str(tmp_path / f"t{table.count()}")
+        table.write.parquet(f"{path}/documents.parquet")
+        labels.write.parquet(f"{path}/labels.parquet")
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{path}/benchmark.parquet")
+        now = spark.read.parquet(f"{path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, path).cache()
+            assert now.columns == docs.columns
+            assert now.select("doc_id").subtract(docs.select("doc_id")).count() == 0
+            assert now.filter(" or ".join(f"not (`{n}` <=> '{n}')" for n in names)).count() == 0
+        last = corpus_pipeline.run(spark, path)
+        assert last.count() == now.count() and last.filter("not exact").count() == 0

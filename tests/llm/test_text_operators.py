@@ -276,6 +276,16 @@ def test_scores_of_the_context_tree(spark, docs, no_docs, corpus):
     assert ctw.score_texts(docs.limit(3), F.lit(False)).count() == 3
 
 
+def test_codes_of_long_texts_come_in_slices(monkeypatch):
+    data = np.random.default_rng(1).integers(0, 255, 1000).astype(np.uint8)
+    at = np.array([0, 1000])
+    want, _ = ctw.byte_codes(data, at, 5)
+    for size in (7, 100, 999, 1000, 1001):
+        monkeypatch.setattr(ctw, "_RUN", size)
+        runs = list(ctw.code_runs(data, at, 5))
+        assert (np.concatenate([c for _, c in runs]) == want).all() and all(len(c) <= max(size, 1) or size >= 1000 for _, c in runs)
+
+
 def test_rare_contexts_stay_in_the_tree_of_a_large_corpus(spark, monkeypatch):
     monkeypatch.setattr(ctw, "_CHUNK", 50)
     train = ["abcdefgh qrstuv", "abcdefgh qrstuv", "xyzzy"] + ["the cat sat on the mat again %d" % (k % 7) for k in range(4000)]
@@ -316,6 +326,25 @@ def test_quality_network(spark, docs, no_docs):
     assert np.array_equal(network.table, again.table)
 
 
+def test_network_against_a_naive_convolution():
+    rng = np.random.default_rng(14)
+    net = quality.Network(5, 3)
+    net.bias += 0.2
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 7, 128, 129, 300, 1000)]
+    got = net.score(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    for text, p in zip(texts, got):
+        halves = max(2, -(-len(text) // 128))
+        data = text + bytes(halves * 128 + 8 - len(text))
+        chunks = []
+        for h in range(halves - 1):
+            top = [max(sum(float(net.table[k, data[q + k], f]) for k in range(8)) for q in range(h * 128, h * 128 + 256, 4)) for f in range(5)]
+            chunks.append([max(0.0, x + float(net.bias[f])) for f, x in enumerate(top)])
+        columns = list(zip(*chunks))
+        feature = [max(c) for c in columns] + [sum(c) / len(c) for c in columns] + [min(c) for c in columns]
+        hidden = [max(0.0, sum(x * float(net.inner[k, h]) for k, x in enumerate(feature)) + float(net.inner_bias[h])) for h in range(3)]
+        assert p == pytest.approx(1 / (1 + math.exp(-(sum(x * float(net.out[h]) for h, x in enumerate(hidden)) + float(net.shift[0])))), abs=1e-4)
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(6)
     texts = [bytes(rng.integers(97, 103, rng.integers(1, 600)).astype(np.uint8)) for _ in range(5)]
@@ -355,6 +384,25 @@ def test_media_round_trip(docs, no_docs, corpus):
     assert media.features(media.store(no_docs)).count() == 0
 
 
+def test_fingerprint_against_brute_force():
+    rng = np.random.default_rng(13)
+    x = bytes(rng.integers(32, 122, 1500).astype(np.uint8))
+    frames = 1 + -(-(len(x) - media.FRAME) // media.STEP)
+    padded = np.append(np.frombuffer(x, np.uint8), np.zeros((frames - 1) * media.STEP + media.FRAME - len(x)))
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * k / media.FRAME) for k in range(media.FRAME)]
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME)
+    level = np.array([abs(turn @ ((padded[f * media.STEP :][: media.FRAME] - 128) * window)) ** 2 for f in range(frames)])
+    strongest = {}
+    for f in range(frames):
+        for b in range(len(media.BANDS) - 1):
+            strongest[f, b] = max(range(media.BANDS[b], media.BANDS[b + 1]), key=lambda k: level[f, k])
+    power = lambda f, b: level[f, strongest[f, b]] if 0 <= f < frames else 0
+    peak = {(f, b) for f, b in strongest if power(f, b) > level[f, 1:].mean() and power(f, b) >= max(power(f - 1, b), power(f + 1, b))}
+    want = sorted((f, strongest[f, b] << 10 | strongest[g, c] << 2 | (g - f)) for f, b in peak for g, c in peak if 1 <= g - f <= media.REACH and c - b in (0, 1))
+    time, code = media.fingerprint(x)
+    assert list(zip(time.tolist(), code.tolist())) == want and want
+
+
 def test_spectral_peaks_of_a_tone():
     t = np.arange(8192)
     tone = (128 + 100 * np.sin(2 * np.pi * t * 20 / media.FRAME)).astype(np.uint8).tobytes()
@@ -393,6 +441,20 @@ def test_transducer_against_all_paths():
     assert back.tobytes() == b"".join(texts) and (b == at).all()
 
 
+def test_long_parts_are_walked_to_the_same_paths(monkeypatch):
+    machine = pieces.compiled()
+    text = np.frombuffer(("ab" * 700 + " cd " + "東京" * 800 + "x" * 3000).encode(), np.uint8)
+    at = np.array([0, 10, 10, len(text)])
+    monkeypatch.setattr(pieces, "LONG", 1 << 30)
+    whole = machine.encode(text, at)
+    monkeypatch.setattr(pieces, "LONG", 40)
+    for one, two in zip(whole, machine.encode(text, at)):
+        assert (one == two).all()
+    monkeypatch.setattr(W.groups, "__defaults__", (100,))
+    for one, two in zip(whole, machine.encode(text, at)):
+        assert (one == two).all()
+
+
 def test_encoding_round_trip(docs, no_docs, corpus):
     import sentencepiece
 
@@ -456,6 +518,95 @@ def test_disclosing_terms(spark):
     assert new[200] == "Zanzibarfest is something else" and new[5] == dict(plain)[5]
 
 
+def brute_disclosure(texts):
+    """The added spans of each text, by the definition of the measure."""
+    texts = {t or "" for t in texts} - {""}
+    n = len(texts)
+    base = {t: [(s.split(":")[0], *map(int, s.split(":")[1:])) for s in brute_pii(t).split(",") if s] for t in texts}
+
+    def entities(t):
+        out = set()
+        for kind, s, e in base[t]:
+            v = t[s:e].lower()
+            d = re.sub("[^0-9]", "", v)
+            owner = {"email": v.split("@")[-1], "ip": ".".join(v.split(".")[:2]), "card": d[:6], "phone": d[:4]}[kind]
+            out |= {("value", kind, d if kind in ("card", "phone") else v), ("owner", kind, owner), "any"}
+        return out
+
+    def named(t, beside):
+        for m in re.finditer(r"[^\W_]+", t):
+            if not (beside and any(s < m.end() and m.start() < e for _, s, e in base[t])):
+                w = m[0].lower()
+                yield m, w
+                if len(w) >= 12 and any(c.isdigit() for c in w):
+                    yield m, ("x" if any(c.isalpha() for c in w) else "n", len(w))
+
+    df_t, df_e, df_te = Counter(), Counter(), Counter()
+    for t in texts:
+        df_t.update({w for _, w in named(t, False)})
+        df_e.update(entities(t))
+        df_te.update({(e, w) for e in entities(t) for _, w in named(t, True)})
+
+    def share(e, w):
+        k, m, z = df_te[e, w], df_t[w], pii.Z
+        if k < 2 or df_e[e] in (1, n):
+            return None
+        low = (k / m + z * z / 2 / m - z * math.sqrt(k / m * (1 - k / m) / m + z * z / 4 / m / m)) / (1 + z * z / m)
+        of = lambda p: math.log(p * n / df_e[e]) / math.log(n / df_e[e])
+        return of(k / m) if low > 0 and of(low) >= pii.GENERALISE else None
+
+    out = {}
+    for t in texts:
+        spans = {}
+        for m, w in named(t, True):
+            found = [x for x in (share(e, w) for e in entities(t)) if x is not None]
+            if found:
+                spans[m.span()] = max(spans.get(m.span(), 0), max(found))
+        out[t] = sorted((s, e, "term_remove" if x >= pii.REMOVE else "term_general") for (s, e), x in spans.items())
+    return out
+
+
+def test_disclosure_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{k}é" if k % 3 else f"Wort{k}" for k in range(60)]
+    rows = []
+    for k in range(150):
+        w = list(rng.choice(words[:40], rng.integers(3, 30)))
+        if k % 5 == 0:
+            w += [f"a{rng.integers(0, 9)}@mail{rng.integers(0, 3)}.example.org", *rng.choice(words[40:50], 2)]
+        if k % 7 == 0:
+            w += [f"10.{rng.integers(0, 3)}.7.{rng.integers(0, 3)}", "token", f"{rng.integers(10**15, 10**16):x}".zfill(16)]
+        if k in (1, 12):
+            w.append(words[55])
+        if k % 11 == 0:
+            w += ["+1 (555) 010-99", str(rng.integers(10, 99)), words[55]]
+        rng.shuffle(w)
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, t) for k, t in rows[:20]] + [(300, None), (301, ""), (None, rows[0][1])]
+    want = brute_disclosure([t for _, t in rows])
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = Counter((str(i), t) for i, t in rows)
+    assert len(got) == sum(texts.values())
+    by_id = defaultdict(list)
+    for i, t in rows:
+        by_id[i].append(t or "")
+    for r in got:
+        mine = sorted((s.start, s.end, s.kind) for s in r.span_list if s.kind.startswith("term"))
+        assert mine == want.get(by_id[r.doc_id][0], []), r.doc_id
+    kinds = Counter(s.kind for r in got for s in r.span_list)
+    assert kinds["term_general"] and kinds["term_remove"]
+
+
+def test_sanitised_keeps_columns_of_any_name(spark):
+    rows = [(1, "mail a@b.org now", "q", 3, 16), (2, None, None, None, None), (2, None, None, None, None), (None, "", "w", 1, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `x.y` string, spans int, n_chars long").withColumnRenamed("spans", "__spans").withColumn("new", F.lit(5)).withColumn("row", F.lit("r")).withColumn("th", F.lit("t"))
+    out = pii.sanitised(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.select("text", "`x.y`", "__spans", "n_chars", "row", "th").collect())) == sorted(
+        map(str, spark.createDataFrame([("mail [EMAIL] now", "q", 3, 16, "r", "t"), (None, None, None, None, "r", "t"), (None, None, None, None, "r", "t"), ("", "w", 1, 0, "r", "t")], "text string, `x.y` string, __spans int, n_chars long, row string, th string").collect())
+    )
+
+
 def test_short_and_distant_and_numeric_terms_disclose(spark):
     plain = [(k, f"the usual words of every day number{k} and so on") for k in range(60)]
     told = [(100 + k, f"Li 48151623 {'the usual words of every day ' * 9}and so on, boss@corp.example, item{k}") for k in range(4)]
@@ -506,3 +657,16 @@ def test_fixity_audit(spark):
     assert one.offset == before
     assert warc.fixity(pages.limit(0), pages.limit(0)).count() == 0
     assert warc.fixity(pages.limit(0), pages).filter("kind = 'extra'").count() == 9001
+
+
+def test_each_damaged_record_is_one_row(spark):
+    """Negative ids, records without an id, and an id with very many bodies."""
+    pages = spark.createDataFrame([(k, f"u{k}", "x") for k in [-5000, -3, -2, -1, 0, 1, 2, 3, 4096]] + [(None, None, "x"), (None, "n", "y")], "page_id long, url string, html string")
+    bodies = spark.range(10_000).select(F.lit(7).cast("long").alias("page_id"), F.lit("h").alias("url"), F.concat(F.lit("body"), "id").alias("html"))
+    pages = pages.union(bodies)
+    assert warc.fixity(pages, pages.repartition(3)).filter("kind <> 'root' or not (hash_a <=> hash_b)").count() == 0
+    hit = (F.col("page_id").isNull() | F.col("page_id").isin(-5000, -3, -1, 0, 3, 7)) & F.col("html").isin("x", "body5000")
+    rows = warc.fixity(pages, pages.withColumn("html", F.when(hit, "!").otherwise(F.col("html")))).filter("kind <> 'root'").collect()
+    assert sorted((r.kind, str(r.page_id)) for r in rows) == sorted(("changed", str(k)) for k in (-5000, -3, -1, 0, 3, 7, None))
+    gone = warc.fixity(pages, pages.filter("page_id >= -2")).filter("kind <> 'root'").collect()
+    assert sorted((r.kind, str(r.page_id)) for r in gone) == [("missing", "-3"), ("missing", "-5000"), ("missing", "None")]

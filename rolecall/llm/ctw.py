@@ -36,10 +36,12 @@ TOP = 2
 HEAD = 1 << 20
 END = 0xFF
 _END_WORD = 0x1F83D9ABFB41BD6B
-_MERGE = 1 << 20
+_MERGE = 1 << 19
 #: Rows of subtrees that are weighted at once.
-_CHUNK = 1 << 17
+_CHUNK = 1 << 16
 _SLICE = 1 << 16
+#: Bytes of text whose contexts a task holds at once.
+_RUN = 1 << 18
 
 
 class Table:
@@ -113,6 +115,24 @@ def byte_codes(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray
     return code[inside], at + np.arange(n + 1)
 
 
+def code_runs(data: np.ndarray, at: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, code) of every byte of a run of texts; a text of over ``_RUN`` bytes comes in
+    slices that overlap by the bytes of a context."""
+    n = len(at) - 1
+    if n != 1 or len(data) <= _RUN:
+        code, first = byte_codes(data, at, depth)
+        yield np.repeat(np.arange(n), np.diff(first)), code
+        return
+    for lo in range(0, len(data) + 1, _RUN):
+        hi = min(lo + _RUN, len(data) + 1)
+        before = np.zeros(depth - min(lo, depth), np.uint8)
+        part = np.concatenate([before, data[max(0, lo - depth) : hi], np.full(int(hi > len(data)), END, np.uint8)])
+        code = np.zeros(hi - lo, np.uint64)
+        for k in range(depth + 1):
+            code = code << np.uint64(8) | part[k : k + hi - lo].astype(np.uint64)
+        yield np.zeros(hi - lo, np.int64), code
+
+
 def _counts(depth: int):
     """Batches of (text, held_out) to (kind, key, n): counts of words (0) and of byte codes (1), merged within
     the task.  Codes of held-out texts are listed with the count 0."""
@@ -121,6 +141,8 @@ def _counts(depth: int):
         held: dict[int, list] = {0: [], 1: []}
 
         def add(kind, keys, times=1):
+            if not len(keys):
+                return
             u, n = np.unique(keys, return_counts=True)
             held[kind].append((u, n * times))
             if sum(len(p[0]) for p in held[kind]) > _MERGE:
@@ -140,18 +162,16 @@ def _counts(depth: int):
 
         for batch in batches:
             data, at = W.text_buffers(batch.column("text"))
-            data = W.LOWER.take(data)
             learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            for i, j in W.groups(at, 1 << 20):
-                d, a, mine = data[at[i] : at[j]], at[i : j + 1] - at[i], learn[i:j]
-                code, b = byte_codes(d, a, depth)
+            for i, j in W.groups(at, _RUN):
+                d, a, mine = W.mapped(data[at[i] : at[j]], W.LOWER), at[i : j + 1] - at[i], learn[i:j]
                 if mine.any():
                     starts, ends, first = W.word_bounds(d, a, W.SPACE)
                     hashes = W.word_hashes(d, starts, ends)[mine[W.doc_of(first)]]
                     yield from add(0, np.append(hashes, np.full(mine.sum(), _END_WORD, np.uint64)))
-                    yield from add(1, code[np.repeat(mine, np.diff(b))])
-                if not mine.all():
-                    yield from add(1, code[np.repeat(~mine, np.diff(b))], 0)
+                for doc, code in code_runs(d, a, depth):
+                    yield from add(1, code[mine[doc]])
+                    yield from add(1, code[~mine[doc]], 0)
         yield from give(0)
         yield from give(1)
 
@@ -465,15 +485,15 @@ def _scores(depth: int, model):
         serial = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, at = W.text_buffers(batch.column("text"))
-            data = W.LOWER.take(data)
-            for i, j in W.groups(at):
-                d, a = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                code, b = byte_codes(d, a, depth)
-                where = codes.find(code)
-                met = where >= 0
-                in_doc = np.repeat(np.arange(j - i), np.diff(b))
-                score = np.bincount(in_doc[met], code_logs[where[met]], j - i)
-                code_doc, rare_code, code_times = _by_text(in_doc[~met], code[~met])
+            for i, j in W.groups(at, _RUN):
+                d, a = W.mapped(data[at[i] : at[j]], W.LOWER), at[i : j + 1] - at[i]
+                score, tails = np.zeros(j - i), []
+                for in_doc, code in code_runs(d, a, depth):
+                    where = codes.find(code)
+                    met = where >= 0
+                    score += np.bincount(in_doc[met], code_logs[where[met]], j - i)
+                    tails.append(_by_text(in_doc[~met], code[~met]))
+                code_doc, rare_code, code_times = (np.concatenate(x) for x in zip(*tails))
                 starts, ends, first = W.word_bounds(d, a, W.SPACE)
                 hashes = W.word_hashes(d, starts, ends)
                 doc = W.doc_of(first)

@@ -90,11 +90,11 @@ def _extend(window: int):
                 d, a = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 starts, ends, first = W.word_bounds(d, a, W.NON_WORD)
                 n_words[i:j] = np.diff(first)
+                folded = W.mapped(d, W.LOWER)
                 for k in range(i, j):
                     if not items[k].is_valid:
                         continue
                     lo, hi = first[k - i], first[k - i + 1]
-                    folded = W.LOWER.take(d)
                     text = [folded[s:e].tobytes() for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
                     where: dict[bytes, list[int]] = {}
                     for p, word in enumerate(text):
@@ -129,7 +129,7 @@ def _extend(window: int):
 def _words(text: str | None) -> list[bytes]:
     data = np.frombuffer((text or "").encode(), np.uint8)
     starts, ends, _ = W.word_bounds(data, np.array([0, len(data)]), W.NON_WORD)
-    folded = W.LOWER.take(data)
+    folded = W.mapped(data, W.LOWER)
     return [folded[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())]
 
 

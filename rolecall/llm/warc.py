@@ -17,10 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FANOUT = 16
+from .rows import few, written
+
+FANOUT_BITS = 4
+FANOUT = 1 << FANOUT_BITS
 LEVELS = 3
 #: Places of an archive: FANOUT ** LEVELS.
 ARCHIVE = FANOUT**LEVELS
+#: The archive of records without an id; no 64-bit id has it.
+NO_ID = 1 << 52
+#: Digits of a leaf hash by which the bodies of one id are gathered, step by step.
+_STEPS = (8, 6, 4, 2, 0)
 
 
 def record(url: Column, body: Column) -> Column:
@@ -34,28 +41,32 @@ def record(url: Column, body: Column) -> Column:
 
 
 def manifest(pages: DataFrame) -> DataFrame:
-    """(archive, place, rid, bytes, leaf) of each record.
+    """(archive, place, bytes, leaf) of each record.
 
     The place of a record is its id within the archive of ids that holds it, so a
-    lost or added record moves no other.  Repeated rows of one id are one place
-    whose leaf hashes their sorted leaves and whose bytes add up; a null id is
-    the place -1 of archive -1.
+    lost or added record moves no other; negative ids lie in negative archives.
+    Repeated rows of one id are one place, whose bytes add up and whose leaf is a
+    tree of its own over the hashes of the bodies, by their leading digits, so that
+    no step gathers more than some 256 of them.  Records without an id are one
+    place of archive ``NO_ID``.
     """
     raw = record(F.col("url"), F.col("html"))
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("rid"), raw.alias("raw"))
-    leaves = rows.select("rid", F.octet_length("raw").cast("long").alias("bytes"), F.sha2("raw", 256).alias("leaf"))
-    # copies of one id are first counted by leaf, so that no list of them is gathered row by row
-    by_leaf = leaves.groupBy("rid", "leaf").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("copies"))
-    by_id = by_leaf.groupBy("rid").agg(
-        F.sum("bytes").alias("bytes"),
-        F.sum("copies").alias("copies"),
-        F.min("leaf").alias("first"),
-        F.sort_array(F.collect_list(F.concat_ws("x", "leaf", "copies"))).alias("all"),
-    )
-    leaf = F.when(F.col("copies") == 1, F.col("first")).otherwise(F.sha2(F.concat_ws(",", "all"), 256))
-    return by_id.select(
-        F.floor(F.col("rid") / ARCHIVE).alias("archive"), F.when(F.col("rid") < 0, F.lit(-1)).otherwise(F.pmod("rid", F.lit(ARCHIVE))).cast("long").alias("place"), "rid", "bytes", leaf.alias("leaf")
-    )
+    rid = F.col("page_id").cast("long")
+    archive = F.coalesce(F.shiftright(rid, FANOUT_BITS * LEVELS), F.lit(NO_ID)).alias("archive")
+    rows = pages.select(archive, F.coalesce(rid.bitwiseAND(F.lit(ARCHIVE - 1).cast("long")), F.lit(0)).alias("place"), raw.alias("raw"))
+    key = ["archive", "place"]
+    leaves = rows.select(*key, F.octet_length("raw").cast("long").alias("bytes"), F.sha2("raw", 256).alias("leaf"))
+    by_leaf = written(leaves.groupBy(*key, "leaf").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("copies")))
+    ids = by_leaf.groupBy(*key).agg(F.sum("bytes").alias("bytes"), F.sum("copies").alias("copies"), F.min("leaf").alias("leaf"))
+    many = written(ids.filter("copies > 1").select(*key))
+    node = by_leaf.join(few(many) or many, key, "left_semi").select(*key, F.col("leaf").alias("at"), F.concat_ws("x", "leaf", "copies").alias("hash"))
+    for digits in _STEPS:
+        node = node.groupBy(*key, F.substring("at", 1, digits).alias("at")).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("hash"))), 256).alias("hash"))
+    return ids.join(node.drop("at"), key, "left").select(*key, "bytes", F.when(F.col("copies") > 1, F.col("hash")).otherwise(F.col("leaf")).alias("leaf"))
+
+
+def _above() -> Column:
+    return F.shiftright("place", FANOUT_BITS)
 
 
 def tree(leaves: DataFrame) -> list[DataFrame]:
@@ -64,7 +75,7 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
     for _ in range(LEVELS):
         children = F.sort_array(F.collect_list(F.struct("place", "hash")))
         text = F.concat_ws(";", F.transform(children, lambda c: F.concat_ws(":", c["place"].cast("string"), c["hash"])))
-        levels.append(levels[-1].groupBy("archive", F.floor(F.col("place") / FANOUT).alias("place")).agg(F.sum("bytes").alias("bytes"), F.sha2(text, 256).alias("hash")))
+        levels.append(written(levels[-1].groupBy("archive", _above().alias("place")).agg(F.sum("bytes").alias("bytes"), F.sha2(text, 256).alias("hash"))))
     return levels
 
 
@@ -83,7 +94,7 @@ def audit(one: list[DataFrame], two: list[DataFrame]) -> DataFrame:
     open_ranges = _differing(one[-1], two[-1]).select("archive", "place")
     for level in range(LEVELS - 1, -1, -1):
         inside = [
-            side[level].join(open_ranges.select("archive", F.col("place").alias("above")), (F.col("above") == F.floor(F.col("place") / FANOUT)) & (side[level]["archive"] == open_ranges["archive"]), "left_semi")
+            side[level].join(open_ranges.select("archive", F.col("place").alias("above")), (F.col("above") == F.shiftright(side[level]["place"], FANOUT_BITS)) & (side[level]["archive"] == open_ranges["archive"]), "left_semi")
             for side in (one, two)
         ]
         found = _differing(*inside)
@@ -102,16 +113,18 @@ def offsets(leaves: DataFrame) -> DataFrame:
 def fixity(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """One row for each damaged record: archive, page_id, offset, length (in ``pages``, null
     if it has no such record), kind (changed, missing, extra), hash_a, hash_b; and for
-    each archive whole or not, a row of kind ``root`` with both roots and its size."""
-    from .rows import checkpointed
+    each archive whole or not, a row of kind ``root`` with both roots and its size.
 
-    mine, theirs = checkpointed(manifest(pages)), checkpointed(manifest(replica))
+    Null urls and bodies are empty ones.  Records without an id are one record of
+    archive ``NO_ID`` with a null page_id.  Repeated rows of an id are one record.  Empty
+    tables have no archives.  Other columns are not looked at."""
+    mine, theirs = written(manifest(pages)), written(manifest(replica))
     one, two = tree(mine), tree(theirs)
     bad = audit(one, two)
     kind = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "extra").otherwise("changed")
     places = offsets(mine).select("archive", "place", "offset", F.col("bytes").alias("length"))
     rows = bad.join(places, ["archive", "place"], "left").select(
-        "archive", F.when(F.col("place") >= 0, F.col("archive") * ARCHIVE + F.col("place")).alias("page_id"), "offset", "length", kind.alias("kind"), "hash_a", "hash_b"
+        "archive", F.when(F.col("archive") != NO_ID, F.col("archive") * ARCHIVE + F.col("place")).alias("page_id"), "offset", "length", kind.alias("kind"), "hash_a", "hash_b"
     )
     a = one[-1].select("archive", F.col("bytes").alias("length"), F.col("hash").alias("hash_a"))
     roots = a.join(two[-1].select("archive", F.col("hash").alias("hash_b")), "archive", "full_outer")

@@ -84,3 +84,8 @@ def set_prf(predicted: Column, gold: Column) -> Column:
 def class_distance(a: Column, b: Column) -> Column:
     rank = lambda c: F.when(c == "strong", 2).when(c == "possible", 1).otherwise(0)
     return F.abs(rank(a) - rank(b))
+
+
+def number(value: Column) -> Column:
+    """A string as a number, or null where it is none."""
+    return F.trim(value).try_cast("double")

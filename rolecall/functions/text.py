@@ -76,10 +76,21 @@ def header_key(line: Column) -> Column:
     return F.when((F.length(t) > 0) & (F.length(F.trim(line)) <= 60), fold(F.lower(t)))
 
 
-def negated(text: Column, start: Column, language: str, window: int = C.NEGATION_WINDOW) -> Column:
-    """Does a negation end where a match starts (0-based), within the window before it?"""
+def cue_pattern(cues: list[str], slots: dict[str, list[str]] | None = None) -> str:
+    """An expression for text that ends with one of the cues: phrases of words, in which a word
+    that ``slots`` names stands for any of its words."""
+    import re
+
+    word = lambda w: "(?:" + "|".join(map(re.escape, (slots or {}).get(w, [w]))) + ")"
+    phrases = "|".join(r"\s+".join(map(word, cue.split())) for cue in cues)
+    return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{phrases})\s*$"
+
+
+def negated(text: Column, start: Column, language: str, window: int = C.NEGATION_WINDOW, cues: list[str] | None = None) -> Column:
+    """Does a denial end where a match starts (0-based), within the window before it?  ``cues``
+    replace those of the language."""
     before = fold(F.lower(F.substring(text, F.greatest(start - window, F.lit(0)) + 1, F.least(start, F.lit(window)))))
-    return before.rlike("|".join(f"(?:{p})" for p in C.NEGATIONS[language]))
+    return before.rlike(cue_pattern(cues) if cues else cue_pattern(C.NEGATION_CUES[language], C.NEGATION_SLOTS[language]))
 
 
 def junk_surface(surface: Column) -> Column:
@@ -91,7 +102,7 @@ def surface_variants(surface: Column) -> Column:
 
 
 def alternative_labels(raw: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), r"\s*[|\n;]\s*"), F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), r"\s*[|\n;]\s*"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def first_wins(labels: Column, but: Column | None = None) -> Column:

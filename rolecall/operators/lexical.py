@@ -36,7 +36,7 @@ def sections(documents: DataFrame, headers: DataFrame) -> DataFrame:
     empty section stays; a text without headers is one ``other`` section.
     """
     keyed = lines(documents).withColumn("key", text.header_key(F.col("line")))
-    marks = keyed.join(F.broadcast(headers), "key").select("doc_id", "label", (F.col("end") + 1).alias("start"), F.col("start").alias("header_start"))
+    marks = keyed.join(headers, "key").select("doc_id", "label", (F.col("end") + 1).alias("start"), F.col("start").alias("header_start"))
     size = documents.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("size"))
     first = size.select("doc_id", F.lit("other").alias("label"), F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("header_start"))
     w = Window.partitionBy("doc_id").orderBy("header_start")
@@ -93,14 +93,14 @@ def in_sections(hits: DataFrame, parts: DataFrame) -> DataFrame:
     return hits.join(s, on, "left").select(hits["*"], F.coalesce("section", F.lit("other")).alias("section"))
 
 
-def without_negated(hits: DataFrame, documents: DataFrame, language: str) -> DataFrame:
+def without_negated(hits: DataFrame, documents: DataFrame, language: str, cues: list[str] | None = None) -> DataFrame:
     both = hits.join(documents.select("doc_id", "text"), "doc_id")
-    return both.filter(~text.negated(F.col("text"), F.col("start"), language)).select(hits["*"])
+    return both.filter(~text.negated(F.col("text"), F.col("start"), language, cues=cues)).select(hits["*"])
 
 
 def without_entities(hits: DataFrame, entities: DataFrame, allowed: DataFrame) -> DataFrame:
     """Hits outside ``skills`` that overlap a proper-noun span are dropped, unless their surface is allowed."""
-    safe = hits.join(F.broadcast(allowed.select(F.lower("surface").alias("ok")).distinct()), F.lower("surface") == F.col("ok"), "left")
+    safe = hits.join(allowed.select(F.lower("surface").alias("ok")).distinct(), F.lower("surface") == F.col("ok"), "left")
     e = entities.select(F.col("doc_id").alias("d"), F.col("start").alias("e0"), F.col("end").alias("e1"))
     on = (safe["doc_id"] == e["d"]) & (safe["start"] < e["e1"]) & (safe["end"] > e["e0"]) & (safe["section"] != "skills") & safe["ok"].isNull()
     return safe.join(e, on, "left_anti").drop("ok")
@@ -113,7 +113,7 @@ def suppressed(hits: DataFrame, rules: DataFrame, documents: DataFrame) -> DataF
     forbidden_sections, surrounding_any, surrounding_none (arrays or null), window_chars.
     """
     r = rules.select(F.col("surface").alias("r_surface"), F.col("target_uri").alias("concept_uri"), "case_sensitive", "allowed_sections", "forbidden_sections", "surrounding_any", "surrounding_none", "window_chars")
-    both = hits.join(F.broadcast(r), "concept_uri").join(documents.select("doc_id", "text"), "doc_id")
+    both = hits.join(r, "concept_uri").join(documents.select("doc_id", "text"), "doc_id")
     around = F.lower(F.substring("text", F.greatest(F.col("start") - F.col("window_chars"), F.lit(0)).cast("int") + 1, (F.col("end") - F.col("start") + 2 * F.col("window_chars")).cast("int")))
     has = lambda c: F.exists(c, lambda t: F.contains(around, F.lower(t)))
     same = F.when(F.col("case_sensitive"), F.col("surface") == F.col("r_surface")).otherwise(F.lower("surface") == F.lower("r_surface"))

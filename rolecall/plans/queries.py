@@ -550,7 +550,7 @@ def class_composition(spark, d):
 
 @query("WITH " + _CELLS + "SELECT cv_id, jd_id, k, gold, predicted, CAST(abs(CASE gold WHEN 'strong' THEN 2 WHEN 'possible' THEN 1 ELSE 0 END - CASE predicted WHEN 'strong' THEN 2 WHEN 'possible' THEN 1 ELSE 0 END) AS INT) AS distance FROM pred WHERE gold <> predicted ORDER BY distance DESC, cv_id, jd_id, k LIMIT 10")
 def top_disagreements(spark, d):
-    """WIN5, SCL18, ORD9: the ten worst disagreements."""
+    """WIN5, SCL18: the ten worst disagreements by distance of class."""
     c = _cells(spark, d).filter("gold <> predicted").withColumn("distance", scores.class_distance(F.col("gold"), F.col("predicted")))
     return c.orderBy(F.desc("distance"), *_KEY).limit(10).select(*_KEY, "gold", "predicted", "distance")
 
@@ -751,7 +751,7 @@ def nearest_window(spark, d):
 
 @query("SELECT c_mktsegment AS cv_id, " + ", ".join(f"max(c_acctbal) FILTER (c_nationkey = {k}) AS \"{k}\"" for k in range(4)) + " FROM (SELECT c_mktsegment, c_nationkey, round(max(c_acctbal), 6) AS c_acctbal FROM customer GROUP BY 1, 2) GROUP BY 1")
 def matrix_pivot(spark, d):
-    """SNK9, SRC17: long judgments to a wide matrix."""
+    """SNK9: long judgments to a wide matrix."""
     c = T(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("cv_id"), F.col("c_nationkey").cast("string").alias("jd_id")).agg(F.round(F.max("c_acctbal"), 6).alias("fit"))
     return taxonomy.wide_matrix(c, [str(k) for k in range(4)])
 
@@ -785,3 +785,6 @@ def lifecycle_transitions(spark, d):
     state = F.when(F.col("event_type") == "signup", "PENDING").when(F.col("event_type") == "view", "PROCESSING").when(F.col("event_type") == "purchase", "READY").when(F.col("event_type") == "error", "FAILED").otherwise("PROCESSING")
     t = limits.transitions(T(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("ord"), state.alias("state")))
     return t.groupBy(F.coalesce("before", F.lit("NONE")).alias("before"), "state").agg(F.count("*").alias("n"), F.bool_and("allowed").alias("allowed"))
+
+
+from . import store  # noqa: E402,F401  further queries, registered on import

@@ -30,6 +30,23 @@ def test_text_functions(spark):
     assert one(spark, text.concept_text(lit("L"), F.array(lit("b"), lit("a")), lit("D"))) == "L. a, b. D"
 
 
+def test_denials(spark):
+    told = {
+        "en": ["I have no experience with ", "no knowledge of ", "I had no exposure to ", "Not familiar with ", "Not proficient in ", "Lack of experience with ", "Without any experience in ", "Unfamiliar with ", "Never used ", "Never worked with ", "Zero experience with "],
+        "ro": ["Nu am lucrat cu ", "Nu am lucrat in ", "Nu am experiență cu ", "Nu am cunoștințe despre ", "Nu am folosit ", "Nu cunosc ", "Fără experiență cu ", "Lipsa de experiență cu ", "Nu sunt familiarizată cu "],
+    }
+    plain = {"en": ["Proficient in ", "5 years of experience with ", "Strong knowledge of ", "piano experience with "], "ro": ["Experiență cu ", "Cunoștințe avansate de ", "Am lucrat 5 ani cu ", "Folosesc zilnic "]}
+    for want, texts in ((True, told), (False, plain)):
+        for language, some in texts.items():
+            rows = spark.createDataFrame([(t + "Python.", len(t)) for t in some], "t string, n int")
+            assert [r.x for r in rows.select(text.negated(F.col("t"), F.col("n"), language).alias("x")).collect()] == [want] * len(some)
+    assert one(spark, text.negated(F.lit("hardly any Java"), F.lit(11), "en", cues=["hardly any"])) is True
+
+
+def test_alternative_labels_keep_digits(spark):
+    assert one(spark, text.alternative_labels(F.lit("Grade 1 | 1st; 2\n 20 |"))) == ["Grade 1", "1st", "2", "20"]
+
+
 def test_score_functions(spark):
     lit = F.lit
     assert one(spark, scores.confidence(lit("skills"), lit("exact"), lit(1))) == pytest.approx(1.0)

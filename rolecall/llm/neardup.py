@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components
-from .rows import checkpointed, keyed, row_condition
+from .rows import checkpointed, keyed, row_condition, written
 
 SHINGLE = 5
 BINS = 128
@@ -175,11 +175,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     docs = keyed(docs)
     base = checkpointed(docs.mapInArrow(_sketches(shingle, bins, rows), "doc_id long, th long, n_shingles long, set1 long, set2 long, bands array<long>"))
     full = base.filter("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # tables of their own, so that Spark can split the rows of a set or a bucket that very many documents have
+    reps = written(full.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     on_set = ["set1", "set2", "n_shingles"]
     lead = full.join(reps, on_set).filter("doc_id = rep").select("rep", "n_shingles", "bands")
     members = lead.select("rep", "n_shingles", F.explode("bands").alias("bucket")).distinct()
-    buckets = members.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    buckets = written(members.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1"))
     star = members.join(buckets, "bucket").filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     texts = docs.select("doc_id", "text")
     again = full.join(reps, on_set).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")

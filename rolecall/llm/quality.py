@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .rows import quoted
 
 SAMPLE = 6000
 SAMPLE_BYTES = 1 << 16
@@ -175,12 +176,15 @@ def scores(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, network: Network) -> DataFrame:
-    """``docs`` without the rows the network rejects; columns unchanged, one pass."""
+    """``docs`` without the rows the network rejects; columns unchanged, whatever their names; one pass."""
     model = docs.sparkSession.sparkContext.broadcast(network)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.value.score(*W.text_buffers(batch.column(at))) >= 0.5))
+            yield batch.filter(pa.array(model.value.score(*W.text_buffers(batch.column(0).field(at))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    # the columns travel as one struct: names with dots are no columns to mapInArrow
+    rows = docs.select(F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns)).alias("row"))
+    kept = rows.mapInArrow(run, rows.schema)
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
+
 FRAME = 256
 STEP = 128
 RATE = 8000
@@ -29,6 +31,8 @@ PAD = 64
 #: Band edges in bins; band k is [edge k, edge k + 1).
 BANDS = np.array([1, 9, 25, 57, 129])
 _BLOCK = 4096
+#: Bytes of text whose media are held at once; a longer text stands alone.
+HELD = 4 << 20
 
 
 def padded(text: bytes) -> bytes:
@@ -96,14 +100,16 @@ def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(0, len(batch), 256):  # a block of media at a time
-            part = batch.slice(k, 256)
+        _, at = W.text_buffers(batch.column("text"))
+        for i, j in W.groups(at, HELD):
+            part = batch.slice(i, j - i)
             texts = [(t or "").encode() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([to_wav(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text as a WAV file; a null text is an empty one."""
+    """(doc_id, n_bytes, media): each text as a WAV file; a null text is an empty one.
+    Repeated rows and null ids get a file each; an empty table gives no files."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
@@ -128,7 +134,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(media: DataFrame) -> DataFrame:
     """What each stored file holds: sizes and digests of the payload as read back and
-    of the file, ``marks`` (time-coded peak pairs) and ``feature``, their count and digest."""
+    of the file, ``marks`` (time-coded peak pairs) and ``feature``, their count and digest.
+    One row for each row of ``media``, repeated ones and null ids too; a payload of
+    zeros (an empty text) has no peaks but those of its level, equal in every frame."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
         _read,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, marks array<struct<t:int,code:int>>, feature string",

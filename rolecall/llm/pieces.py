@@ -14,7 +14,8 @@ integers, so sums are exact.
 
 Between two bytes that no piece holds side by side every path has a state, so
 inputs are cut there, equal parts of a batch are composed once, and the lattices
-of all parts advance together, one byte place at a time.
+of all parts advance together, one byte place at a time.  A part of over ``LONG``
+bytes (a run of one letter, or a script that pieces cover without a gap) is walked alone.
 
 A literal word mark in a text is no space: it is read by byte fallback, so that
 decoding returns every text exactly.
@@ -36,6 +37,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed value: the word mark U+2581 of the vocabulary's pieces.
 MARK = "▁"
 UNIT = 1 << 16
+#: Bytes that no cut divides, from which a part is walked alone.
+LONG = 256
+#: Bytes of text that a task encodes at once.
+RUN = 1 << 20
 _FAR = np.int64(1) << 60
 
 
@@ -68,6 +73,7 @@ class Transducer:
                 spell[i] = b
         self.spelt = np.frombuffer(b"".join(spell), np.uint8)
         self.spelt_at = np.append(0, np.cumsum([len(b) for b in spell]))
+        self.cost_of = {b: (i, c) for i, b, c in pieces}
         self.is_fallback = np.zeros(top, bool)
         self.is_fallback[self.fallback] = True
 
@@ -148,6 +154,26 @@ class Transducer:
         cost[order] = best[base + n]
         return ids, counts, cost
 
+    def walk(self, data: bytes) -> tuple[list[int], int]:
+        """The shortest path through the lattice of one long part, (ids, cost), place by place in
+        plain Python: lattices that advance together are only fast while there are many."""
+        n, known, longest = len(data), self.cost_of, self.lengths[-1]
+        best, back, out = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for t in range(1, n + 1):
+            low, size, piece = int(_FAR), 1, 0
+            for k in range(max(0, t - longest), t):  # longer pieces first
+                found = known.get(data[k:t])
+                if found is not None and best[k] + found[1] < low:
+                    low, size, piece = best[k] + found[1], t - k, found[0]
+            if best[t - 1] + self.fallback_cost < low:
+                low, size, piece = best[t - 1] + self.fallback_cost, 1, int(self.fallback[data[t - 1]])
+            best[t], back[t], out[t] = low, size, piece
+        ids, t = [], n
+        while t:
+            ids.append(out[t])
+            t -= back[t]
+        return ids[::-1], best[n]
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text, cost of each text)."""
         n = len(at) - 1
@@ -157,16 +183,29 @@ class Transducer:
         bounds = at + np.arange(n + 1)
         starts = self.cuts(marked, bounds)
         ends = np.append(starts[1:], len(marked))
-        hashes = W.word_hashes(marked, starts, ends)
-        _, one, same = np.unique(hashes, return_index=True, return_inverse=True)
-        ids, counts, cost = self.shortest(marked, starts[one], ends[one])
-        first = np.append(0, np.cumsum(counts))
-        flat = spread(ids, first[same], counts[same])
+        # a long text is cut too: parts are taken in runs of bounded size
+        done = [self._parts(marked, starts[i:j], ends[i:j]) for i, j in W.groups(np.append(starts, len(marked)), RUN)]
+        flat, counts, cost = (np.concatenate([x[k] for x in done]) if done else np.zeros(0, np.int64) for k in range(3))
         part = np.searchsorted(starts, bounds)
-        upto = np.append(0, np.cumsum(counts[same]))
-        paid = np.append(0, np.cumsum(cost[same]))
+        upto = np.append(0, np.cumsum(counts))
+        paid = np.append(0, np.cumsum(cost))
         return flat, np.diff(upto[part]), np.diff(paid[part])
 
+    def _parts(self, marked: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids, cost) of the parts [start, end), equal ones composed once."""
+        _, one, same = np.unique(W.word_hashes(marked, starts, ends), return_index=True, return_inverse=True)
+        s, e = starts[one], ends[one]
+        short = e - s <= LONG
+        counts, cost = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        flat, counts[short], cost[short] = self.shortest(marked, s[short], e[short])
+        first = np.zeros(len(one), np.int64)
+        first[short] = np.cumsum(counts[short]) - counts[short]
+        for k in np.flatnonzero(~short):
+            ids, cost[k] = self.walk(marked[s[k] : e[k]].tobytes())
+            first[k], counts[k] = len(flat), len(ids)
+            flat = np.append(flat, np.array(ids, np.int64))
+        return spread(flat, first[same], counts[same]), counts[same], cost[same]
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts and their offsets: spellings joined, without the leading mark."""
         length = np.diff(self.spelt_at)[ids]
@@ -206,15 +245,15 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     ``exact`` tells that decoding the ids returned every byte of the text.  Null and
     empty texts are the word mark alone; repeated rows and null ids get one row each.
-    Texts are read once, in runs of about 2 MB; the compiled vocabulary is broadcast
-    (its size is that of the model file).
+    Texts are read once, in runs of about 1 MB, and within a longer text its parts in such
+    runs; the compiled vocabulary is broadcast (its size is that of the model file).
     """
     machine = docs.sparkSession.sparkContext.broadcast(compiled(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = W.text_buffers(batch.column("text"))
-            for i, j in W.groups(at):
+            for i, j in W.groups(at, RUN):
                 d, a = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 ids, counts, cost = machine.value.encode(d, a)
                 back, b = machine.value.decode(ids, counts)

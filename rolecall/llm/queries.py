@@ -51,7 +51,7 @@ def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_wav_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(table(spark, sf_dir, "documents"))).drop("marks")
+    return features(store(table(spark, sf_dir, "documents")))
 
 
 def op2_license_patience(spark: SparkSession, sf_dir: str) -> DataFrame:

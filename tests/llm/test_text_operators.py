@@ -450,7 +450,7 @@ def test_long_parts_are_walked_to_the_same_paths(monkeypatch):
     monkeypatch.setattr(pieces, "LONG", 40)
     for one, two in zip(whole, machine.encode(text, at)):
         assert (one == two).all()
-    monkeypatch.setattr(W.groups, "__defaults__", (100,))
+    monkeypatch.setattr(pieces, "RUN", 100)
     for one, two in zip(whole, machine.encode(text, at)):
         assert (one == two).all()
 

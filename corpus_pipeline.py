@@ -6,12 +6,11 @@ columns of ``documents``; the last returns the ids of each text.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from rolecall.llm import decontaminate as contamination
 from rolecall.llm import neardup, pieces, pii, quality
+from rolecall.llm.rows import written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,23 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written as Parquet and read again."""
+    """All stages over ``documents``; each result but the last is written as Parquet in
+    the shared folder and read again.  Those tables go when the session ends.
+
+    A null text is scored, sanitised and encoded as an empty one, is no copy of any
+    other row and holds no benchmark passage; rows that repeat a doc_id and a text stay
+    or go together; a null doc_id is kept as it is; an empty table gives an empty
+    table; other columns pass unchanged under any name, up to the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = _shared(spark)
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared}/{k}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = written(docs)
     return docs
-
-
-def _shared(spark: SparkSession) -> str:
-    """A new folder in the shared folder of the cluster, or in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-pipeline-")
-    return f"{base}/pipeline-{uuid.uuid4().hex}"

@@ -134,6 +134,18 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 """
 
 
+OP10_SQL = r"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(w[p : p + 3], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM doc UNION SELECT reach.doc_id, edge.y FROM reach JOIN edge ON edge.x = reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, c = doc_id AS kept FROM (SELECT doc_id, min(r) AS c FROM reach GROUP BY 1) LEFT JOIN size USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate_winnowing": op7_decontaminate_winnowing,
     "op1_warc_fixity_merkle": op1_warc_fixity_merkle,
@@ -151,4 +163,5 @@ ORACLES: dict[str, str] = {
     "op1_warc_fixity_merkle": OP1_SQL,
     "op7_decontaminate_winnowing": OP7_SQL,
     "op9_substring_dedup_rlz": OP9_SQL,
+    "op10_near_dedup_minhash": OP10_SQL,
 }

@@ -10,6 +10,10 @@ A template is aligned in stretches of twice its length, one template length
 apart, so that a notice that stands twice in a text is not ambiguous.  A stretch
 whose words, each counted as often as the template has it, cannot reach the
 threshold is skipped; that bound is exact.
+
+Templates share sentences, so one span may reach the coverage of several.  It is
+given to the one with the most words aligned: a BSD text of three clauses is not
+also one of two, and of two notices that differ in a version the right one stays.
 """
 
 from __future__ import annotations
@@ -85,31 +89,40 @@ def stretches(n: int, size: int) -> Iterator[tuple[int, int]]:
         yield a, min(n, a + 2 * size)
 
 
+def best_spans(spans: list[tuple[int, float, int, int, str]]) -> list[tuple[int, float, int, int, str]]:
+    """Of spans (words aligned, coverage, first word, end, template) those that no better one holds.
+
+    Better is more words, then coverage, then the earlier span, then the name.  A span
+    goes if half of it lies in a better one, or if it meets a better one of its template.
+    """
+    kept: list[tuple[int, float, int, int, str]] = []
+    for span in sorted(spans, key=lambda x: (-x[0], -x[1], x[2], x[3], x[4])):
+        _, _, s, e, name = span
+        shared = [(min(e, y) - max(s, x), other) for _, _, x, y, other in kept]
+        if not any(both > 0 and (2 * both >= e - s or other == name) for both, other in shared):
+            kept.append(span)
+    return kept
+
+
 def scan(text: list, templates: dict[str, list], coverage: float, maybe=None) -> list[tuple[str, int, int, int, int]]:
     """(template, words aligned, first word, end, occurrences) of each template that
-    reaches the coverage: its best stretch, the earliest of equals, and how many
-    stretches of aligned words that do not overlap reach it.  ``maybe(name)`` may
-    give the stretches worth a look."""
-    out = []
+    reaches the coverage in a span of its own: its best span, and how many it has.
+    ``maybe(name)`` may give the stretches worth a look."""
+    spans = []
     for name, template in templates.items():
         need = coverage * len(template)
         have = Counter(template)
-        best, spans = None, []
         for a, b in stretches(len(text), len(template)) if maybe is None else maybe(name):
             if sum(min(k, have[w]) for w, k in Counter(text[a:b]).items() if w in have) < need:
                 continue
             pairs = patience(text[a:b], template)
             if pairs and len(pairs) >= need:
-                spans.append((a + pairs[0][0], a + pairs[-1][0] + 1))
-                if best is None or len(pairs) > best[0]:
-                    best = (len(pairs), *spans[-1])
-        if best:
-            times, end = 0, -1
-            for s, e in sorted(spans, key=lambda x: x[1]):
-                if s >= end:
-                    times, end = times + 1, e
-            out.append((name, *best, times))
-    return out
+                spans.append((len(pairs), len(pairs) / len(template), a + pairs[0][0], a + pairs[-1][0] + 1, name))
+    best: dict[str, tuple[str, int, int, int, int]] = {}
+    for n, _, s, e, name in best_spans(spans):
+        first = best.get(name, (name, n, s, e, 0))
+        best[name] = (*first[:4], first[4] + 1)
+    return [best[name] for name in templates if name in best]
 
 
 def license_words(text: str) -> list[int]:
@@ -122,7 +135,9 @@ def licenses(docs: DataFrame, coverage: float = COVERAGE, texts: dict[str, str]
     """One row for each row of ``docs`` and template that reaches ``coverage``: doc_id,
     license, coverage, n_aligned, n_template, first_word, end_word, occurrences.
 
-    Texts are scanned whole and once, with no shuffle.  Null and empty texts give no
+    Each span of a text goes to one template, the one with the most words aligned
+    (``best_spans``); a tie goes to the higher coverage, the earlier span, the lesser
+    name.  Texts are scanned whole and once, with no shuffle.  Null and empty texts give no
     rows; a repeated row gives its rows again; a null doc_id is kept.
     """
     templates = {k: license_words(v) for k, v in (texts or TEXTS).items()}

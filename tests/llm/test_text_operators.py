@@ -646,6 +646,20 @@ def test_license_scan(spark, docs, no_docs, corpus):
     assert licenses.licenses(no_docs).count() == 0
 
 
+def test_a_license_span_goes_to_one_template(spark):
+    """Every whole text is found as itself alone, and texts that stand side by side are all found."""
+    filler = " lorem ipsum dolor sit amet" * 30
+    rows = [(k, filler + " " + t + filler) for k, t in enumerate(licenses.TEXTS.values())]
+    rows += [(1000, filler.join(licenses.TEXTS[k] for k in ("mit", "bsd-3-clause", "bsd-2-clause", "gpl-2.0-notice", "gpl-2.0-notice")))]
+    rows += [(1001, licenses.TEXTS["gpl-2.0-notice"].replace("software:", "software;"))]
+    got = {(r.doc_id, r.license): r for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k in got if k[0] < 1000} == set(enumerate(licenses.TEXTS))
+    assert all(r.coverage > 0.95 for r in got.values())  # patience leaves a gap of words that none is unique in
+    assert {k[1] for k in got if k[0] == 1000} == {"mit", "bsd-3-clause", "bsd-2-clause", "gpl-2.0-notice"} and got[1000, "gpl-2.0-notice"].occurrences == 2
+    assert {k[1] for k in got if k[0] == 1001} == {"gpl-2.0-notice"}
+    assert licenses.best_spans([(9, 0.9, 0, 10, "b"), (9, 0.9, 0, 10, "a"), (5, 1.0, 8, 13, "c"), (5, 1.0, 9, 14, "a")]) == [(9, 0.9, 0, 10, "a"), (5, 1.0, 8, 13, "c")]
+
+
 def test_fixity_audit(spark):
     pages = spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k}</p>" * (k % 5)) for k in range(9000)] + [(3, "again", None), (None, None, "x")], "page_id long, url string, html string")
     assert warc.fixity(pages, pages.orderBy(F.rand(3))).filter("kind <> 'root' or not (hash_a <=> hash_b)").count() == 0

@@ -113,3 +113,60 @@ def precision_recall(ranks: DataFrame, at: tuple = (5, 10)) -> DataFrame:
     hit = lambda k: F.when(F.col("rank") <= k, 1.0).otherwise(0.0)
     columns = [c for k in at for c in (F.avg(hit(k) / k).alias(f"precision_{k}"), F.avg(hit(k)).alias(f"recall_{k}"))]
     return ranks.agg(*columns, F.avg(F.when(F.col("rank") <= at[-1], 1 / F.col("rank")).otherwise(0.0)).alias(f"map_{at[-1]}"), F.count("*").alias("queries"))
+
+
+#: The order of disagreements (gold, predicted), the gravest first.
+SEVERITY = [("strong", "no"), ("no", "strong"), ("strong", "possible"), ("possible", "no"), ("no", "possible"), ("possible", "strong")]
+
+
+def gravest(cells: DataFrame, key: list[str], n: int = 10) -> DataFrame:
+    """(key..., gold, predicted, score, severity): the n gravest disagreements by class, then by size of the score."""
+    rank = F.lit(99)
+    for k, (gold, predicted) in enumerate(SEVERITY):
+        rank = F.when((F.col("gold") == gold) & (F.col("predicted") == predicted), k).otherwise(rank)
+    rows = cells.filter("gold <> predicted").select(*key, "gold", "predicted", "score", rank.alias("severity"))
+    return rows.orderBy("severity", F.desc(F.abs("score")), *key).limit(n)
+
+
+def examples(cells: DataFrame, key: list[str], wanted: dict[str, int]) -> DataFrame:
+    """``cells`` (key..., kind, ...): the first ``wanted[kind]`` of each kind by key; each kind is cut by
+    Spark's top-n, so no kind is ordered in one task."""
+    parts = [cells.filter(F.col("kind") == kind).orderBy(*key).limit(n) for kind, n in wanted.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def method_summary(rows: DataFrame) -> DataFrame:
+    """(method, ok, errors, quality, ms) of runs (method, error, quality_score, time_ms): means over
+    runs without an error, the time as a whole number; 0 where there is none."""
+    good = F.coalesce(F.col("error"), F.lit("")) == ""
+    ok = F.count(F.when(good, 1))
+    quality = F.coalesce(F.avg(F.when(good, F.col("quality_score"))), F.lit(0.0))
+    ms = F.coalesce(F.floor(F.sum(F.when(good, F.col("time_ms"))) / ok), F.lit(0)).cast("long")
+    return rows.groupBy("method").agg(ok.alias("ok"), F.count(F.when(~good, 1)).alias("errors"), quality.alias("quality"), ms.alias("ms"))
+
+
+def gate(views_: DataFrame, floor: Column, go: float = 0.55, borderline: float = 0.45) -> DataFrame:
+    """``views_`` (semantic_f1, ensemble_f1) with ``decision``: go, borderline or re-rank."""
+    decision = F.when((F.col("semantic_f1") >= go) & (F.col("ensemble_f1") > floor), "go").when((F.col("semantic_f1") >= borderline) & (F.col("semantic_f1") < go), "borderline").otherwise("re-rank")
+    return views_.withColumn("decision", decision)
+
+
+def backfill(documents: DataFrame) -> DataFrame:
+    """(id, reason): documents to take up again: ready without any address, or left unfinished."""
+    none = (F.col("status") == "READY") & F.col("extracted_email").isNull() & F.col("manual_email").isNull()
+    reason = F.when(none, "EMAIL").when(F.col("status").isin("PENDING", "PROCESSING"), "UNFINISHED")
+    return documents.select("id", reason.alias("reason")).filter("reason is not null")
+
+
+def by_email(wanted: DataFrame, applications: DataFrame) -> DataFrame:
+    """``wanted`` (jd_id, email) with the applications (id, jd_id, email) of the same position and address, whatever its case."""
+    a = applications.select("id", F.col("jd_id").alias("j"), F.lower("email").alias("e"))
+    return wanted.join(a, (F.col("jd_id") == F.col("j")) & (F.lower("email") == F.col("e"))).drop("j", "e")
+
+
+def frequency(positives: DataFrame) -> DataFrame:
+    """(uri, n): how often training has each concept."""
+    return positives.groupBy("uri").agg(F.count("*").alias("n"))

@@ -80,24 +80,54 @@ def siblings(concepts: DataFrame) -> DataFrame:
     return concepts.select("uri", "category").join(other, "category").filter("uri <> sibling")
 
 
-def hard_negatives(positives: DataFrame, concepts: DataFrame, n: int = 3, seed: int = 0, bins: int = 64) -> DataFrame:
-    """(pair_id, uri, negative, strategy, rank): n other concepts for each positive, siblings
-    of the same category first, then any.
+def hash_ring(concepts: DataFrame, seed: int = 0) -> DataFrame:
+    """(uri, category, place, size, spot, total): each concept's place in the hash order of
+    its category, and in that of all.
 
-    Each category is put in hash order once; a positive takes the concepts that follow a
-    place of its own in that ring, so no group is multiplied out.
+    Places among all are counted within each of 4,096 ranges of the hash, and the
+    ranges, not the concepts, are summed up in order.
     """
-    order = Window.partitionBy("category").orderBy(seeded(F.col("uri"), seed), "uri")
-    ring = concepts.select("uri", "category").distinct().withColumn("place", F.row_number().over(order) - 1)
+    h = concepts.select("uri", "category").distinct().withColumn("h", seeded(F.col("uri"), seed)).withColumn("part", F.substring("h", 1, 3))
+    parts = h.groupBy("part").agg(F.count("*").alias("n"))
+    every = Window.orderBy("part")
+    parts = parts.select("part", (F.sum("n").over(every) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    ring = h.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy("h", "uri")) - 1)
+    ring = ring.withColumn("spot", F.row_number().over(Window.partitionBy("part").orderBy("h", "uri")) - 1).join(F.broadcast(parts), "part")
     size = ring.groupBy("category").agg(F.count("*").alias("size"))
-    p = positives.join(ring.select("uri", "category", F.col("place").alias("own")), "uri").join(size, "category")
-    first = F.pmod(F.conv(F.substring(seeded(F.col("pair_id"), seed), 1, 8), 16, 10).cast("long"), F.greatest(F.col("size") - 1, F.lit(1)))
-    steps = F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("size") - 1) - 1))
-    some = p.filter("size > 1").select("pair_id", "uri", "category", "own", "size", first.alias("first"), steps.alias("k"))
-    # places counted from the one after the positive's own, so that its own is never met
-    some = some.withColumn("place", F.pmod(F.col("own") + 1 + F.pmod(F.col("first") + F.col("k"), F.col("size") - 1), F.col("size")))
-    near = some.join(ring.select("category", "place", F.col("uri").alias("negative")), ["category", "place"]).select("pair_id", "uri", "negative", F.lit("sibling").alias("strategy"), (F.col("k") + 1).alias("rank"))
-    return near
+    return ring.join(size, "category", "left").select("uri", "category", "place", F.coalesce("size", F.lit(1)).alias("size"), (F.col("spot") + F.col("before")).alias("spot"), "total")
+
+
+def _steps(rows: DataFrame, own: str, size: str, count: int) -> DataFrame:
+    """``rows`` with ``k`` and ``at``: up to ``count`` places of a ring of ``size`` that follow a place
+    which ``first`` chooses; the row's own place is never met."""
+    rest = F.col(size) - 1
+    steps = F.explode(F.sequence(F.lit(0), F.least(F.lit(count), rest) - 1)).alias("k")
+    return rows.filter(rest > 0).select("*", steps).withColumn("at", F.pmod(F.col(own) + 1 + F.pmod(F.col("first") + F.col("k"), rest), F.col(size)))
+
+
+def hard_negatives(positives: DataFrame, concepts: DataFrame, n: int = 3, seed: int = 0, known: DataFrame | None = None) -> DataFrame:
+    """(pair_id, uri, negative, strategy, rank): n other concepts for each positive: its known
+    false positive (``known``: pair_id, negative) if there is one, then siblings of the same
+    category, then any others.  There are fewer only where the taxonomy has no more.
+
+    Categories and the whole taxonomy are put in hash order once; a positive takes the
+    concepts that follow a place of its own in those rings, so no group is multiplied out.
+    A concept without a category has no siblings; a positive of no known concept gets no rows.
+    """
+    ring = hash_ring(concepts, seed)
+    number = F.conv(F.substring(seeded(F.col("pair_id"), seed), 1, 8), 16, 10).cast("long")
+    p = positives.select("pair_id", "uri").join(ring, "uri").withColumn("first", number)
+    pick = lambda rows, order: rows.select("pair_id", "uri", "negative", F.lit(order).alias("o"), "k")
+    near = _steps(p, "place", "size", n).join(ring.select("category", F.col("place").alias("at"), F.col("uri").alias("negative")), ["category", "at"])
+    # among 2 n + 1 others, n at least are neither a sibling taken before nor the known false positive
+    any_ = _steps(p.filter(F.col("size") <= n), "spot", "total", 2 * n + 1).join(ring.select(F.col("spot").alias("at"), F.col("uri").alias("negative")), "at")
+    found = pick(near, 1).unionByName(pick(any_, 2))
+    if known is not None:
+        found = found.unionByName(pick(p.join(known, "pair_id").filter("negative <> uri").withColumn("k", F.lit(0)), 0))
+    best = found.groupBy("pair_id", "uri", "negative").agg(F.min(F.struct("o", "k")).alias("w"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("pair_id", "uri").orderBy("w", "negative"))).filter(F.col("rank") <= n)
+    strategy = F.when(F.col("w.o") == 0, "known").when(F.col("w.o") == 1, "sibling").otherwise("any")
+    return ranked.select("pair_id", "uri", "negative", strategy.alias("strategy"), "rank")
 
 
 def pairs(positives: DataFrame, texts: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scores, text
-from ..operators import evaluation, layout, lexical, linking, operations, preparation, scoring
+from ..operators import comparison, evaluation, layout, lexical, linking, operations, preparation, scoring
 from ..sources import taxonomy
 from ..streaming import limits
 
@@ -708,16 +708,26 @@ def dominant_category(spark, d):
 
 @query(
     """
-WITH r AS (SELECT p_partkey AS uri, p_type AS category, row_number() OVER (PARTITION BY p_type ORDER BY md5('3|' || p_partkey), p_partkey) - 1 AS place, count(*) OVER (PARTITION BY p_type) AS size FROM part),
+WITH r AS (SELECT p_partkey AS uri, p_type AS category, row_number() OVER (PARTITION BY p_type ORDER BY md5('3|' || p_partkey), p_partkey) - 1 AS place, count(*) OVER (PARTITION BY p_type) AS size,
+  row_number() OVER (ORDER BY md5('3|' || p_partkey), p_partkey) - 1 AS spot, count(*) OVER () AS total FROM part),
 p AS (SELECT l_orderkey * 10 + l_linenumber AS pair_id, l_partkey AS uri FROM lineitem),
-s AS (SELECT pair_id, p.uri, category, place AS own, size, CAST('0x' || substr(md5('3|' || pair_id), 1, 8) AS BIGINT) % greatest(size - 1, 1) AS f, unnest(range(least(3, size - 1))) AS k FROM p JOIN r ON r.uri = p.uri WHERE size > 1)
-SELECT s.pair_id, s.uri, r.uri AS negative, CAST(k + 1 AS INT) AS rank FROM s JOIN r ON r.category = s.category AND r.place = (s.own + 1 + (f + k) % (s.size - 1)) % s.size"""
+x AS (SELECT *, CAST('0x' || substr(md5('3|' || pair_id), 1, 8) AS BIGINT) AS f FROM p JOIN r USING (uri)),
+c AS (SELECT p_brand AS b, min(p_partkey) AS u FROM part GROUP BY 1 UNION SELECT p_brand, max(p_partkey) FROM part GROUP BY 1),
+known AS (SELECT pair_id, min(u) AS negative FROM p JOIN part ON p_partkey = uri JOIN c ON b = p_brand AND u <> uri WHERE p_size % 2 = 0 GROUP BY 1),
+found AS (SELECT pair_id, uri, negative, 0 AS o, 0 AS k FROM p JOIN known USING (pair_id) WHERE negative <> uri
+  UNION ALL SELECT s.pair_id, s.uri, r.uri, 1, k FROM (SELECT *, unnest(range(least(3, size - 1))) AS k FROM x WHERE size > 1) s JOIN r ON r.category = s.category AND r.place = (s.place + 1 + (f + k) % (s.size - 1)) % s.size
+  UNION ALL SELECT s.pair_id, s.uri, r.uri, 2, k FROM (SELECT *, unnest(range(least(7, total - 1))) AS k FROM x WHERE size <= 3) s JOIN r ON r.spot = (s.spot + 1 + (f + k) % (s.total - 1)) % s.total),
+best AS (SELECT pair_id, uri, negative, min(o * 100 + k) AS w FROM found GROUP BY 1, 2, 3)
+SELECT pair_id, uri, negative, CAST(row_number() OVER (PARTITION BY pair_id, uri ORDER BY w, negative) AS INT) AS rank, CASE WHEN w < 100 THEN 'known' WHEN w < 200 THEN 'sibling' ELSE 'any' END AS strategy FROM best QUALIFY rank <= 3"""
 )
 def hard_negatives(spark, d):
-    """TRN4, JON21: three other concepts of the same category for each positive."""
+    """TRN4, JON21: three other concepts for each positive: a known false positive, siblings, then any."""
+    part = T(spark, d, "part")
     p = T(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair_id"), F.col("l_partkey").alias("uri"))
-    c = T(spark, d, "part").select(F.col("p_partkey").alias("uri"), F.col("p_type").alias("category"))
-    return preparation.hard_negatives(p, c, 3, 3).select("pair_id", "uri", "negative", "rank")
+    g = part.groupBy(F.col("p_brand").alias("lemma")).agg(F.array(F.min("p_partkey"), F.max("p_partkey")).alias("u"))
+    surfaces = p.join(part.filter("p_size % 2 = 0").select(F.col("p_partkey").alias("uri"), F.col("p_brand").alias("surface")), "uri")
+    known = comparison.distractors(surfaces, g.select("lemma", F.explode("u").alias("uri")))
+    return preparation.hard_negatives(p, part.select(F.col("p_partkey").alias("uri"), F.col("p_type").alias("category")), 3, 3, known)
 
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS pair_id, l_shipdate || '' AS anchor, p_name || '. ' || p_type AS positive FROM lineitem JOIN part ON p_partkey = l_partkey".replace("l_shipdate || ''", "l_returnflag || l_linestatus"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..operators import comparison, lexical, operations, preparation
 from ..sources import taxonomy
-from .queries import T, query, r6
+from .queries import _CELLS, T, _cells, query, r6
 
 # ---- filters of hits -----------------------------------------------------
 
@@ -379,3 +379,63 @@ def top_categories(spark, d):
 def slowest_five(spark, d):
     """ORD7: the five largest values."""
     return T(spark, d, "events").select("event_id", "user_id", "value").orderBy(F.desc_nulls_last("value"), "event_id").limit(5)
+
+
+# ---- reports -------------------------------------------------------------
+
+_GRAVE = " ".join(f"WHEN gold = '{g}' AND predicted = '{p}' THEN {k}" for k, (g, p) in enumerate(comparison.SEVERITY))
+
+
+@query("WITH " + _CELLS + f"SELECT cv_id, jd_id, k, gold, predicted, score, CASE {_GRAVE} END AS severity FROM pred WHERE gold <> predicted ORDER BY severity, abs(score) DESC, cv_id, jd_id, k LIMIT 10")
+def grave_disagreements(spark, d):
+    """ORD9: the ten gravest of six ordered classes of disagreement."""
+    return comparison.gravest(_cells(spark, d), ["cv_id", "jd_id", "k"])
+
+
+@query(
+    "WITH " + _CELLS + """, o AS (SELECT cv_id, jd_id, k, abs(CASE gold WHEN 'strong' THEN 2 WHEN 'possible' THEN 1 ELSE 0 END - CASE predicted WHEN 'strong' THEN 2 WHEN 'possible' THEN 1 ELSE 0 END) AS far FROM pred)
+SELECT cv_id, jd_id, k, ['right', 'near', 'wrong'][far + 1] AS kind FROM o QUALIFY row_number() OVER (PARTITION BY far ORDER BY cv_id, jd_id, k) <= CASE far WHEN 0 THEN 1 ELSE 2 END"""
+)
+def example_picks(spark, d):
+    """ORD10: one right, two near and two wrong examples in input order."""
+    level = lambda c: F.when(F.col(c) == "strong", 2).when(F.col(c) == "possible", 1).otherwise(0)
+    far = F.abs(level("gold") - level("predicted"))
+    kind = F.when(far == 0, "right").when(far == 1, "near").otherwise("wrong")
+    return comparison.examples(_cells(spark, d).select("cv_id", "jd_id", "k", kind.alias("kind")), ["cv_id", "jd_id", "k"], {"right": 1, "near": 2, "wrong": 2})
+
+
+@query("SELECT source AS method, count(*) FILTER (doc_id % 7 <> 0) AS ok, count(*) FILTER (doc_id % 7 = 0) AS errors, coalesce(round(avg(CASE WHEN doc_id % 7 <> 0 THEN (n_chars % 100) / 100 END), 6), 0) AS quality, coalesce(CAST(floor(sum(CASE WHEN doc_id % 7 <> 0 THEN n_chars END) / nullif(count(*) FILTER (doc_id % 7 <> 0), 0)) AS BIGINT), 0) AS ms FROM documents GROUP BY 1")
+def method_summary(spark, d):
+    """AGG30: runs, errors and means by method."""
+    rows = T(spark, d, "documents").select(F.col("source").alias("method"), F.when(F.col("doc_id") % 7 == 0, "failed").alias("error"), (F.col("n_chars") % 100 / 100).alias("quality_score"), F.col("n_chars").alias("time_ms"))
+    return comparison.method_summary(rows).withColumn("quality", F.round("quality", 6))
+
+
+@query("SELECT l_suppkey, CASE WHEN s >= 0.55 AND e > 0.5 THEN 'go' WHEN s >= 0.45 AND s < 0.55 THEN 'borderline' ELSE 're-rank' END AS decision FROM (SELECT l_suppkey, round(avg(l_quantity) / 50, 6) AS s, round(avg(l_discount) * 10, 6) AS e FROM lineitem GROUP BY 1)")
+def decision_gate(spark, d):
+    """FLT20: go, borderline or re-rank, from the semantic and the united F1."""
+    rows = T(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_quantity") / 50, 6).alias("semantic_f1"), F.round(F.avg("l_discount") * 10, 6).alias("ensemble_f1"))
+    return comparison.gate(rows, F.lit(0.5)).select("l_suppkey", "decision")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'EMAIL' ELSE 'UNFINISHED' END AS reason FROM orders WHERE (o_orderstatus = 'F' AND o_custkey % 3 = 0 AND o_custkey % 5 = 0) OR o_orderstatus = 'P'")
+def backfill_selection(spark, d):
+    """FLT17: documents without an address, and those left unfinished."""
+    k = F.col("o_custkey")
+    status = F.when(F.col("o_orderstatus") == "F", "READY").when(F.col("o_orderstatus") == "P", "PENDING").otherwise("FAILED")
+    rows = T(spark, d, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.when(k % 3 != 0, "a@x.org").alias("extracted_email"), F.when(k % 5 != 0, "b@x.org").alias("manual_email"))
+    return comparison.backfill(rows)
+
+
+@query("SELECT c_nationkey AS jd_id, upper(c_mktsegment) || '@X.org' AS email, s_suppkey AS id FROM customer JOIN supplier ON s_nationkey = c_nationkey AND lower(c_mktsegment) || '@x.org' = CASE s_suppkey % 2 WHEN 0 THEN 'building@x.org' ELSE 'machinery@x.org' END")
+def email_lookup(spark, d):
+    """JON26: applications of a position by address, in any case."""
+    wanted = T(spark, d, "customer").select(F.col("c_nationkey").alias("jd_id"), F.concat(F.upper("c_mktsegment"), F.lit("@X.org")).alias("email"))
+    email = F.when(F.col("s_suppkey") % 2 == 0, "Building@x.org").otherwise("MACHINERY@x.org")
+    return comparison.by_email(wanted, T(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("jd_id"), email.alias("email")))
+
+
+@query("SELECT l_partkey AS uri, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
+def training_frequency(spark, d):
+    """AGG37: how often the training set has each concept."""
+    return comparison.frequency(T(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("uri")))

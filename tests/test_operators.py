@@ -124,7 +124,13 @@ def test_preparation(spark):
     concepts = spark.createDataFrame([(f"u{k}", "a") for k in range(5)] + [("z", "b")], "uri string, category string")
     pos = spark.createDataFrame([(1, "u2"), (2, "z")], "pair_id long, uri string")
     neg = preparation.hard_negatives(pos, concepts, 3).collect()
-    assert len({r.negative for r in neg}) == 3 and all(r.pair_id == 1 and r.negative != "u2" for r in neg)
+    assert len({r.negative for r in neg if r.pair_id == 1}) == 3 and all(r.strategy == "sibling" and r.negative != "u2" for r in neg if r.pair_id == 1)
+    assert len({r.negative for r in neg if r.pair_id == 2}) == 3 and all(r.strategy == "any" for r in neg if r.pair_id == 2)
+    known = spark.createDataFrame([(1, "z"), (2, "z")], "pair_id long, negative string")
+    neg = preparation.hard_negatives(pos, concepts.union(spark.createDataFrame([("n", None)], concepts.schema)), 9, known=known).collect()
+    assert [(r.negative, r.strategy) for r in neg if r.pair_id == 1 and r["rank"] == 1] == [("z", "known")]
+    assert sorted(r.negative for r in neg if r.pair_id == 1) == ["n", "u0", "u1", "u3", "u4", "z"] and len([r for r in neg if r.pair_id == 2]) == 6
+    assert preparation.hard_negatives(pos, concepts.limit(0)).count() == 0
 
 
 def test_sources(spark, tmp_path):

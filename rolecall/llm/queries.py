@@ -17,6 +17,7 @@ from .pieces import encoded
 from .quality import fit, scores
 from .substrings import repeated_passages
 from .warc import fixity
+from .whitening import whitened
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op9_substring_dedup_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), texts=False).drop("th")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def id_remainder(n: int):
     """crc32 of doc_id as text, modulo n; a null id has none."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
@@ -157,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_cnn": op8_quality_cnn,
     "op9_substring_dedup_rlz": op9_substring_dedup_rlz,
     "op10_near_dedup_minhash": op10_near_dedup_minhash,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ctw import score_texts
 from .decontaminate import contamination
 from .licenses import licenses
+from .manifest import audited
 from .media import features, store
 from .neardup import near_duplicates
 from .pii import personal_data
@@ -36,6 +37,10 @@ def op9_substring_dedup_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), texts=False).drop("th")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir, "documents"), id_remainder(5) == 0)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"))
 
@@ -151,6 +156,45 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, c = doc_id AS ke
 """
 
 
+OP12_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper_case, 'abcdefghijklmnopqrstuvwxyz' AS lower_case,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x : CAST(ascii(x) AS BIGINT))),
+      lambda c, b : list_reduce(list_prepend(xor(c & 255, b) | (c & 4294967040), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i : xor(x >> 1, 3988292384 * (x & 1))))) AS crc
+  FROM documents
+), leaf AS (
+  SELECT rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, crc % 5 = 0 AS changed,
+    sha256(head || coalesce(strlen(text) || ':' || translate(text, upper_case, lower_case), '-')) AS altered
+  FROM d
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS sid FROM leaf
+), low AS (
+  SELECT 0 AS h, sid, place, n, leaf AS digest FROM p
+  UNION ALL
+  SELECT h + 1, sid, place // 16, (max(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM low WHERE n > 1 GROUP BY h, sid, place // 16
+), high AS (
+  SELECT 0 AS h, CAST(-1 AS BIGINT) AS sid, sid AS place, count(*) OVER () AS n, digest FROM low WHERE n = 1
+  UNION ALL
+  SELECT h + 1, sid, place // 16, (max(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM high WHERE n > 1 GROUP BY h, sid, place // 16
+), node AS (SELECT * FROM low UNION ALL SELECT * FROM high
+), step AS (
+  SELECT a.h, a.sid, a.place, a.h + 1 AS h2, a.sid AS sid2, a.place // 16 AS place2, true AS hashed,
+    coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r
+  FROM node a JOIN node b ON a.h = b.h AND a.sid = b.sid AND a.place // 16 = b.place // 16 WHERE a.n > 1 GROUP BY a.h, a.sid, a.place
+  UNION ALL
+  SELECT h, sid, place, 0, -1, sid, false, '', '' FROM low WHERE n = 1
+), walk AS (
+  SELECT rid, 0 AS h, sid, place, CASE WHEN changed THEN altered ELSE leaf END AS digest, '' AS proof FROM p
+  UNION ALL
+  SELECT rid, h2, sid2, place2, CASE WHEN hashed THEN sha256(l || digest || r) ELSE digest END, proof || l || r FROM walk JOIN step USING (h, sid, place)
+), root AS (SELECT digest AS root FROM high WHERE n = 1
+), ended AS (SELECT walk.rid, walk.digest, proof FROM walk JOIN high ON walk.sid = -1 AND walk.h = high.h WHERE high.n = 1)
+SELECT doc_id, leaf, low.digest AS subroot, root, sha256(proof) AS proof_sha256, ended.digest AS folded_root, ended.digest = root AS verified
+FROM p JOIN low ON low.sid = p.sid AND low.n = 1 JOIN ended USING (rid) CROSS JOIN root
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate_winnowing": op7_decontaminate_winnowing,
     "op1_warc_fixity_merkle": op1_warc_fixity_merkle,
@@ -162,6 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_cnn": op8_quality_cnn,
     "op9_substring_dedup_rlz": op9_substring_dedup_rlz,
     "op10_near_dedup_minhash": op10_near_dedup_minhash,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
@@ -170,4 +215,5 @@ ORACLES: dict[str, str] = {
     "op7_decontaminate_winnowing": OP7_SQL,
     "op9_substring_dedup_rlz": OP9_SQL,
     "op10_near_dedup_minhash": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Up to so many narrow rows (some 20 MB) are broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 
 
 def quoted(name: str) -> str:
@@ -77,7 +78,9 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``rows`` marked for broadcast if they are counted to be at most ``most``, else None:
-    the caller then joins in another way."""
-    return F.broadcast(rows) if rows.count() <= most else None
+def few(rows: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
+    """``rows`` marked for broadcast if they are counted to be at most ``most``, with at most
+    ``most_bytes`` of text, else None: the caller then joins in another way."""
+    texts = [F.sum(F.octet_length(F.col(quoted(c)))) for c, kind in rows.dtypes if kind in ("string", "binary")]
+    count, *sizes = rows.agg(F.count("*"), *texts).first()
+    return F.broadcast(rows) if count <= most and sum(x or 0 for x in sizes) <= most_bytes else None

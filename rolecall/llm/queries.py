@@ -16,6 +16,7 @@ from .neardup import near_duplicates
 from .pii import personal_data
 from .pieces import encoded
 from .quality import fit, scores
+from .runindex import deduplicated
 from .substrings import repeated_passages
 from .warc import fixity
 from .whitening import whitened
@@ -37,6 +38,10 @@ def op9_substring_dedup_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), texts=False).drop("th")
 
 
+def op11_suffix_dedup_rindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents"), texts=False).drop("th")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(table(spark, sf_dir, "documents"), id_remainder(5) == 0)
 
@@ -206,6 +211,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_cnn": op8_quality_cnn,
     "op9_substring_dedup_rlz": op9_substring_dedup_rlz,
     "op10_near_dedup_minhash": op10_near_dedup_minhash,
+    "op11_suffix_dedup_rindex": op11_suffix_dedup_rindex,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_embedding_whitening": op13_embedding_whitening,
 }

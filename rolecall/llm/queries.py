@@ -161,6 +161,19 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, c = doc_id AS ke
 """
 
 
+OP11_SQL = """
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT rid, p, md5(substr(x, 2 * p + 1, 400)) AS k FROM (SELECT rid, x, unnest(range(0, len(x) // 2 - 199)) AS p FROM doc WHERE len(x) >= 400)),
+again AS (SELECT k FROM win GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS q, max(p) OVER (PARTITION BY rid) AS m FROM win JOIN again USING (k)),
+gone AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest(range(p, p + 200)) AS i FROM hit) GROUP BY 1),
+runs AS (SELECT rid, s, coalesce(lead(b) OVER (PARTITION BY rid ORDER BY s), m) + 200 AS e FROM (SELECT rid, p AS s, q AS b, m FROM hit WHERE q IS NULL OR p > q + 200)),
+gap AS (SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS a, s AS b FROM runs UNION ALL SELECT rid, max(e), CAST(NULL AS BIGINT) FROM runs GROUP BY 1),
+kept AS (SELECT rid, string_agg(substr(x, 2 * a + 1, CASE WHEN b IS NULL THEN len(x) ELSE 2 * (b - a) END), '' ORDER BY a, b NULLS LAST) AS x, count(b) AS n_spans FROM gap JOIN doc USING (rid) GROUP BY 1)
+SELECT doc_id, len(doc.x) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, doc.x))) AS kept_sha256
+FROM doc LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)
+"""
+
 OP12_SQL = """
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper_case, 'abcdefghijklmnopqrstuvwxyz' AS lower_case,
@@ -221,5 +234,6 @@ ORACLES: dict[str, str] = {
     "op7_decontaminate_winnowing": OP7_SQL,
     "op9_substring_dedup_rlz": OP9_SQL,
     "op10_near_dedup_minhash": OP10_SQL,
+    "op11_suffix_dedup_rindex": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
 }

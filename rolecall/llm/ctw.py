@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .rows import checkpointed
+from .rows import checkpointed, shipped
 
 DEPTH = 5
 LEAST = 2
@@ -481,7 +481,7 @@ def _scores(depth: int, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codes, code_logs, head, logs = model.value
+        codes, code_logs, head, logs = model()
         serial = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, at = W.text_buffers(batch.column("text"))
@@ -553,7 +553,7 @@ def score_texts(docs: DataFrame, learn, depth: int = DEPTH, share: int | None =
     hashes, n, least = head_of(words, "n", head)
     known, known_logs, least_code = head_of(codes, "logp", head)
     denominator = tokens + 0.1 * (distinct + 1)
-    model = docs.sparkSession.sparkContext.broadcast((Table(known), known_logs, Table(hashes), np.log10((n + 0.1) / denominator).astype(np.float64)))
+    model = shipped(docs.sparkSession, (Table(known), known_logs, Table(hashes), np.log10((n + 0.1) / denominator).astype(np.float64)))
     rows = mine.mapInArrow(
         _scores(depth, model), "row long, kind int, key long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long"
     )

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .ctw import Table
+from .rows import shipped
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed value: the word mark U+2581 of the vocabulary's pieces.
@@ -248,22 +249,22 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     Texts are read once, in runs of about 1 MB, and within a longer text its parts in such
     runs; the compiled vocabulary is broadcast (its size is that of the model file).
     """
-    machine = docs.sparkSession.sparkContext.broadcast(compiled(model))
+    machine = shipped(docs.sparkSession, compiled(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = W.text_buffers(batch.column("text"))
             for i, j in W.groups(at, RUN):
                 d, a = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                ids, counts, cost = machine.value.encode(d, a)
-                back, b = machine.value.decode(ids, counts)
+                ids, counts, cost = machine().encode(d, a)
+                back, b = machine().decode(ids, counts)
                 if len(back) == len(d) and (b == a).all():
                     wrong = np.append(0, np.cumsum(back != d))
                     exact = wrong[a[1:]] == wrong[a[:-1]]
                 else:
                     exact = np.array([back[b[k] : b[k + 1]].tobytes() == d[a[k] : a[k + 1]].tobytes() for k in range(j - i)])
                 first = np.append(0, np.cumsum(counts))
-                spare = np.append(0, np.cumsum(machine.value.is_fallback[ids]))
+                spare = np.append(0, np.cumsum(machine().is_fallback[ids]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), pa.array(counts), pa.array(spare[first[1:]] - spare[first[:-1]]), pa.array(cost / UNIT), W.lists(ids.astype(np.int32), counts, pa.int32()), pa.array(exact)],
                     ["doc_id", "n_ids", "n_fallback", "cost", "ids", "exact"],
@@ -274,7 +275,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def decoded(ids: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text): the text of each row's ids; a row without ids is an empty text."""
-    machine = ids.sparkSession.sparkContext.broadcast(compiled(model))
+    machine = shipped(ids.sparkSession, compiled(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +283,7 @@ def decoded(ids: DataFrame, model: str = MODEL) -> DataFrame:
             counts = lists.value_lengths().fill_null(0).to_numpy()
             texts = []
             for k, n in enumerate(counts):
-                data, _ = machine.value.decode(lists[k].values.to_numpy().astype(np.int64), np.array([n])) if n else (np.zeros(0, np.uint8), None)
+                data, _ = machine().decode(lists[k].values.to_numpy().astype(np.int64), np.array([n])) if n else (np.zeros(0, np.uint8), None)
                 texts.append(data.tobytes().decode(errors="replace"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 

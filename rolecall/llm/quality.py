@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .rows import quoted
+from .rows import quoted, shipped
 
 SAMPLE = 6000
 SAMPLE_BYTES = 1 << 16
@@ -165,11 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, target:
 def scores(docs: DataFrame, network: Network) -> DataFrame:
     """(doc_id, score, predicted) for every row of ``docs``; null and empty texts are
     scored as a chunk of zeros; repeated rows and null ids get one row each."""
-    model = docs.sparkSession.sparkContext.broadcast(network)
+    model = shipped(docs.sparkSession, network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = model.value.score(*W.text_buffers(batch.column("text")))
+            p = model().score(*W.text_buffers(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
@@ -177,12 +177,12 @@ def scores(docs: DataFrame, network: Network) -> DataFrame:
 
 def keep_good(docs: DataFrame, network: Network) -> DataFrame:
     """``docs`` without the rows the network rejects; columns unchanged, whatever their names; one pass."""
-    model = docs.sparkSession.sparkContext.broadcast(network)
+    model = shipped(docs.sparkSession, network)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.value.score(*W.text_buffers(batch.column(0).field(at))) >= 0.5))
+            yield batch.filter(pa.array(model().score(*W.text_buffers(batch.column(0).field(at))) >= 0.5))
 
     # the columns travel as one struct: names with dots are no columns to mapInArrow
     rows = docs.select(F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns)).alias("row"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +82,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function for tasks that gives ``value``, broadcast with the code of its class, so that
+    executors need not have this package.  Each worker unpacks it once, at its first use."""
+    box = spark.sparkContext.broadcast([cloudpickle.dumps(value)])
+
+    def given() -> Any:
+        if isinstance(box.value[0], bytes):
+            box.value[0] = pickle.loads(box.value[0])
+        return box.value[0]
+
+    return given
+
+
 def few(rows: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
     """``rows`` marked for broadcast if they are counted to be at most ``most``, with at most
     ``most_bytes`` of text, else None: the caller then joins in another way."""

@@ -76,21 +76,21 @@ def header_key(line: Column) -> Column:
     return F.when((F.length(t) > 0) & (F.length(F.trim(line)) <= 60), fold(F.lower(t)))
 
 
-def cue_pattern(cues: list[str], slots: dict[str, list[str]] | None = None) -> str:
-    """An expression for text that ends with one of the cues: phrases of words, in which a word
-    that ``slots`` names stands for any of its words."""
+def cue_pattern(cues: list[str]) -> str:
+    """An expression for text that ends with one of the cues, phrases of words."""
     import re
 
-    word = lambda w: "(?:" + "|".join(map(re.escape, (slots or {}).get(w, [w]))) + ")"
-    phrases = "|".join(r"\s+".join(map(word, cue.split())) for cue in cues)
+    if not cues:
+        raise ValueError("denials need a list of cues")
+    phrases = "|".join(r"\s+".join(map(re.escape, cue.split())) for cue in cues)
     return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{phrases})\s*$"
 
 
-def negated(text: Column, start: Column, language: str, window: int = C.NEGATION_WINDOW, cues: list[str] | None = None) -> Column:
-    """Does a denial end where a match starts (0-based), within the window before it?  ``cues``
-    replace those of the language."""
+def negated(text: Column, start: Column, cues: list[str], window: int = C.NEGATION_WINDOW) -> Column:
+    """Does a cue end where a match starts (0-based), within the window before it?  Cues are the
+    caller's, in small letters without marks."""
     before = fold(F.lower(F.substring(text, F.greatest(start - window, F.lit(0)) + 1, F.least(start, F.lit(window)))))
-    return before.rlike(cue_pattern(cues) if cues else cue_pattern(C.NEGATION_CUES[language], C.NEGATION_SLOTS[language]))
+    return before.rlike(cue_pattern(cues))
 
 
 def junk_surface(surface: Column) -> Column:

@@ -93,9 +93,16 @@ def in_sections(hits: DataFrame, parts: DataFrame) -> DataFrame:
     return hits.join(s, on, "left").select(hits["*"], F.coalesce("section", F.lit("other")).alias("section"))
 
 
-def without_negated(hits: DataFrame, documents: DataFrame, language: str, cues: list[str] | None = None) -> DataFrame:
-    both = hits.join(documents.select("doc_id", "text"), "doc_id")
-    return both.filter(~text.negated(F.col("text"), F.col("start"), language, cues=cues)).select(hits["*"])
+def beside_text(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, text, hits): the hits of a document as one list, so that its text is moved once, not with each hit."""
+    lists = hits.groupBy("doc_id").agg(F.collect_list(F.struct(*hits.columns)).alias("hits"))
+    return lists.join(documents.select("doc_id", "text"), "doc_id")
+
+
+def without_negated(hits: DataFrame, documents: DataFrame, cues: list[str]) -> DataFrame:
+    """Hits (doc_id, start, ...) that no denial of ``cues`` stands before."""
+    both = beside_text(hits, documents)
+    return both.select(F.inline(F.filter("hits", lambda h: ~text.negated(F.col("text"), h["start"], cues))))
 
 
 def without_entities(hits: DataFrame, entities: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ requirement lists, comparison of predictors and of runs, and changes by key."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
@@ -15,14 +16,19 @@ from .queries import _CELLS, T, _cells, query, r6
 
 @query(
     r"""
-WITH h AS (SELECT doc_id, text, instr(substr(text, 200), ' the ') + 199 AS start FROM documents WHERE instr(substr(text, 200), ' the ') > 0)
-SELECT doc_id, CAST(start AS INT) AS start FROM h WHERE NOT regexp_matches(lower(substr(text, start - 49, 50)), '(^|[^\pL\pN])(of|in\s+on|to)\s*$')"""
+WITH g AS (SELECT doc_id, text, string_split(text, ' the ') AS gaps FROM documents),
+k AS (SELECT doc_id, text, gaps, unnest(range(1, len(gaps))) AS k FROM g),
+h AS (SELECT doc_id, text, CAST(list_sum(list_transform(gaps[1:k], lambda x : length(x))) + 5 * (k - 1) AS BIGINT) AS start FROM k)
+SELECT doc_id, start FROM h WHERE NOT regexp_matches(lower(substr(text, greatest(start - 50, 0) + 1, least(start, 50))), '(^|[^\pL\pN])(of|in\s+on|to)\s*$')"""
 )
 def negation_filter(spark, d):
-    """FLT3: hits that no denial stands before; the cues are the caller's."""
+    """FLT3: every " the " that no denial stands before; the cues are the caller's."""
     docs = T(spark, d, "documents").select("doc_id", "text")
-    hits = docs.withColumn("start", F.locate(" the ", F.col("text"), 200)).filter("start > 0").select("doc_id", "start")
-    return lexical.without_negated(hits, docs, "en", ["of", "in on", "to"])
+    gaps = F.slice(F.split("text", " the "), 1, F.size(F.split("text", " the ")) - 1)
+    at = docs.select("doc_id", F.posexplode(gaps).alias("k", "gap"))
+    w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    hits = at.select("doc_id", (F.sum(F.length("gap")).over(w) + 5 * F.col("k")).alias("start"))
+    return lexical.without_negated(hits, docs, ["of", "in on", "to"])
 
 
 _LI_HITS = """

@@ -31,16 +31,16 @@ def test_text_functions(spark):
 
 
 def test_denials(spark):
-    told = {
-        "en": ["I have no experience with ", "no knowledge of ", "I had no exposure to ", "Not familiar with ", "Not proficient in ", "Lack of experience with ", "Without any experience in ", "Unfamiliar with ", "Never used ", "Never worked with ", "Zero experience with "],
-        "ro": ["Nu am lucrat cu ", "Nu am lucrat in ", "Nu am experiență cu ", "Nu am cunoștințe despre ", "Nu am folosit ", "Nu cunosc ", "Fără experiență cu ", "Lipsa de experiență cu ", "Nu sunt familiarizată cu "],
-    }
-    plain = {"en": ["Proficient in ", "5 years of experience with ", "Strong knowledge of ", "piano experience with "], "ro": ["Experiență cu ", "Cunoștințe avansate de ", "Am lucrat 5 ani cu ", "Folosesc zilnic "]}
-    for want, texts in ((True, told), (False, plain)):
-        for language, some in texts.items():
-            rows = spark.createDataFrame([(t + "Python.", len(t)) for t in some], "t string, n int")
-            assert [r.x for r in rows.select(text.negated(F.col("t"), F.col("n"), language).alias("x")).collect()] == [want] * len(some)
-    assert one(spark, text.negated(F.lit("hardly any Java"), F.lit(11), "en", cues=["hardly any"])) is True
+    cues = ["hardly any", "nothing of", "nu prea"]
+    for sentence, want in (("Hardly any ", True), ("hardly\n any ", True), ("He knows nothing of ", True), ("Nu prea ", True), ("hardly any more ", False), ("manothing of ", False), ("", False)):
+        assert one(spark, text.negated(F.lit(sentence + "Java"), F.lit(len(sentence)), cues)) is want
+    far = "nothing of " + " " * 60
+    assert one(spark, text.negated(F.lit(far + "Java"), F.lit(len(far)), cues)) is False
+    with pytest.raises(ValueError):
+        text.negated(F.lit("x"), F.lit(0), [])
+    docs = spark.createDataFrame([(1, "nothing of Java, Java"), (2, None)], "doc_id int, text string")
+    hits = spark.createDataFrame([(1, 11), (1, 17), (2, 0)], "doc_id int, start int")
+    assert [tuple(r) for r in lexical.without_negated(hits, docs, cues).collect()] == [(1, 17)]
 
 
 def test_alternative_labels_keep_digits(spark):

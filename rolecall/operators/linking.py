@@ -7,8 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .. import config as C
 from ..functions import scores, text
@@ -42,46 +45,83 @@ def encoded(rows: DataFrame, column: str, encode: Callable[[list[str]], np.ndarr
     return rows.withColumn("vec", vectors(F.col(column)))
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int = C.TOP_K, most_mb: int = 64) -> DataFrame:
-    """(query, id, similarity, rank): the k nearest of ``index`` (id, vec) for each of ``queries`` (query, vec).
+#: Queries and index rows that meet in one task.
+QUERY_BLOCK, INDEX_BLOCK = 1024, 8192
 
-    Blocks of queries, each at most ``most_mb`` MB, are broadcast one after another
-    and meet every index row in one matrix product a batch; each batch keeps k rows
-    for a query, and a window ranks them.  Ties go to the smaller id.
-    """
-    spark = index.sparkSession
-    schema = f"query {dict(queries.dtypes)['query']}, id {dict(index.dtypes)['id']}, similarity double"
-    rows = queries.filter("vec is not null").select("query", "vec")
-    width = rows.select(F.coalesce(F.max(F.size("vec")), F.lit(1))).first()[0]
-    per_block = max(1, most_mb * 2**20 // (8 * width))
-    blocks = max(1, -(-rows.count() // per_block))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        block = rows.filter(F.col("block") == b).toPandas()
-        if not len(block):
-            continue
-        shared = spark.sparkContext.broadcast((block["query"].to_numpy(), np.stack(block["vec"].to_numpy()).astype(np.float64)))
-
-        def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                ids = pdf["id"].to_numpy()
-                order = np.argsort(ids, kind="stable")
-                s = np.round(q @ np.stack(pdf["vec"].to_numpy()[order]).astype(np.float64).T, 12)
-                keep = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query": np.repeat(names, keep.shape[1]), "id": ids[order][keep].ravel(), "similarity": np.take_along_axis(s, keep, 1).ravel()})
 
-        part = index.filter("vec is not null").select("id", "vec").mapInPandas(nearest, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema + ", rank int")
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+def _nearest_in_block(k: int):
+    """The k nearest of a block of index rows for each query of a block: one matrix product for a slice of queries."""
+
+    def run(queries: pa.Table, index: pa.Table) -> pa.Table:
+        order = pc.sort_indices(index.column("id"))
+        index = index.take(order)
+        vectors = lambda t: t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+        parts = []
+        if queries.num_rows and index.num_rows:
+            q, x = vectors(queries), vectors(index)
+            for i in range(0, len(q), 128):
+                s = np.round(q[i : i + 128] @ x.T, 12)
+                keep = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                asked = queries.slice(i, 128).drop_columns(["vec", "block", "part"]).take(pa.array(np.repeat(np.arange(len(s)), keep.shape[1])))
+                found = index.column("id").take(pa.array(keep.ravel()))
+                parts.append(asked.append_column("id", found).append_column("similarity", pa.array(np.take_along_axis(s, keep, 1).ravel())))
+        if parts:
+            return pa.concat_tables(parts)
+        none = queries.slice(0, 0).drop_columns(["vec", "block", "part"])
+        return none.append_column("id", index.column("id").slice(0, 0)).append_column("similarity", pa.array([], pa.float64()))
+
+    return run
+
+
+def top_k(queries: DataFrame, index: DataFrame, k: int = C.TOP_K, by: tuple[str, ...] = (), block: int = QUERY_BLOCK, part: int = INDEX_BLOCK) -> DataFrame:
+    """(*by, query, id, similarity, rank): the k nearest of ``index`` (*by, id, vec) for each of
+    ``queries`` (*by, query, vec), within equal ``by``.
+
+    A join of blocks: queries are hashed into blocks of about ``block`` rows and index
+    rows into parts of about ``part``, so every block meets every part in a task of
+    bounded size.  A task keeps k rows for each of its queries; a window, which Spark
+    cuts to k before its shuffle too, ranks them.  No vector passes the driver.  Null
+    vectors have no neighbours; ties go to the smaller id; repeated queries count as one.
+    """
+    keys = list(by)
+    q = queries.filter("vec is not null").select(*keys, "query", "vec").dropDuplicates([*keys, "query"])
+    x = index.filter("vec is not null").select(*keys, "id", "vec")
+    count = lambda rows, most, name: rows.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / most), F.lit(1)).alias(name))
+    if keys:  # groups that lack either side have no neighbours
+        sizes = count(q, block, "blocks").join(count(x, part, "parts"), keys)
+        q, x = q.join(sizes, keys), x.join(sizes, keys)
+    else:
+        blocks, parts = count(q, block, "blocks").first()[0], count(x, part, "parts").first()[0]
+        q, x = (t.withColumn("blocks", F.lit(blocks)).withColumn("parts", F.lit(parts)) for t in (q, x))
+    all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = [F.col(c).alias(c) for c in (*keys, "query", "vec")]  # other columns than those of the index, if both come from one table
+    q = q.select(*own, F.pmod(F.xxhash64("query"), F.col("blocks")).alias("block"), all_of("parts").alias("part"))
+    x = x.select(*keys, "id", "vec", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), all_of("blocks").alias("block"))
+    schema = StructType([*(f for f in q.schema if f.name in (*keys, "query")), x.schema["id"], StructField("similarity", DoubleType())])
+    cell = [*keys, "block", "part"]
+    found = q.groupBy(*cell).cogroup(x.groupBy(*cell)).applyInArrow(_nearest_in_block(k), schema)
+    w = Window.partitionBy(*keys, "query").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def resolved(requirements: DataFrame, concepts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Requirements (text, skill_uri, req_conf, ...) without a concept get the one nearest to their text.
+
+    ``vectors``: text, vec, the encoding of each text; ``concepts``: skill_uri, label, vec.  A
+    confidence over 0 stays, else the similarity takes its place.  Equal texts are
+    looked up once.  Requirements that have a concept, and those without any neighbour,
+    are as they were, with the label of their concept or none.
+    """
+    asked = requirements.filter("skill_uri is null and text is not null").select("text").distinct()
+    near = top_k(asked.join(vectors, "text").select(F.col("text").alias("query"), "vec"), concepts.select(F.col("skill_uri").alias("id"), "vec"), 1)
+    near = near.select(F.col("query").alias("text"), F.col("id").alias("found"), "similarity")
+    rows = requirements.join(near, "text", "left").withColumn("new", F.col("skill_uri").isNull() & F.col("found").isNotNull())
+    uri = F.when(F.col("new"), F.col("found")).otherwise(F.col("skill_uri"))
+    sure = F.when(F.col("new") & (F.coalesce("req_conf", F.lit(0.0)) <= 0), F.col("similarity")).otherwise(F.col("req_conf"))
+    rows = rows.select(*(uri.alias(c) if c == "skill_uri" else sure.alias(c) if c == "req_conf" else F.col(c) for c in requirements.columns), F.col("new").alias("resolved"))
+    return rows.join(concepts.select("skill_uri", F.col("label").alias("skill_label")), "skill_uri", "left").select(*requirements.columns, "skill_label", "resolved")
+
+
 def rescored(lexical: DataFrame, similarity: DataFrame, drop: float = C.DROP, keep: float = C.KEEP) -> DataFrame:
     """Lexical candidates (cv_id, skill_uri, confidence) with their similarity (cv_id, skill_uri,
     similarity) and the band they fall in; candidates of unknown concepts have none and go."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scores
+from .linking import top_k
 
 
 def requirement_rows(positions: DataFrame) -> DataFrame:
@@ -29,13 +30,14 @@ def exact_matches(pairs: DataFrame, requirements: DataFrame, candidates: DataFra
 
 def semantic_fallback(unmatched: DataFrame, candidates: DataFrame, threshold: float = C.KEEP, gate: float = C.REQUIREMENT_GATE) -> DataFrame:
     """For unmatched requirements (cv_id, jd_id, req_ord, vec): the candidate (cv_id, skill_uri,
-    confidence, vec) of that document with the highest cosine, ties to the smaller concept."""
-    c = candidates.select("cv_id", F.col("skill_uri").alias("cand_uri"), "confidence", F.col("vec").alias("cand_vec"))
-    sim = F.greatest(F.lit(0.0), F.least(F.lit(1.0), scores.dot(F.col("vec"), F.col("cand_vec"))))
-    rows = unmatched.join(c, "cv_id").withColumn("similarity", sim)
-    w = Window.partitionBy("cv_id", "jd_id", "req_ord").orderBy(F.desc("similarity"), "cand_uri")
-    best = rows.withColumn("r", F.row_number().over(w)).filter("r = 1").filter((F.col("similarity") >= threshold) & (F.col("confidence") >= gate))
-    return best.select("cv_id", "jd_id", "req_ord", "cand_uri", "similarity", F.col("confidence").alias("match_score"))
+    confidence, vec) of that document with the highest cosine, ties to the smaller concept.
+    Requirements and candidates of a document meet in blocks."""
+    asked = unmatched.select("cv_id", F.struct("jd_id", "req_ord").alias("query"), "vec")
+    near = top_k(asked, candidates.select("cv_id", F.col("skill_uri").alias("id"), "vec"), 1, by=("cv_id",))
+    sure = candidates.groupBy("cv_id", F.col("skill_uri").alias("cand_uri")).agg(F.max("confidence").alias("match_score"))
+    best = near.select("cv_id", "query.jd_id", "query.req_ord", F.col("id").alias("cand_uri"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")).alias("similarity"))
+    best = best.filter(F.col("similarity") >= threshold).join(sure, ["cv_id", "cand_uri"]).filter(F.col("match_score") >= gate)
+    return best.select("cv_id", "jd_id", "req_ord", "cand_uri", "similarity", "match_score")
 
 
 def overall(matched: DataFrame, required_weight: float = C.REQUIRED_WEIGHT) -> DataFrame:

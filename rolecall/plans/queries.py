@@ -317,14 +317,13 @@ def band_assignment(spark, d):
     + _TOPK
     + """, r AS (SELECT query % 7 AS cv_id, query AS w, id, similarity FROM k WHERE rank <= 5 AND similarity >= 0.25),
 b AS (SELECT cv_id, id AS skill_uri, max(similarity) AS similarity, arg_max(w, struct_pack(a := similarity, b := -w)) AS w FROM r GROUP BY 1, 2)
-SELECT cv_id, skill_uri, round(similarity, 6) AS similarity, w AS "window" FROM b WHERE skill_uri % 50 <> 0"""
+SELECT cv_id, skill_uri, round(similarity, 6) AS similarity, w AS "window" FROM b WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id % 7 = b.cv_id AND (e.vec_id * 11 + e.label) % 500 = b.skill_uri)"""
 )
 def semantic_expansion(spark, d):
     """AGG5, JON9, FLT8: concepts that windows retrieve and the lexical step lacks, the best window each."""
     k = _nearest(spark, d).select((F.col("query") % 7).alias("cv_id"), F.col("query").alias("window"), F.col("id").alias("skill_uri"), "similarity")
-    lex = k.filter("skill_uri % 50 = 0").select("cv_id", "skill_uri")
-    every = spark.range(7).select(F.col("id").alias("cv_id")).join(lex.select("skill_uri").distinct(), F.lit(True))
-    return linking.expansions(k, every, 0.25).select("cv_id", "skill_uri", r6(F.col("similarity"), "similarity"), "window")
+    lex = T(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("cv_id"), ((F.col("vec_id") * 11 + F.col("label")) % 500).alias("skill_uri"))
+    return linking.expansions(k, lex, 0.25).select("cv_id", "skill_uri", r6(F.col("similarity"), "similarity"), "window")
 
 
 @query(
@@ -797,4 +796,4 @@ def lifecycle_transitions(spark, d):
     return t.groupBy(F.coalesce("before", F.lit("NONE")).alias("before"), "state").agg(F.count("*").alias("n"), F.bool_and("allowed").alias("allowed"))
 
 
-from . import store  # noqa: E402,F401  further queries, registered on import
+from . import store, texts  # noqa: E402,F401  further queries, registered on import

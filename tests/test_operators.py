@@ -190,3 +190,34 @@ def test_overlays(spark, tmp_path):
     r.write_text("rules:\n  - surface_pattern: It\n")
     with pytest.raises(ValueError):
         overlays.suppression_rules(spark, str(r))
+
+
+def test_nearest_in_blocks(spark):
+    """Blocks of any size give what one product gives, within groups too; ties go to the smaller id."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(g, i, [float(v) for v in rng.integers(-2, 3, 4)]) for g in (0, 1) for i in range(60)] + [(2, 0, None), (0, 90, None)]
+    index = spark.createDataFrame(rows, "g int, id int, vec array<double>")
+    queries = index.filter("id % 3 = 0").withColumnRenamed("id", "query")
+    whole = {g: [(i, np.array(v)) for h, i, v in rows if h == g and v] for g in (0, 1)}
+    for by, size in (((), 1000), ((), 7), (("g",), 9)):
+        asked = queries if by else queries.filter("g = 0")
+        got = linking.top_k(asked, index if by else index.filter("g = 0"), 4, by=by, block=size, part=size + 2).collect()
+        want = set()
+        for g in (0, 1) if by else (0,):
+            for i, v in whole[g]:
+                if i % 3 == 0:
+                    best = sorted((-float(v @ u), j) for j, u in whole[g])[:4]
+                    want |= {(g, i, j, -s, k + 1) for k, (s, j) in enumerate(best)}
+        assert {(r["g"] if by else 0, r["query"], r["id"], r["similarity"], r["rank"]) for r in got} == want and len(got) == len(want)
+    assert linking.top_k(queries.limit(0).drop("g"), index.drop("g"), 3).count() == 0
+    assert linking.top_k(queries.drop("g"), index.limit(0).drop("g"), 3).count() == 0
+
+
+def test_resolution(spark):
+    concepts = spark.createDataFrame([("c1", "One", [1.0, 0.0]), ("c2", "Two", [0.0, 1.0])], "skill_uri string, label string, vec array<double>")
+    vectors = spark.createDataFrame([("a", [0.6, 0.8]), ("b", [1.0, 0.0]), ("d", None)], "text string, vec array<double>")
+    rows = spark.createDataFrame([(1, "a", None, 0.0), (2, "a", None, 0.5), (3, "b", "c2", 0.0), (4, "d", None, 0.0), (5, None, None, None), (6, "b", "c9", 0.1)], "ord int, text string, skill_uri string, req_conf double")
+    got = {r["ord"]: tuple(r)[1:] for r in linking.resolved(rows, concepts, vectors).collect()}
+    assert got == {1: ("a", "c2", 0.8, "Two", True), 2: ("a", "c2", 0.5, "Two", True), 3: ("b", "c2", 0.0, "Two", False), 4: ("d", None, 0.0, None, False), 5: (None, None, None, None, False), 6: ("b", "c9", 0.1, None, False)}

@@ -93,6 +93,10 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("value"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return keyed(docs).withColumn("th", _text_key(F.col("text")))
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(th, text): every text of keyed documents once, without null and empty ones.  Most texts
     have no copy and are passed on where they lie; only those with copies are brought together."""
@@ -138,6 +142,16 @@ def _wilson(k: Column, n: Column, z: float) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def _set(name: str) -> list[Column]:
+    """Two 64-bit fingerprints of a set of texts, whatever their order."""
+    return [F.bit_xor(F.xxhash64(F.lit(k), "th")).alias(f"{name}{k}") for k in (1, 2)]
+
+
+def _text_key(text: Column) -> Column:
+    """128 bits, so that no two texts of any corpus share a key."""
+    return F.md5(text)
+
+
 def _beside(terms: DataFrame, found: DataFrame) -> DataFrame:
     """The terms that overlap no base match: in text order, each looks back to the
     furthest end and ahead to the next start of a match."""
@@ -153,7 +167,7 @@ def disclosing(texts: DataFrame, found: DataFrame, generalise: float = GENERALIS
     """(th, kind, start, end, value): the terms of distinct texts with base matches that give one of their entities away."""
     holds = found.select("th", F.explode(protected(F.col("kind"), F.col("value"))).alias("entity")).distinct()
     n = texts.count()
-    df_e = holds.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e").between(2, n - 1))
+    df_e = holds.groupBy("entity").agg(F.count("*").alias("df_e"), *_set("e")).filter(F.col("df_e").between(2, n - 1))
     holds = written(holds.join(written(df_e), "entity"))  # no other entity can be told
     owners = holds.select("th").distinct()
     private = texts.join(few(owners) or owners, "th", "left_semi")
@@ -163,8 +177,8 @@ def disclosing(texts: DataFrame, found: DataFrame, generalise: float = GENERALIS
     names = F.explode(F.when(term.rlike(rf"^{_FORMED}$"), F.array(term, _form(term))).otherwise(F.array(term)))
     terms = written(terms.select("th", "start", "end", "value", names.alias("term")))
 
-    beside = terms.select("th", "term").distinct()
-    wanted = written(beside.groupBy("term").agg(F.count("*").alias("df_p")).filter("df_p > 1"))
+    beside = written(terms.select("th", "term").distinct())
+    wanted = written(beside.groupBy("term").agg(F.count("*").alias("df_p"), *_set("t")).filter("df_p > 1"))
     words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), BETWEEN, -1))).alias("term"))
     forms = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_FORMED), 0), _form))).alias("term"))
     met = words.union(forms)
@@ -172,15 +186,19 @@ def disclosing(texts: DataFrame, found: DataFrame, generalise: float = GENERALIS
         met = met.join(names, "term", "left_semi")
     df_t = met.groupBy("term").agg(F.count("*").alias("df_t"))
     df_t = written(wanted.join(df_t, "term"))
+    # names that stand in the same texts are one class: a text meets classes of terms with classes of entities
+    of_term, of_entity = ["t1", "t2", "df_t", "df_p"], ["e1", "e2", "df_e"]
+    classed = written(beside.join(few(df_t) or df_t, "term"))
+    both = classed.select("th", *of_term).distinct().join(holds.select("th", *of_entity).distinct(), "th")
     # p is df_te / df_t at most, and df_te is neither over df_e nor over the private texts with the term
     most = F.least("df_e", "df_p") * F.pow(n / F.col("df_e"), 1 - generalise) * (1 + 1e-9)
-    both = beside.join(few(df_t) or df_t, "term").join(holds, "th").filter(F.col("df_t") <= most)
-    both = written(both.select("th", "entity", "term", "df_t", "df_e"))
-    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("df_te"), F.first("df_t").alias("df_t"), F.first("df_e").alias("df_e")).filter("df_te > 1")
+    both = written(both.filter(F.col("df_t") <= most))
+    pairs = both.groupBy(*of_term, *of_entity).agg(F.count("*").alias("df_te")).filter("df_te > 1")
     share = lambda p: F.log(p * n / F.col("df_e")) / F.log(n / F.col("df_e"))
     sure = share(_wilson(F.col("df_te"), F.col("df_t"), z))
-    scored = written(pairs.filter(sure >= generalise).select("entity", "term", share(F.col("df_te") / F.col("df_t")).alias("share")))
-    told = both.join(few(scored) or scored, ["entity", "term"]).groupBy("th", "term").agg(F.max("share").alias("share"))
+    scored = written(pairs.filter(sure >= generalise).select(*of_term, *of_entity, share(F.col("df_te") / F.col("df_t")).alias("share")))
+    told = both.join(few(scored) or scored, [*of_term, *of_entity]).groupBy("th", *of_term).agg(F.max("share").alias("share"))
+    told = classed.join(told, ["th", *of_term]).select("th", "term", "share")
     hit = terms.join(told, ["th", "term"]).groupBy("th", "start", "end", "value").agg(F.max("share").alias("share"))
     return hit.select("th", F.when(F.col("share") >= remove, TERM_KINDS[1]).otherwise(TERM_KINDS[0]).alias("kind"), "start", "end", "value")
 
@@ -205,7 +223,7 @@ def personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float
     Null and empty texts have no spans; repeated rows get one row each and count as
     one text; a null doc_id is kept; an entity that every text holds discloses nothing.
     """
-    docs = keyed(docs)
+    docs = _keyed(docs)
     spans = all_spans(docs, generalise, remove, z)
     rows = docs.select("doc_id", "th").join(spans, "th", "left").select("doc_id", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("span_list"))
     count = lambda *kinds: F.size(F.filter("span_list", lambda s: s["kind"].isin(*kinds))).cast("long")
@@ -226,11 +244,11 @@ def sanitised(docs: DataFrame, generalise: float = GENERALISE, remove: float = R
 
     Null and empty texts stay as they are; repeated rows and null ids stay, one row each.
     """
-    spans = all_spans(keyed(docs), generalise, remove, z)
+    spans = all_spans(_keyed(docs), generalise, remove, z)
     word = lambda v: F.when(v.rlike("[0-9]"), "[NUMBER]").when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
     token = lambda s: F.when(s["kind"] == TERM_KINDS[1], "").when(s["kind"] == TERM_KINDS[0], word(s["value"])).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     # the columns travel as one struct, so that no name of theirs can clash
-    rows = docs.select(F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns)).alias("row"), F.xxhash64(F.col("text")).alias("th"))
+    rows = docs.select(F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns)).alias("row"), _text_key(F.col("text")).alias("th"))
     text = F.col("row")["text"]
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(

@@ -684,3 +684,19 @@ def test_each_damaged_record_is_one_row(spark):
     assert sorted((r.kind, str(r.page_id)) for r in rows) == sorted(("changed", str(k)) for k in (-5000, -3, -1, 0, 3, 7, None))
     gone = warc.fixity(pages, pages.filter("page_id >= -2")).filter("kind <> 'root'").collect()
     assert sorted((r.kind, str(r.page_id)) for r in gone) == [("missing", "-3"), ("missing", "-5000"), ("missing", "None")]
+
+
+def test_many_terms_beside_many_entities(spark):
+    """Thousands of terms beside hundreds of addresses in the same texts are one class beside another."""
+    import time
+
+    shared = " ".join(f"user{k}@host{k}.example.org word{k}a word{k}b word{k}c word{k}d word{k}e" for k in range(800))
+    rows = [(1, shared), (2, shared + " end")] + [(k, f"plain text number {k}") for k in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pii.personal_data(docs.limit(1)).count()
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.personal_data(docs).collect()}
+    assert got[1]["n_email"] == 800 and got[3]["n_term"] == 0
+    assert time.time() - began < 60
+    holds = pii.entities(pii.distinct_texts(pii._keyed(docs)))
+    assert pii.disclosing(pii.distinct_texts(pii._keyed(docs)), holds, z=0.0).count() >= 8000

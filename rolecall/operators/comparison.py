@@ -162,9 +162,9 @@ def backfill(documents: DataFrame) -> DataFrame:
 
 
 def by_email(wanted: DataFrame, applications: DataFrame) -> DataFrame:
-    """``wanted`` (jd_id, email) with the applications (id, jd_id, email) of the same position and address, whatever its case."""
+    """``wanted`` (jd_id, email) with the applications (id, jd_id, email) of the same position and address, whatever its case; repeated wishes count once."""
     a = applications.select("id", F.col("jd_id").alias("j"), F.lower("email").alias("e"))
-    return wanted.join(a, (F.col("jd_id") == F.col("j")) & (F.lower("email") == F.col("e"))).drop("j", "e")
+    return wanted.distinct().join(a, (F.col("jd_id") == F.col("j")) & (F.lower("email") == F.col("e"))).drop("j", "e")
 
 
 def frequency(positives: DataFrame) -> DataFrame:

@@ -72,23 +72,6 @@ def swept(rows: DataFrame, score: str, gold: Column, thresholds: list[float]) ->
     return out.select("threshold", F.col("tp").cast("long").alias("tp"), F.col("predicted").cast("long").alias("predicted"), p.alias("precision"), r.alias("recall"), scores.f1(p, r).alias("f1"))
 
 
-def grid_search(cells: DataFrame, gold: DataFrame, key: list[str], grid: DataFrame) -> DataFrame:
-    """(t1, t2, macro_f1, accuracy, rank) of every pair of thresholds t2 < t1.
-
-    Scores are reduced to counts by (gold, score) first, so the grid multiplies
-    distinct scores and not cells.
-    """
-    counts = cells.join(gold, key).groupBy("gold", F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
-    combos = F.broadcast(grid.filter("t2 < t1"))
-    predicted = F.when(F.col("score") >= F.col("t1"), "strong").when(F.col("score") >= F.col("t2"), "possible").otherwise("no")
-    matrix = counts.join(combos, F.lit(True)).groupBy("t1", "t2", "gold", predicted.alias("predicted")).agg(F.sum("n").alias("n"))
-    every = grid.filter("t2 < t1").select("t1", "t2", F.explode(F.array(*(F.lit(c) for c in CLASSES))).alias("gold")).withColumn("predicted", F.col("gold"))
-    matrix = matrix.unionByName(every.withColumn("n", F.lit(0).cast("long")))
-    out = summary(class_metrics(matrix, ["t1", "t2"]), ["t1", "t2"])
-    w = Window.orderBy(F.round("macro_f1", 9).desc(), "t1", "t2")
-    return out.select("t1", "t2", "macro_f1", "accuracy", F.row_number().over(w).alias("rank"))
-
-
 def percentiles(rows: DataFrame, value: str, by: list[str], at: tuple = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """Linearly interpolated percentiles of a value in each group."""
     names = [f"p{round(a * 100)}" for a in at]

@@ -65,20 +65,21 @@ def pattern_keys(patterns: DataFrame) -> DataFrame:
 def phrase_hits(documents: DataFrame, patterns: DataFrame) -> DataFrame:
     """Every occurrence of every pattern, overlapping and nested ones too.
 
-    The n-grams of a text up to the longest pattern are joined with the patterns;
-    the n-grams come from array slices, so only hits leave the scan's stage when
-    Spark broadcasts the patterns.
+    Documents are read once, whatever the lengths of the patterns.  A word goes on only
+    if it begins a pattern, with the lengths of those that it begins; then the run of
+    words of each such length is looked up.  Spark broadcasts the first words and the
+    patterns while they are small; beyond that only runs that may be hits are shuffled.
     """
     keys = pattern_keys(patterns)
-    sizes = sorted(r.n for r in keys.select("n").distinct().collect())
-    t = F.coalesce("text", F.lit(""))
-    base = documents.select("doc_id", F.transform(F.regexp_extract_all(t, F.lit(WORD), 0), F.lower).alias("w"))
-    grams = None
-    for n in sizes:
-        part = base.filter(F.size("w") >= n).select("doc_id", F.posexplode(text.grams(F.col("w"), n)).alias("pos", "key"), F.lit(n).alias("n"))
-        grams = part if grams is None else grams.unionByName(part)
-    if grams is None:
-        grams = base.select("doc_id", F.lit(0).alias("pos"), F.lit("").alias("key"), F.lit(0).alias("n")).limit(0)
+    longest = keys.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    begins = keys.groupBy(F.substring_index("key", " ", 1).alias("first")).agg(F.collect_set("n").alias("sizes"))
+    words = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), 0), F.lower)
+    base = documents.select("doc_id", words.alias("w"))
+    runs = F.arrays_zip(*(F.slice("w", k + 1, F.size("w")).alias(f"g{k}") for k in range(longest)))
+    each = base.select("doc_id", F.posexplode(runs).alias("pos", "g")).join(begins, F.col("g.g0") == F.col("first"))
+    each = each.select("doc_id", "pos", "g", F.explode("sizes").alias("n"))
+    parts = F.slice(F.array(*(F.col(f"g.g{k}") for k in range(longest))), 1, F.col("n"))
+    grams = each.select("doc_id", "pos", "n", F.when(~F.exists(parts, lambda p: p.isNull()), F.concat_ws(" ", parts)).alias("key"))
     return grams.join(keys.drop("n"), "key").select("doc_id", "pos", "n", "concept_uri", "label", "label_kind", "surface")
 
 

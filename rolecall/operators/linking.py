@@ -153,12 +153,41 @@ def best_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.filter(ok).groupBy("cv_id", "skill_uri").agg(F.min_by(F.struct(*rest), key).alias("c")).select("cv_id", "skill_uri", "c.*")
 
 
-def nearest_window(spans: DataFrame, windows: DataFrame) -> DataFrame:
+def nearest_window(spans: DataFrame, windows: DataFrame, bin_size: int = 256) -> DataFrame:
     """(doc_id, span, window): every window that holds a span, or else the nearest by start.
 
-    ``spans``: doc_id, span, s, e; ``windows``: doc_id, window, w0, w1.
+    ``spans``: doc_id, span, s, e; ``windows``: doc_id, window, w0, w1.  Windows stand in
+    the bins of places that they cover, and a span meets those of its own bin; the
+    nearest are found in one sorted pass over the starts of both, so a document's
+    spans and windows are not multiplied out.
     """
-    both = spans.join(windows, "doc_id").withColumn("inside", (F.col("w0") <= F.col("s")) & (F.col("w1") >= F.col("e")))
-    held = both.filter("inside").select("doc_id", "span", "window")
-    near = both.groupBy("doc_id", "span").agg(F.bool_or("inside").alias("any"), F.min_by("window", F.struct(F.abs(F.col("w0") - F.col("s")), F.col("window"))).alias("window"))
-    return held.unionByName(near.filter("not any").select("doc_id", "span", "window"))
+    at = lambda c: F.floor(F.col(c) / bin_size)
+    binned = windows.filter("w0 <= w1").select("doc_id", "window", "w0", "w1", F.explode(F.sequence(at("w0"), at("w1"))).alias("bin"))
+    met = spans.withColumn("bin", at("s")).join(binned, ["doc_id", "bin"])
+    held = met.filter("w0 <= s and w1 >= e").select("doc_id", "span", "window")
+    rest = spans.join(held.select("doc_id", "span").distinct(), ["doc_id", "span"], "left_anti")
+    starts = windows.groupBy("doc_id", "w0").agg(F.min("window").alias("window"))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    kinds = dict(spans.dtypes) | dict(windows.dtypes)
+    both = starts.select("doc_id", F.col("w0").cast("long").alias("p"), F.lit(0).alias("o"), none("span", kinds["span"]), F.struct(F.col("w0").cast("long").alias("w0"), "window").alias("w"))
+    both = both.unionByName(rest.select("doc_id", F.col("s").cast("long").alias("p"), F.lit(1).alias("o"), "span", none("w", dict(both.dtypes)["w"])))
+    seen = lambda *order: F.last("w", True).over(Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    before, after = seen("p", "o"), seen(F.desc("p"), "o")
+    near = both.select("doc_id", "p", "span", F.array_compact(F.array(before, after)).alias("near")).filter("span is not null and size(near) > 0")
+    best = F.array_min(F.transform("near", lambda w: F.struct(F.abs(w["w0"] - F.col("p")).alias("d"), w["window"].alias("window"))))["window"]
+    return held.unionByName(near.select("doc_id", "span", best.alias("window")))
+
+
+def gold_similarity(gold: DataFrame, concepts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(cv_id, uri, encoder, window, similarity): the most similar window of a document to each of its gold
+    concepts, for every encoder in one pass.
+
+    ``gold``: cv_id, uri; ``concepts``: encoder, uri, vec; ``windows``: cv_id, encoder, window,
+    vec.  Only gold concepts meet windows, by blocks of a document and an encoder.  A
+    concept that an encoder lacks has no row for any.
+    """
+    several = concepts.agg(F.count_distinct("encoder")).first()[0]
+    whole = concepts.groupBy("uri").agg(F.count_distinct("encoder").alias("n")).filter(F.col("n") == several).select("uri")
+    asked = gold.select("cv_id", "uri").distinct().join(whole, "uri", "left_semi").join(concepts, "uri")
+    near = top_k(asked.select("cv_id", "encoder", F.col("uri").alias("query"), "vec"), windows.select("cv_id", "encoder", F.col("window").alias("id"), "vec"), 1, by=("cv_id", "encoder"))
+    return near.select("cv_id", F.col("query").alias("uri"), "encoder", F.col("id").alias("window"), "similarity")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import text
+from ..functions import scores, text
+from ..functions.lineage import cut
+from .linking import nearest_window
 
 
 def content_hash(t: Column) -> Column:
@@ -37,21 +39,33 @@ def best_overlap(documents: DataFrame, held_out: DataFrame, n: int = C.NGRAM) ->
     return j.groupBy("doc_id").agg(F.max_by("item_id", F.struct("jaccard", -F.col("item_id"))).alias("item_id"), F.max("jaccard").alias("jaccard"))
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, level): every ancestor of every node of edges (child, parent), and how far up it is.
+
+    Of several parents the first counts (by ``ord``, if there, then by name), so each
+    node has one way up.  Paths are doubled: those of the longest length are joined
+    with all, so d levels take log2(d) joins.  In a cycle the shortest way counts,
+    and no node is its own ancestor.
+    """
+    order = F.struct(*(c for c in ("ord", "parent") if c in edges.columns))
+    up = edges.filter("child is not null and parent is not null and child <> parent").groupBy("child").agg(F.min_by("parent", order).alias("parent"))
+    reach = cut(up.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("level")))
+    step = 1
+    while True:
+        far = reach.filter(F.col("level") == step).withColumnRenamed("ancestor", "at")
+        beyond = reach.select(F.col("node").alias("at"), "ancestor", F.col("level").alias("more"))
+        longer = cut(far.join(beyond, "at").filter("node <> ancestor").select("node", "ancestor", (F.col("level") + F.col("more")).alias("level")))
+        if longer.isEmpty():
+            return reach
+        reach = cut(reach.union(longer).groupBy("node", "ancestor").agg(F.min("level").alias("level")))
+        step *= 2
+
+
 def ancestors(edges: DataFrame, targets: DataFrame, hops: int = 10) -> DataFrame:
     """(node, ancestor, depth): the first node of ``targets`` (node) on the way up from each
-    child, along the least parent, within ``hops`` and without cycles; bounded joins."""
-    up = edges.groupBy("child").agg(F.min("parent").alias("parent"))
-    t = targets.select(F.col("node").alias("at"), F.lit(True).alias("hit")).distinct()
-    state = up.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.array("child").alias("seen"))
-    found = None
-    for depth in range(1, hops + 1):
-        checked = state.join(t, "at", "left")
-        part = checked.filter("hit").select("node", F.col("at").alias("ancestor"), F.lit(depth).alias("depth"))
-        found = part if found is None else found.unionByName(part)
-        rest = checked.filter("hit is null").select("node", "at", "seen")
-        step = up.select(F.col("child").alias("at"), F.col("parent").alias("next"))
-        state = rest.join(step, "at").filter(~F.array_contains("seen", F.col("next"))).select("node", F.col("next").alias("at"), F.array_append("seen", F.col("at")).alias("seen"))
-    return found
+    child, along the first parent, within ``hops`` and without cycles."""
+    met = closure(edges).filter(F.col("level") <= hops).join(targets.select(F.col("node").alias("ancestor")).distinct(), "ancestor", "left_semi")
+    return met.groupBy("node").agg(F.min_by("ancestor", "level").alias("ancestor"), F.min("level").alias("depth"))
 
 
 def dominant_category(skills: DataFrame, categories: DataFrame, fallback: str = "__no_skills__") -> DataFrame:
@@ -66,12 +80,48 @@ def seeded(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
+def placed(rows: DataFrame, category: str, h: str, key: str) -> DataFrame:
+    """``rows`` with ``place`` (from 0) in the order of a hash column within their category, and its ``size``.
+
+    Places are counted within each of 4,096 ranges of the hash, and the ranges are
+    summed up, so that a category of most rows is ranked by many tasks.
+    """
+    at = rows.withColumn("_range", F.substring(h, 1, 3))
+    counts = at.groupBy(F.col(category).alias("_c"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_c")
+    counts = counts.select("_c", "_r", (F.sum("_n").over(w.orderBy("_r")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("size"))
+    own = F.row_number().over(Window.partitionBy(category, "_range").orderBy(h, key)) - 1
+    met = at.withColumn("_own", own).join(counts, F.col(category).eqNullSafe(F.col("_c")) & (F.col("_range") == F.col("_r")))
+    return met.withColumn("place", (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_own", "_c", "_r", "_before")
+
+
 def stratified_split(rows: DataFrame, key: str, category: str, fraction: float, seed: int = 0) -> DataFrame:
     """``rows`` with ``split``: of each category the first max(1, floor(n f)) in hash order validate; a lone member trains."""
-    w = Window.partitionBy(category)
-    rank = F.row_number().over(w.orderBy(seeded(F.col(key), seed), key))
-    n = F.count("*").over(w)
-    return rows.withColumn("split", F.when((n >= 2) & (rank <= F.greatest(F.lit(1), F.floor(n * fraction))), "val").otherwise("train"))
+    ranked = placed(rows.withColumn("h", seeded(F.col(key), seed)), category, "h", key)
+    held = (F.col("size") >= 2) & (F.col("place") < F.greatest(F.lit(1), F.floor(F.col("size") * fraction)))
+    return ranked.select(*rows.columns, F.when(held, "val").otherwise("train").alias("split"))
+
+
+def sampled(rows: DataFrame, by: list[str], key: str, k: int, seed: int = 0) -> DataFrame:
+    """The k rows of each stratum that are first in hash order, numbered by ``draw``: the same at any
+    partitioning.  Spark keeps k rows of a stratum in each task before it shuffles them."""
+    w = Window.partitionBy(*by).orderBy(seeded(F.col(key), seed), key)
+    return rows.withColumn("draw", F.row_number().over(w)).filter(F.col("draw") <= k)
+
+
+def sampled_similarity(rows: DataFrame, vectors: DataFrame, by: list[str], key: str, k: int, seed: int = 0) -> DataFrame:
+    """(*by, key, similarity): the cosine of anchor and concept (columns ``anchor``, ``uri``; ``vectors``:
+    name, vec, unit length) in a sample of each stratum; only what is drawn meets its vectors."""
+    v = lambda a, b: vectors.select(F.col("name").alias(a), F.col("vec").alias(b))
+    both = sampled(rows, by, key, k, seed).join(v("anchor", "va"), "anchor").join(v("uri", "vu"), "uri")
+    return both.select(*by, key, scores.dot(F.col("va"), F.col("vu")).alias("similarity"))
+
+
+def positive_pairs(spans: DataFrame, windows: DataFrame, floor: float) -> DataFrame:
+    """(doc_id, span, uri, window): confident spans (doc_id, span, uri, s, e, confidence) with each window
+    (doc_id, window, w0, w1) that covers them, or else the nearest."""
+    sure = spans.filter(F.col("confidence") >= floor)
+    return sure.select("doc_id", "span", "uri").join(nearest_window(sure.select("doc_id", "span", "s", "e"), windows), ["doc_id", "span"])
 
 
 def siblings(concepts: DataFrame) -> DataFrame:
@@ -91,10 +141,9 @@ def hash_ring(concepts: DataFrame, seed: int = 0) -> DataFrame:
     parts = h.groupBy("part").agg(F.count("*").alias("n"))
     every = Window.orderBy("part")
     parts = parts.select("part", (F.sum("n").over(every) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    ring = h.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy("h", "uri")) - 1)
+    ring = placed(h, "category", "h", "uri")
     ring = ring.withColumn("spot", F.row_number().over(Window.partitionBy("part").orderBy("h", "uri")) - 1).join(F.broadcast(parts), "part")
-    size = ring.groupBy("category").agg(F.count("*").alias("size"))
-    return ring.join(size, "category", "left").select("uri", "category", "place", F.coalesce("size", F.lit(1)).alias("size"), (F.col("spot") + F.col("before")).alias("spot"), "total")
+    return ring.select("uri", "category", "place", F.when(F.col("category").isNull(), 1).otherwise(F.col("size")).alias("size"), (F.col("spot") + F.col("before")).alias("spot"), "total")
 
 
 def _steps(rows: DataFrame, own: str, size: str, count: int) -> DataFrame:

@@ -433,7 +433,7 @@ def backfill_selection(spark, d):
     return comparison.backfill(rows)
 
 
-@query("SELECT c_nationkey AS jd_id, upper(c_mktsegment) || '@X.org' AS email, s_suppkey AS id FROM customer JOIN supplier ON s_nationkey = c_nationkey AND lower(c_mktsegment) || '@x.org' = CASE s_suppkey % 2 WHEN 0 THEN 'building@x.org' ELSE 'machinery@x.org' END")
+@query("SELECT DISTINCT c_nationkey AS jd_id, upper(c_mktsegment) || '@X.org' AS email, s_suppkey AS id FROM customer JOIN supplier ON s_nationkey = c_nationkey AND lower(c_mktsegment) || '@x.org' = CASE s_suppkey % 2 WHEN 0 THEN 'building@x.org' ELSE 'machinery@x.org' END")
 def email_lookup(spark, d):
     """JON26: applications of a position by address, in any case."""
     wanted = T(spark, d, "customer").select(F.col("c_nationkey").alias("jd_id"), F.concat(F.upper("c_mktsegment"), F.lit("@X.org")).alias("email"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,29 @@ def appended(base: DataFrame, extra: DataFrame) -> DataFrame:
     return base.unionByName(extra)
 
 
+def known_uris(*tables: DataFrame) -> DataFrame:
+    """(concept_uri): every concept of any of the tables, once."""
+    return reduce(DataFrame.union, (t.select("concept_uri") for t in tables)).filter("concept_uri is not null").distinct()
+
+
+def hierarchy(spark: SparkSession, path: str) -> DataFrame:
+    """(level_0 .. level_3): the rows of a hierarchy CSV; blank levels are null, a missing column is an error."""
+    raw = _csv(spark, path, [f"Level {k} URI" for k in range(4)])
+    return raw.select(*(F.nullif(F.trim(f"Level {k} URI"), F.lit("")).alias(f"level_{k}") for k in range(4)))
+
+
+def hierarchy_edges(levels: DataFrame) -> DataFrame:
+    """(child, parent) between neighbouring levels of ``hierarchy``."""
+    pairs = F.array(*(F.struct(F.col(f"level_{k + 1}").alias("child"), F.col(f"level_{k}").alias("parent")) for k in range(3)))
+    return levels.select(F.inline(pairs)).filter("child is not null and parent is not null").distinct()
+
+
+def broader_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(child, parent, ord): the rows of a relations CSV in file order; ``closure`` takes the first parent of each."""
+    raw = _csv(spark, path, ["conceptUri", "broaderUri"]).withColumn("ord", F.monotonically_increasing_id())
+    return raw.select(F.trim("conceptUri").alias("child"), F.trim("broaderUri").alias("parent"), "ord").filter("child <> '' and parent <> ''")
+
+
 def patterns(rows: DataFrame) -> DataFrame:
     """Concepts to (concept_uri, label, label_kind, surface), one row for each label."""
     first = rows.select("concept_uri", F.col("preferred_label").alias("label"), F.lit("preferred").alias("label_kind"), F.col("preferred_label").alias("surface"))

@@ -1,22 +1,27 @@
-"""Cutting the lineage of loops."""
+"""The folder that driver and executors share, and cutting the lineage of loops."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.  Only a local session may go without one, and
+    gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """``rows`` checkpointed in the folder that ``spark.checkpoint.dir`` names and all executors share.
-    Only a local session may go without one, and gets a temporary folder."""
-    spark = rows.sparkSession
-    sc = spark.sparkContext
+    """``rows`` checkpointed in the shared folder."""
+    sc = rows.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local["):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="spark-shared-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint(eager=True)

@@ -794,4 +794,4 @@ def lifecycle_transitions(spark, d):
     return t.groupBy(F.coalesce("before", F.lit("NONE")).alias("before"), "state").agg(F.count("*").alias("n"), F.bool_and("allowed").alias("allowed"))
 
 
-from . import reports, search, store, texts  # noqa: E402,F401  further queries, registered on import
+from . import reports, search, store, texts, views  # noqa: E402,F401  further queries, registered on import

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from .lexical import beside_text
 
 
 def requirement_list(candidates: DataFrame) -> DataFrame:
@@ -76,10 +77,11 @@ def mismatches(rows: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
 
 def positives(hits: DataFrame, documents: DataFrame, floor: float = 0.65) -> DataFrame:
     """Hits (doc_id, start, end, confidence, ...) fit for training: sure enough, and a span of the text that is not blank."""
-    both = hits.filter(F.col("confidence") >= floor).join(documents.select("doc_id", "text"), "doc_id")
-    span = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    ok = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("text")) & (F.length(F.trim(span)) > 0)
-    return both.filter(ok).select(hits["*"], span.alias("span"))
+    both = beside_text(hits.filter(F.col("confidence") >= floor), documents)
+    span = lambda h: F.substring(F.col("text"), h["start"] + 1, h["end"] - h["start"])
+    ok = lambda h: (h["start"] >= 0) & (h["start"] < h["end"]) & (h["end"] <= F.length("text")) & (F.length(F.trim(span(h))) > 0)
+    kept = F.transform(F.filter("hits", ok), lambda h: F.struct(*(h[c].alias(c) for c in hits.columns), span(h).alias("span")))
+    return both.select(F.inline(kept))
 
 
 def distractors(rows: DataFrame, catalogue: DataFrame) -> DataFrame:

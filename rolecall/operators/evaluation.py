@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..functions.lineage import numbered
 
 CLASSES = ("strong", "possible", "no")
 
@@ -73,10 +74,20 @@ def swept(rows: DataFrame, score: str, gold: Column, thresholds: list[float]) ->
 
 
 def percentiles(rows: DataFrame, value: str, by: list[str], at: tuple = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Linearly interpolated percentiles of a value in each group."""
+    """Linearly interpolated percentiles of a value in each group; nulls are left out.
+
+    Values are numbered in order by range partitions, and only the two beside each
+    percentile travel on, so no task holds a group.
+    """
     names = [f"p{round(a * 100)}" for a in at]
-    g = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, list(at)).alias("p"))
-    return g.select(*by, "n", "mean", *(F.col("p")[k].alias(n) for k, n in enumerate(names)))
+    g = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    each = numbered(rows.select(*by, F.col(value).cast("double").alias("_v")).filter("_v is not null"), by, ["_v"])
+    spot = lambda a: (F.col("size") - 1) * F.lit(a)
+    near = each.filter(F.exists(F.array(*(spot(a) for a in at)), lambda s: (F.col("place") == F.floor(s)) | (F.col("place") == F.ceil(s))))
+    side = lambda a, f: F.max(F.when(F.col("place") == f(spot(a)), F.col("_v")))
+    part = lambda a: F.max(spot(a) - F.floor(spot(a)))
+    found = near.groupBy(F.struct(F.lit(0).alias("_"), *by).alias("_g")).agg(*(((1 - part(a)) * side(a, F.floor) + part(a) * side(a, F.ceil)).alias(n) for a, n in zip(at, names)))
+    return g.join(found, F.struct(F.lit(0).alias("_"), *by).eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
 def histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:

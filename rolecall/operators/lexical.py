@@ -121,18 +121,16 @@ def suppressed(hits: DataFrame, rules: DataFrame, documents: DataFrame) -> DataF
     forbidden_sections, surrounding_any, surrounding_none (arrays or null), window_chars.
     """
     r = rules.select(F.col("surface").alias("r_surface"), F.col("target_uri").alias("concept_uri"), "case_sensitive", "allowed_sections", "forbidden_sections", "surrounding_any", "surrounding_none", "window_chars")
-    both = hits.join(r, "concept_uri").join(documents.select("doc_id", "text"), "doc_id")
-    around = F.lower(F.substring("text", F.greatest(F.col("start") - F.col("window_chars"), F.lit(0)).cast("int") + 1, (F.col("end") - F.col("start") + 2 * F.col("window_chars")).cast("int")))
-    has = lambda c: F.exists(c, lambda t: F.contains(around, F.lower(t)))
-    same = F.when(F.col("case_sensitive"), F.col("surface") == F.col("r_surface")).otherwise(F.lower("surface") == F.lower("r_surface"))
-    ok = (
-        same
-        & (F.col("allowed_sections").isNull() | F.array_contains("allowed_sections", F.col("section")))
-        & (F.col("forbidden_sections").isNull() | ~F.array_contains("forbidden_sections", F.col("section")))
-        & (F.col("surrounding_any").isNull() | has("surrounding_any"))
-        & (F.col("surrounding_none").isNull() | ~has("surrounding_none"))
-    )
-    return both.filter(ok).select(hits["*"]).distinct()
+
+    def holds(h: Column) -> Column:
+        around = F.lower(F.substring(F.col("text"), F.greatest(h["start"] - h["window_chars"], F.lit(0)).cast("int") + 1, (h["end"] - h["start"] + 2 * h["window_chars"]).cast("int")))
+        has = lambda c: F.exists(c, lambda t: F.contains(around, F.lower(t)))
+        same = F.when(h["case_sensitive"], h["surface"] == h["r_surface"]).otherwise(F.lower(h["surface"]) == F.lower(h["r_surface"]))
+        place = (h["allowed_sections"].isNull() | F.array_contains(h["allowed_sections"], h["section"])) & (h["forbidden_sections"].isNull() | ~F.array_contains(h["forbidden_sections"], h["section"]))
+        return same & place & (h["surrounding_any"].isNull() | has(h["surrounding_any"])) & (h["surrounding_none"].isNull() | ~has(h["surrounding_none"]))
+
+    both = beside_text(hits.join(r, "concept_uri"), documents)
+    return both.select(F.inline(F.filter("hits", holds))).select(*hits.columns).distinct()
 
 
 def skill_matches(hits: DataFrame) -> DataFrame:

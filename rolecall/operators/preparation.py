@@ -197,6 +197,20 @@ def build_stats(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(each).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
 
 
+def top_values(stats: DataFrame, k: int = 20) -> DataFrame:
+    """(field, value, n, share, rank): the k most frequent values of each field of ``build_stats``, with their share of all."""
+    total = stats.groupBy("field").agg(F.sum("n").alias("all"), F.count("*").alias("values"))
+    w = Window.partitionBy("field").orderBy(F.desc("n"), F.asc_nulls_last("value"))  # Spark keeps k rows of a field in each task
+    first = stats.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return first.join(F.broadcast(total), "field").select("field", "value", "n", (F.col("n") / F.col("all")).alias("share"), "rank", "values")
+
+
+def corpus_profile(documents: DataFrame, by: list[str], figures: dict[str, Column]) -> DataFrame:
+    """One row for each group and one for all (by is null): number of rows, and of each figure the mean, least, greatest and nulls."""
+    each = [a for n, c in figures.items() for a in (F.avg(c).alias(f"mean_{n}"), F.min(c).alias(f"min_{n}"), F.max(c).alias(f"max_{n}"), F.count(F.when(c.isNull(), 1)).alias(f"no_{n}"))]
+    return documents.groupingSets([[F.col(c) for c in by], []], *by).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *each)
+
+
 def unseen(now: DataFrame, before: DataFrame, key: list[str]) -> DataFrame:
     """Rows that an earlier run has not done: an unchanged (id, hash) is skipped."""
     return now.join(before.select(*key).distinct(), key, "left_anti")

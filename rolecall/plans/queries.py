@@ -228,10 +228,27 @@ def pair_identifiers(spark, d):
     return T(spark, d, "documents").select("doc_id", text.pair_id(F.col("source"), F.col("doc_id"), F.col("lang")).alias("pair_id"), F.left("text", F.lit(100)).alias("evidence"))
 
 
-@query("SELECT field, value, count(*) AS n FROM (SELECT 'lang' AS field, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY 1, 2")
+@query(
+    """
+WITH s AS (SELECT field, value, count(*) AS n FROM (SELECT 'lang' AS field, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'size', CAST(n_chars // 100 AS VARCHAR) FROM documents) GROUP BY 1, 2)
+SELECT field, value, n, round(n / sum(n) OVER (PARTITION BY field), 6) AS share, CAST(row_number() OVER (PARTITION BY field ORDER BY n DESC, value NULLS LAST) AS INT) AS rank, count(*) OVER (PARTITION BY field) AS "values" FROM s QUALIFY rank <= 20"""
+)
 def build_statistics(spark, d):
-    """AGG28, AGG29, AGG10: distributions of several fields in one pass."""
-    return preparation.build_stats(T(spark, d, "documents"), ["lang", "source"])
+    """AGG28, AGG10, ORD8: the twenty most frequent values of several fields with their share, in one pass."""
+    docs = T(spark, d, "documents").withColumn("size", F.floor(F.col("n_chars") / 100))
+    s = preparation.top_values(preparation.build_stats(docs, ["lang", "source", "size"]))
+    return s.select("field", "value", "n", r6(F.col("share"), "share"), "rank", "values")
+
+
+@query(
+    """
+SELECT lang, CASE WHEN grouping(lang) = 1 THEN 1 ELSE 0 END AS level, count(*) AS n, round(avg(length(text)), 6) AS mean_chars, min(length(text)) AS min_chars, max(length(text)) AS max_chars, count(*) FILTER (text IS NULL) AS no_chars,
+  round(avg(len(string_split(text, ' '))), 6) AS mean_words, count(*) FILTER (text IS NULL) AS no_words FROM documents GROUP BY GROUPING SETS ((lang), ())"""
+)
+def corpus_profile(spark, d):
+    """AGG29: averages, extremes and gaps of the texts of each language and of all."""
+    p = preparation.corpus_profile(T(spark, d, "documents"), ["lang"], {"chars": F.length("text"), "words": F.size(F.split("text", " "))})
+    return p.select("lang", F.col("level").cast("int").alias("level"), "n", r6(F.col("mean_chars"), "mean_chars"), "min_chars", "max_chars", "no_chars", r6(F.col("mean_words"), "mean_words"), "no_words")
 
 
 @query(
@@ -247,7 +264,7 @@ def stratified_split(spark, d):
 
 @query(
     """
-WITH w AS (SELECT user_id AS page, CASE WHEN value < 10 THEN value * 3.7 ELSE 55 + CAST(value AS BIGINT) % 44 END AS x FROM events WHERE user_id % 3 > 0 OR value < 10),
+WITH w AS (SELECT user_id AS page, CASE WHEN value < 10 OR user_id % 3 = 0 THEN (value % 10) * 3.7 ELSE 55 + CAST(value AS BIGINT) % 44 END AS x FROM events),
 b AS (SELECT page, least(floor(x / 5.0), 19) AS bin, count(*) AS n FROM w GROUP BY 1, 2),
 r AS (SELECT *, sum(n) OVER (PARTITION BY page) AS words, lag(bin) OVER (PARTITION BY page ORDER BY bin) AS before FROM b),
 g AS (SELECT page, count(*) AS gaps, min(before) AS before, max(bin) AS bin FROM r WHERE words >= 10 AND bin - before - 1 >= 2 AND before + 1 < 16 AND bin - 1 >= 4 GROUP BY 1)
@@ -255,8 +272,8 @@ SELECT page, round(greatest((before + 1) * 5.0, 20.0), 6) AS left_to, round(leas
 )
 def column_detection(spark, d):
     """PRJ3, PRJ4, WIN10: pages with two columns and where each ends."""
-    x = F.when(F.col("value") < 10, F.col("value") * 3.7).otherwise(55 + F.round("value").cast("long") % 44)
-    w = T(spark, d, "events").filter("user_id % 3 > 0 or value < 10").select(F.col("user_id").alias("page"), x.alias("x"), F.lit(100.0).alias("width"))
+    x = F.when((F.col("value") < 10) | (F.col("user_id") % 3 == 0), F.col("value") % 10 * 3.7).otherwise(55 + F.round("value").cast("long") % 44)
+    w = T(spark, d, "events").select(F.col("user_id").alias("page"), x.alias("x"), F.lit(100.0).alias("width"))
     c = layout.column_ranges(layout.column_gaps(w))
     return c.select("page", r6(F.col("left.to"), "left_to"), r6(F.col("right.from"), "right_from"))
 

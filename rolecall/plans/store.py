@@ -58,13 +58,13 @@ def entity_filter(spark, d):
 
 @query(
     "WITH " + _LI_HITS + """
-, rules AS (SELECT p_partkey, p_brand FROM part WHERE p_size <= 20),
+, rules AS (SELECT p_partkey, p_brand FROM part),
 x AS (SELECT h.*, lower(substr(o_orderpriority, greatest(s - 8, 0) + 1, 22)) AS around FROM hits h JOIN orders ON o_orderkey = doc_id JOIN rules ON p_partkey = concept_uri)
 SELECT doc_id, concept_uri, s AS start, count(DISTINCT l_suppkey) AS suppliers FROM x WHERE lower(surface) = 'f' AND section <> 'skills' AND (contains(around, 'i') OR contains(around, 'urg')) AND NOT contains(around, 'high') GROUP BY 1, 2, 3"""
 )
 def suppression_filter(spark, d):
     """FLT5: hits that a rule suppresses by surface, section and surrounding words."""
-    rules = T(spark, d, "part").filter("p_size <= 20").select(
+    rules = T(spark, d, "part").select(
         F.lit("F").alias("surface"), F.col("p_partkey").alias("target_uri"), F.lit(False).alias("case_sensitive"), F.lit(None).cast("array<string>").alias("allowed_sections"), F.array(F.lit("skills")).alias("forbidden_sections"),
         F.array(F.lit("I"), F.lit("URG")).alias("surrounding_any"), F.array(F.lit("HIGH")).alias("surrounding_none"), F.lit(8).alias("window_chars"),
     )
@@ -136,14 +136,16 @@ def triplet_examples(spark, d):
 
 @query(
     """
-SELECT doc_id, CAST(s AS INT) AS s, CAST(e AS INT) AS e, sp AS span FROM (SELECT doc_id, n * 40 AS s, n * 40 + 12 AS e, substr(text, n * 40 + 1, 12) AS sp, text, (doc_id * 7 + n * 13) % 100 / 100.0 AS c
-FROM documents, (SELECT unnest([0, 1, 2, 3]) AS n)) WHERE c >= 0.65 AND e <= length(text) AND length(trim(sp)) > 0"""
+SELECT doc_id, CAST(s AS INT) AS s, CAST(s + 12 AS INT) AS e, substr(text, s + 1, 12) AS span FROM (SELECT doc_id, n, text, length(text) * n // 8 AS s, (doc_id * 7 + n * 13) % 100 / 100.0 AS c
+FROM documents, (SELECT unnest(range(8)) AS n)) WHERE c >= 0.65 AND s + 12 <= length(text) AND length(trim(substr(text, s + 1, 12))) > 0"""
 )
 def confident_positives(spark, d):
-    """FLT11, TRN3: hits that are sure enough, with a span that fits the text."""
+    """FLT11: hits that are sure enough, with a span that fits the text."""
     docs = T(spark, d, "documents")
     n = F.col("n")
-    hits = docs.select("doc_id", F.explode(F.array(*map(F.lit, range(4)))).alias("n")).select("doc_id", (n * 40).alias("start"), (n * 40 + 12).alias("end"), ((F.col("doc_id") * 7 + n * 13) % 100 / 100).alias("confidence"))
+    start = F.floor(F.col("size") * n / 8).cast("int")
+    hits = docs.select("doc_id", F.length("text").alias("size"), F.explode(F.array(*map(F.lit, range(8)))).alias("n")).filter("size is not null")
+    hits = hits.select("doc_id", start.alias("start"), (start + 12).alias("end"), ((F.col("doc_id") * 7 + n * 13) % 100 / 100).alias("confidence"))
     return comparison.positives(hits, docs).select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), "span")
 
 
@@ -267,8 +269,8 @@ def judged_matrix(spark, d):
 
 _SETS = """
 g AS (SELECT DISTINCT l_suppkey AS cv, l_partkey % 97 AS uri FROM lineitem WHERE l_linestatus = 'O'),
-p AS (SELECT DISTINCT l_suppkey AS cv, CASE l_returnflag WHEN 'R' THEN 'lexical' ELSE 'semantic' END AS m, l_partkey % 97 AS uri FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_quantity > 30
-  UNION SELECT DISTINCT l_suppkey, 'union', l_partkey % 97 FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_quantity > 30),
+p AS (SELECT DISTINCT l_suppkey AS cv, CASE l_returnflag WHEN 'R' THEN 'lexical' ELSE 'semantic' END AS m, l_partkey % 97 AS uri FROM lineitem WHERE l_returnflag IN ('R', 'A')
+  UNION SELECT DISTINCT l_suppkey, 'union', l_partkey % 97 FROM lineitem WHERE l_returnflag IN ('R', 'A')),
 ms AS (SELECT DISTINCT m FROM p),
 o AS (SELECT p.cv, p.m, CASE WHEN g.cv IS NULL THEN 'fp' ELSE 'tp' END AS k FROM p LEFT JOIN g ON g.cv = p.cv AND g.uri = p.uri
   UNION ALL SELECT g.cv, ms.m, 'fn' FROM g CROSS JOIN ms WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.cv = g.cv AND p.m = ms.m AND p.uri = g.uri))
@@ -277,7 +279,7 @@ o AS (SELECT p.cv, p.m, CASE WHEN g.cv IS NULL THEN 'fp' ELSE 'tp' END AS k FROM
 
 def _outcomes(spark, d):
     li = T(spark, d, "lineitem").select(F.col("l_suppkey").alias("cv_id"), (F.col("l_partkey") % 97).alias("uri"), "l_returnflag", "l_linestatus", "l_quantity")
-    made = li.filter("l_returnflag in ('R', 'A') and l_quantity > 30")
+    made = li.filter("l_returnflag in ('R', 'A')")
     single = made.select("cv_id", F.when(F.col("l_returnflag") == "R", "lexical").otherwise("semantic").alias("predictor"), "uri")
     return comparison.outcomes(single.unionByName(single.withColumn("predictor", F.lit("union"))), li.filter("l_linestatus = 'O'"))
 

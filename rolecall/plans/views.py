@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..functions.lineage import shared_folder
 from ..operators import projections, scoring
-from ..sources import taxonomy
+from ..sources import bundle, taxonomy
 from .queries import T, query, r6
 
 # ---- values ------------------------------------------------------------------
@@ -296,3 +296,20 @@ def extraction_cascade(spark, d):
     rows = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("method_ord"), F.col("l_linenumber").cast("string").alias("method"), F.lit("t").alias("text"), (F.col("l_quantity") / 50).alias("score"))
     out = taxonomy.cascade(rows)
     return out.select("doc_id", F.col("method").cast("int").alias("method_ord"), r6(F.col("score"), "score"))
+
+
+@query(
+    """
+WITH r AS (SELECT p_partkey, '{"p_name":"' || p_name || '","p_partkey":' || p_partkey || ',"p_type":"' || p_type || '"}' AS line FROM part), n AS (SELECT line, (row_number() OVER (ORDER BY p_partkey, line) - 1) AS place FROM r),
+p AS (SELECT place // 70 AS part, count(*) AS rows, sha256(string_agg(line, chr(10) ORDER BY place) || chr(10)) AS h FROM n GROUP BY 1)
+SELECT count(*) AS parts, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(part || ':' || rows || ':' || h, ';' ORDER BY part)) AS sha256, true AS same FROM p"""
+)
+def bundle_digest(spark, d):
+    """SNK8: the digest of a bundle, the same from three partitions and from eleven, and of what was written."""
+    rows = T(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    path = _folder(spark)
+    written = bundle.write_bundle(rows.repartition(11), ["p_partkey"], path, 70)
+    parts = bundle.bundled(rows.repartition(3), ["p_partkey"], 70)
+    on_disk = bundle.verify_bundle(spark, path).withColumnRenamed("sha256", "disk")
+    same = parts.join(on_disk, "part").agg(F.bool_and(F.col("sha256") == F.col("disk")).alias("ok")).first()["ok"]
+    return bundle.manifest(parts).withColumn("same", (F.col("sha256") == written) & F.lit(same))

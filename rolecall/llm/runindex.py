@@ -42,8 +42,8 @@ GROUP = 1024
 #: Ways of dividing the offsets of an anchor.
 _WAYS = 8
 #: Bytes of context that are indexed together, and bytes of text that are hashed together.
-_INDEX = 1 << 20
-_SLICE = 1 << 19
+_INDEX = 1 << 18
+_SLICE = 1 << 18
 _TABLE = W.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _PACK = 7
 
@@ -79,7 +79,7 @@ class RunIndex:
         self.common = self._shared(self.heads, self.tails)
 
     def _sorted(self, n: int) -> np.ndarray:
-        """The suffix array, by doubling; terminators are least and ordered by context."""
+        """The suffix array, by prefixes of threefold length; terminators are least and ordered by context."""
         symbol = np.where(self.rest > 0, self.text[:n].astype(np.int64) + 1, 0)
         key = np.zeros(n, np.int64)
         for k in range(_PACK):
@@ -89,11 +89,15 @@ class RunIndex:
         rank = _ranks(key)[1]
         order, rank, several = _ranks(rank * (len(self.first) + 1) + np.where(self.rest < _PACK, self.context + 1, 0))
         h = _PACK
+        ways = 3 if n < 1 << 21 else 2  # as many ranks as a key of 63 bits holds
         while several < n:
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - h] = rank[h:] + 1
-            order, rank, several = _ranks(rank * (n + 1) + ahead)
-            h *= 2
+            key = rank.copy()
+            for k in range(1, ways):
+                key *= n + 1
+                if k * h < n:
+                    key[: n - k * h] += rank[k * h :] + 1
+            order, rank, several = _ranks(key)
+            h *= ways
         return order
 
     def _shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -157,79 +161,81 @@ def _salt(pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return W.mix((pos - lo).astype(np.uint64) << np.uint64(32) | (pos - hi + (1 << 20)).astype(np.uint64))
 
 
+def _chosen(data: np.ndarray, at: np.ndarray, length: int, gram: int):
+    """Of texts one after another: (text, anchor, first and last window start, hash of the anchor, hash of the context)."""
+    reach = length - gram
+    if len(data) < length:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none, none
+    hashes = _Hashes(data)
+    total, ipw = hashes.grams.total, hashes.grams.ipw
+    every = W.mix((total[gram:] - total[:-gram]) * ipw[: len(data) - gram + 1])
+    mask = np.uint64((1 << 24) - 1)
+    least = W.sliding_min((every & ~mask) | (mask - np.arange(len(every), dtype=np.uint64)), reach + 1)
+    anchor = (mask - (least & mask)).astype(np.int64)  # of each window
+    whole = np.zeros(len(anchor) + 1, np.int64)
+    some = np.flatnonzero(np.diff(at) >= length)
+    whole[at[some]] = 1
+    np.add.at(whole, at[some + 1] - length + 1, -1)
+    inside = np.cumsum(whole[:-1]) > 0  # windows that lie in one text
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1]))
+    new[at[some]] = True
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(anchor)) - 1
+    begin, end = begin[inside[begin]], end[inside[begin]]
+    pos = anchor[begin]
+    text = np.searchsorted(at, begin, "right") - 1
+    return text, pos, begin, end, W.signed(every[pos]), hashes.of(begin, end + length, _salt(pos, begin, end))
+
+
 def anchors(data: np.ndarray, length: int, gram: int):
-    """Of a text: (anchor, first and last window start, hash of the anchor, hash of the context),
+    """Of one text: (anchor, first and last window start, hash of the anchor, hash of the context),
     slice by slice.  A slice owns the anchors in it, and sees all windows around them."""
     reach = length - gram
     for a in range(0, len(data) - gram + 1 if len(data) >= length else 0, _SLICE):
         lo, hi = max(a - reach, 0), min(a + _SLICE + length, len(data))
-        part = data[lo:hi]
-        n = len(part)
-        hashes = _Hashes(part)
-        total, ipw = hashes.grams.total, hashes.grams.ipw
-        every = W.mix((total[gram:] - total[:-gram]) * ipw[: n - gram + 1])
-        mask = np.uint64((1 << 24) - 1)
-        least = W.sliding_min((every & ~mask) | (mask - np.arange(len(every), dtype=np.uint64)), reach + 1)
-        chosen = (mask - (least & mask)).astype(np.int64)  # for each window, its anchor
-        begin = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
-        end = np.append(begin[1:], len(chosen)) - 1
-        pos = chosen[begin]
+        _, pos, begin, end, key, u = _chosen(data[lo:hi], np.array([0, hi - lo]), length, gram)
         mine = (pos + lo >= a) & (pos + lo < a + _SLICE)
-        pos, begin, end = pos[mine], begin[mine], end[mine]
-        yield pos + lo, begin + lo, end + lo, W.signed(every[pos]), hashes.of(begin, end + length, _salt(pos, begin, end))
+        yield pos[mine] + lo, begin[mine] + lo, end[mine] + lo, key[mine], u[mine]
 
 
 _ROW = "doc_id long, th long, pos long, lo long, hi long, key long, u long, n long"
 _NAMES = ["doc_id", "th", "pos", "lo", "hi", "key", "u", "n"]
 
 
-def _rows(batch: pa.RecordBatch, who: list[int], columns: list[list[np.ndarray]]) -> pa.RecordBatch:
-    at = pa.array(np.repeat(np.array(who, np.int64), [len(c[0]) for c in columns]))
-    flat = [pa.array(np.concatenate(c)) for c in zip(*columns)]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), *flat], _NAMES)
-
-
-def _gathered(batch: pa.RecordBatch, parts):
-    """Rows of (text number, columns) in batches of bounded size."""
-    who, columns, size = [], [], 0
-    for k, c in parts:
-        who.append(k)
-        columns.append(c)
-        size += len(c[0])
-        if size > 100_000:
-            yield _rows(batch, who, columns)
-            who, columns, size = [], [], 0
-    if who:
-        yield _rows(batch, who, columns)
+def _rows(batch: pa.RecordBatch, who: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(who)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), *(pa.array(c) for c in columns)], _NAMES)
 
 
 def _contexts(length: int, gram: int):
-    """All contexts of texts."""
-
-    def parts(batch):
-        for k, data in _texts(batch):
-            for pos, lo, hi, key, u in anchors(data, length, gram):
-                yield k, [pos, lo, hi, key, u, np.ones(len(pos), np.int64)]
+    """All contexts of texts, in runs of short texts or slices of long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _gathered(batch, parts(batch))
-            W.trim()
+            data, at = W.text_buffers(batch.column("text"))
+            for i, j in W.groups(at, _SLICE):
+                part = data[at[i] : at[j]]
+                if len(part) > _SLICE:  # one long text
+                    for pos, lo, hi, key, u in anchors(part, length, gram):
+                        yield _rows(batch, np.full(len(pos), i), pos, lo, hi, key, u, np.ones(len(pos), np.int64))
+                else:
+                    text, pos, lo, hi, key, u = _chosen(part, at[i : j + 1] - at[i], length, gram)
+                    base = at[i : j + 1][text] - at[i]
+                    yield _rows(batch, text + i, pos - base, lo - base, hi - base, key, u, np.ones(len(pos), np.int64))
 
     return run
 
 
 def _asked(batch: pa.RecordBatch):
-    """(text number, bytes, pos, lo, hi, key, n) for the contexts that ``ask`` names, in slices of the text."""
+    """(bytes of all texts, text, start of the text, pos, lo, hi, key, n) for the contexts that ``ask`` names, in order of their places."""
+    data, at = W.text_buffers(batch.column("text"))
     lists = batch.column("ask")
-    for k, data in _texts(batch):
-        if lists[k].is_valid:
-            pos, lo, hi, key, n = (lists[k].values.field(c).to_numpy() for c in ("pos", "lo", "hi", "key", "n"))
-            order = np.argsort(lo)
-            cuts = np.searchsorted(lo[order], np.arange(_SLICE, len(data) + _SLICE, _SLICE))
-            for some in np.split(order, cuts):
-                if len(some):
-                    yield k, data, pos[some], lo[some], hi[some], key[some], n[some]
+    text = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+    flat = lists.flatten()
+    pos, lo, hi, key, n = (flat.field(c).to_numpy() for c in ("pos", "lo", "hi", "key", "n"))
+    order = np.argsort(at[text] + lo)
+    return data, text[order], at[text[order]], pos[order], lo[order], hi[order], key[order], n[order]
 
 
 def _divided(length: int, gram: int, level: int):
@@ -238,24 +244,27 @@ def _divided(length: int, gram: int, level: int):
     for _ in range(level):
         width = -(-width // _WAYS)
 
-    def parts(batch):
-        for k, data, pos, lo, hi, _, n in _asked(batch):
-            base = int(lo.min())
-            hashes = _Hashes(data[base : int(hi.max()) + length])
-            step = (pos - hi) // width
-            count = (pos - lo) // width - step + 1
-            each = np.repeat(np.arange(len(pos)), count)
-            near = (step[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)) * width  # the part's least offset
-            p, far = pos[each], near + width - 1
-            first, last = np.maximum(p - far, lo[each]), np.minimum(p - near, hi[each])
-            # all windows of the part share these bytes
-            key = hashes.of(p - near - base, p - far + length - base, W.mix(near.astype(np.uint64) + np.uint64(level << 40)))
-            yield k, [p, first, last, key, hashes.of(first - base, last + length - base, _salt(p, first, last)), n[each]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _gathered(batch, parts(batch))
-            W.trim()
+            data, text, base, *fields = _asked(batch)
+            for some in np.split(np.arange(len(text)), np.searchsorted(base + fields[1], np.arange(_SLICE, len(data) + _SLICE, _SLICE))):
+                if not len(some):
+                    continue
+                shift, (pos, lo, hi, _, n) = base[some], (f[some] for f in fields)
+                pos, lo, hi = pos + shift, lo + shift, hi + shift  # places among all texts
+                first = int(lo.min())
+                hashes = _Hashes(data[first : int(hi.max()) + length])
+                step = (pos - hi) // width
+                count = (pos - lo) // width - step + 1
+                each = np.repeat(np.arange(len(pos)), count)
+                near = (step[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)) * width  # the part's least offset
+                p, far = pos[each], near + width - 1
+                start, last = np.maximum(p - far, lo[each]), np.minimum(p - near, hi[each])
+                # all windows of the part share these bytes
+                key = hashes.of(p - near - first, p - far + length - first, W.mix(near.astype(np.uint64) + np.uint64(level << 40)))
+                u = hashes.of(start - first, last + length - first, _salt(p, start, last))
+                back = shift[each]
+                yield _rows(batch, text[some][each], p - back, start - back, last - back, key, u, n[each])
 
     return run
 
@@ -265,17 +274,16 @@ def _fetched(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, data, pos, lo, hi, key, n in _asked(batch):
-                size = hi - lo + length
-                at = np.append(0, np.cumsum(size))
-                for i, j in W.groups(at, _INDEX):
-                    source = np.repeat(lo[i:j] - at[i:j], size[i:j]) + np.arange(at[i], at[j])
-                    bytes_ = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at[i : j + 1] - at[i]).astype(np.int32)), pa.py_buffer(data[source].tobytes())])
-                    who = pa.array(np.full(j - i, k))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(who), batch.column("th").take(who), pa.array(lo[i:j]), pa.array(key[i:j]), pa.array(n[i:j]), bytes_], ["doc_id", "th", "lo", "key", "n", "context"]
-                    )
-            W.trim()
+            data, text, base, _, lo, hi, key, n = _asked(batch)
+            size = hi - lo + length
+            at = np.append(0, np.cumsum(size))
+            for i, j in W.groups(at, _INDEX):
+                source = np.repeat((base + lo)[i:j] - at[i:j], size[i:j]) + np.arange(at[i], at[j])
+                context = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at[i : j + 1] - at[i]).astype(np.int32)), pa.py_buffer(data[source].tobytes())])
+                who = pa.array(text[i:j])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(who), batch.column("th").take(who), pa.array(lo[i:j]), pa.array(key[i:j]), pa.array(n[i:j]), context], ["doc_id", "th", "lo", "key", "n", "context"]
+                )
 
     return run
 
@@ -308,6 +316,7 @@ def _indexed(length: int):
             for r in zip(*(c.to_pylist() for c in batch.columns)):
                 if size > _INDEX and r[3] != rows[-1][3]:
                     yield marks(rows)
+                    W.trim()
                     rows, size = [], 0
                 rows.append(r)
                 size += len(r[5])

@@ -99,11 +99,12 @@ def histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:
 
 
 def breakdown(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, agreement and score figures for each key alone and for all, in one pass of grouping sets."""
+    """Counts, agreement, score figures, and rows and hits of each gold class for each key alone and for all, in one
+    pass of grouping sets."""
     g = cells.groupingSets([[k] for k in keys] + [[]], *keys)
-    return g.agg(
-        F.count("*").alias("n"), F.count(F.when(F.col("gold") == F.col("predicted"), 1)).alias("agree"), F.avg("score").alias("mean_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score")
-    )
+    same = F.col("gold") == F.col("predicted")
+    split = [x for c in CLASSES for x in (F.count(F.when(F.col("gold") == c, 1)).alias(f"gold_{c}"), F.count(F.when((F.col("gold") == c) & same, 1)).alias(f"hit_{c}"))]
+    return g.agg(F.count("*").alias("n"), F.count(F.when(same, 1)).alias("agree"), F.avg("score").alias("mean_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), *split)
 
 
 def composition(gold: DataFrame, row: str, classes: tuple = CLASSES) -> DataFrame:

@@ -113,6 +113,14 @@ def upserted(current: DataFrame, changes: DataFrame, key: list, order: str) -> D
     return latest(current.unionByName(changes), key, [order])
 
 
+def reapplied(current: DataFrame, changes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(applications, orphans) after changes (id, jd_id, email, cv_id, at, ...): the latest application of each position
+    and address, in any case, stays, and documents (cv_id) that only replaced ones held are orphans."""
+    kept = latest(current.unionByName(changes), ["jd_id", F.lower(F.trim("email"))], ["at", "id"])
+    held = current.unionByName(changes).select("cv_id").distinct()
+    return kept, documents.join(held, "cv_id", "left_semi").join(kept.select("cv_id").distinct(), "cv_id", "left_anti")
+
+
 def merged_labels(labels: DataFrame, updates: DataFrame) -> DataFrame:
     """Labels (cv_id, label, level) with updates of the same shape: promoted, or added if absent."""
     u = updates.select("cv_id", "label", F.col("level").alias("new_level"))

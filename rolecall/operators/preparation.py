@@ -216,6 +216,20 @@ def unseen(now: DataFrame, before: DataFrame, key: list[str]) -> DataFrame:
     return now.join(before.select(*key).distinct(), key, "left_anti")
 
 
+def resumed(now: DataFrame, before: DataFrame, key: str, digest: str) -> DataFrame:
+    """(key, action) of each item of a run (key, digest) against an earlier one: ``skip`` if unchanged, ``redo`` if its digest
+    differs, ``new``, or ``drop`` if it is there no more; null digests are never equal."""
+    a, b = now.select(key, F.col(digest).alias("d"), F.lit(True).alias("here")), before.groupBy(key).agg(F.max(digest).alias("was"), F.lit(True).alias("done"))
+    action = F.when(F.col("here").isNull(), "drop").when(F.col("done").isNull(), "new").when(F.col("d") == F.col("was"), "skip").otherwise("redo")
+    return a.join(b, key, "full_outer").select(key, action.alias("action"))
+
+
+def split_rows(rows: DataFrame, documents: DataFrame, doc: str, category: str, fraction: float, seed: int = 0) -> DataFrame:
+    """``rows`` with the split of their document, so that no document has rows in both; rows of unknown documents train."""
+    split = stratified_split(documents.select(doc, category).dropDuplicates([doc]), doc, category, fraction, seed).select(doc, "split")
+    return rows.join(split, doc, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
 def coverage(trained: DataFrame, needed: DataFrame) -> DataFrame:
     """(cv_id, needed, covered): how many of a document's concepts training has seen."""
     t = trained.select("uri", F.lit(1).alias("seen")).distinct()

@@ -76,6 +76,15 @@ def ranked(results: DataFrame, order: str = "pool_ord") -> DataFrame:
     return results.withColumn("rank", F.when(F.col("overall_score").isNotNull(), F.row_number().over(w)))
 
 
+def stored_reports(rows: DataFrame) -> DataFrame:
+    """(jd_id, top_score, candidate_count, report): ranked candidates (jd_id, cv_id, overall_score, rank) as one JSON text a
+    position, with the figures that lists of reports are sorted by; unranked ones come last."""
+    each = F.struct(F.coalesce("rank", F.lit(2**31 - 1)).alias("o"), "cv_id", "overall_score", "rank")
+    g = rows.groupBy("jd_id").agg(F.max("overall_score").alias("top_score"), F.count("*").alias("candidate_count"), F.array_sort(F.collect_list(each)).alias("l"))
+    kept = F.transform("l", lambda x: F.struct(x["cv_id"].alias("cv_id"), x["overall_score"].alias("score"), x["rank"].alias("rank")))
+    return g.select("jd_id", "top_score", "candidate_count", F.to_json(kept).alias("report"))
+
+
 def shortlist(rows: DataFrame, n: int) -> DataFrame:
     return rows.filter(F.col("rank").isNotNull() & (F.col("rank") <= n))
 

@@ -549,11 +549,11 @@ def value_histogram(spark, d):
     return evaluation.histogram(T(spark, d, "events"), "value", [0, 10, 50, 100, 200])
 
 
-@query("WITH " + _CELLS + "SELECT cv_id, k, count(*) AS n, count(*) FILTER (gold = predicted) AS agree, round(avg(score), 6) AS mean_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score FROM pred GROUP BY GROUPING SETS ((cv_id), (k), ())")
+@query("WITH " + _CELLS + "SELECT cv_id, k, count(*) AS n, count(*) FILTER (gold = predicted) AS agree, round(avg(score), 6) AS mean_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, " + ", ".join(f"count(*) FILTER (gold = '{c}') AS gold_{c}, count(*) FILTER (gold = '{c}' AND predicted = '{c}') AS hit_{c}" for c in ("strong", "possible", "no")) + " FROM pred GROUP BY GROUPING SETS ((cv_id), (k), ())")
 def group_breakdown(spark, d):
     """AGG31, AGG39, AGG40: figures by document, by requirement place and in all."""
     b = evaluation.breakdown(_cells(spark, d), ["cv_id", "k"])
-    return b.select("cv_id", "k", "n", "agree", *(r6(F.col(c), c) for c in ("mean_score", "min_score", "max_score")))
+    return b.select("cv_id", "k", "n", "agree", *(r6(F.col(c), c) for c in ("mean_score", "min_score", "max_score")), *b.columns[7:])
 
 
 @query("WITH " + _CELLS + "SELECT cv_id, count(*) FILTER (gold = 'strong') AS strong, count(*) FILTER (gold = 'possible') AS possible, count(*) FILTER (gold = 'no') AS no FROM cells GROUP BY ROLLUP (cv_id)")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..functions.lineage import shared_folder
-from ..operators import projections, scoring
+from ..operators import operations, preparation, projections, scoring
 from ..sources import bundle, taxonomy
 from .queries import T, query, r6
 
@@ -313,3 +313,70 @@ def bundle_digest(spark, d):
     on_disk = bundle.verify_bundle(spark, path).withColumnRenamed("sha256", "disk")
     same = parts.join(on_disk, "part").agg(F.bool_and(F.col("sha256") == F.col("disk")).alias("ok")).first()["ok"]
     return bundle.manifest(parts).withColumn("same", (F.col("sha256") == written) & F.lit(same))
+
+
+@query(
+    """
+SELECT 'u' || p_partkey AS concept_uri, p_name || CASE WHEN p_size > 25 THEN '|é ' || p_type || '|e ' || p_type ELSE '' END || CASE WHEN p_size > 40 THEN '|' || p_brand ELSE '' END AS surfaces FROM part"""
+)
+def second_label_files(spark, d):
+    """SRC5: labels of another language, written as CSV and read back in file order; junk is left out."""
+    path = _folder(spark)
+    part = T(spark, d, "part")
+    uri = F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("conceptUri")
+    first = part.select(uri, F.col("p_name").alias("preferredLabel"), F.when(F.col("p_size") > 25, F.concat(F.lit("é "), "p_type", F.lit("; 7|x"))).alias("altLabels"))
+    first.union(part.filter("p_size > 40").select(uri, F.col("p_brand"), F.col("p_name"))).coalesce(1).write.csv(path, header=True, quoteAll=True)
+    s = taxonomy.second_labels(spark, path)
+    return s.select("concept_uri", F.array_join("surfaces", "|").alias("surfaces"))
+
+
+# ---- runs over documents, applications, reports ---------------------------------------
+
+
+@query(
+    """
+WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE lang <> 'de'), b AS (SELECT doc_id, sha256(coalesce(text, '') || CASE WHEN n_chars > 2000 THEN 'x' ELSE '' END) AS h FROM documents WHERE lang <> 'fr')
+SELECT doc_id, CASE WHEN a.doc_id IS NULL THEN 'drop' WHEN b.doc_id IS NULL THEN 'new' WHEN a.h = b.h THEN 'skip' ELSE 'redo' END AS action FROM a FULL JOIN b USING (doc_id)"""
+)
+def resumed_run(spark, d):
+    """TRN1, TRN2: what a second run over documents skips, does again, adds and drops."""
+    docs = T(spark, d, "documents")
+    digest = preparation.content_hash(F.col("text"))
+    changed = preparation.content_hash(F.concat(F.coalesce("text", F.lit("")), F.when(F.col("n_chars") > 2000, "x").otherwise("")))
+    return preparation.resumed(docs.filter("lang <> 'de'").select("doc_id", digest.alias("h")), docs.filter("lang <> 'fr'").select("doc_id", changed.alias("h")), "doc_id", "h")
+
+
+@query(
+    """
+WITH n AS (SELECT c_custkey, md5('3|' || c_custkey) AS h, c_mktsegment FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY h, c_custkey) AS rn, count(*) OVER (PARTITION BY c_mktsegment) AS c FROM n)
+SELECT o_orderkey AS id, coalesce(CASE WHEN c >= 2 AND rn <= greatest(1, floor(c * 0.1)) THEN 'val' ELSE 'train' END, 'train') AS split FROM orders LEFT JOIN r ON c_custkey = o_custkey"""
+)
+def split_by_document(spark, d):
+    """TRN7: rows get the split of their document."""
+    docs = T(spark, d, "customer").select(F.col("c_custkey").alias("cv_id"), "c_mktsegment")
+    return preparation.split_rows(T(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cv_id")), docs, "cv_id", "c_mktsegment", 0.1, 3).select("id", "split")
+
+
+@query(
+    """
+WITH a AS (SELECT o_orderkey AS id, o_orderkey % 40 AS jd_id, o_custkey % 50 AS who, o_custkey AS cv_id, o_orderdate AS made FROM orders), k AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY jd_id, who ORDER BY made DESC, id DESC) = 1)
+SELECT 'kept' AS kind, id FROM k UNION ALL SELECT DISTINCT 'orphan', cv_id FROM a WHERE cv_id IN (SELECT c_custkey FROM customer) AND cv_id NOT IN (SELECT cv_id FROM k)"""
+)
+def reapplications(spark, d):
+    """STR8: the latest application of each position and address, and the documents that nothing holds any more."""
+    who = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "User").otherwise(" user"), (F.col("o_custkey") % 50).cast("string"), F.lit("@x.org"))
+    rows = T(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 40).alias("jd_id"), who.alias("email"), F.col("o_custkey").alias("cv_id"), F.col("o_orderdate").alias("at"))
+    kept, orphans = operations.reapplied(rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0"), T(spark, d, "customer").select(F.col("c_custkey").alias("cv_id")))
+    return kept.select(F.lit("kept").alias("kind"), "id").union(orphans.select(F.lit("orphan"), "cv_id"))
+
+
+@query(
+    """
+WITH c AS (SELECT l_orderkey AS jd_id, l_suppkey AS cv_id, max(l_quantity) AS s FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY s DESC, cv_id) AS rank FROM c)
+SELECT jd_id, round(max(s), 6) AS top_score, count(*) AS candidate_count, '[' || string_agg('{"cv_id":' || cv_id || ',"score":' || s || ',"rank":' || rank || '}', ',' ORDER BY rank) || ']' AS report FROM r GROUP BY 1"""
+)
+def stored_reports(spark, d):
+    """SNK7: the ranked report of each position as it is stored, with the figures that lists of reports need."""
+    rows = T(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("jd_id"), F.col("l_suppkey").alias("cv_id")).agg(F.max("l_quantity").alias("overall_score"))
+    out = scoring.stored_reports(scoring.ranked(rows, "cv_id"))
+    return out.select("jd_id", r6(F.col("top_score"), "top_score"), "candidate_count", "report")

@@ -58,11 +58,14 @@ def _concepts(raw: DataFrame) -> DataFrame:
 
 
 def second_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(concept_uri, surfaces): labels of another language and their forms without marks, junk off."""
+    """(concept_uri, surfaces): labels of another language and their forms without marks, junk off, each
+    once; those of a concept that stands several times in file order."""
     raw = _csv(spark, path, ["conceptUri", "preferredLabel", "altLabels"])
     labels = F.concat(F.array(F.coalesce("preferredLabel", F.lit(""))), text.alternative_labels(F.col("altLabels")))
     surfaces = F.array_distinct(F.filter(F.flatten(F.transform(labels, text.surface_variants)), lambda s: ~text.junk_surface(s)))
-    return raw.groupBy(F.trim("conceptUri").alias("concept_uri")).agg(F.flatten(F.collect_list(surfaces)).alias("surfaces"))
+    rows = raw.withColumn("ord", F.monotonically_increasing_id()).select(F.trim("conceptUri").alias("concept_uri"), "ord", surfaces.alias("s")).filter("concept_uri <> ''")
+    lists = rows.groupBy("concept_uri").agg(F.array_sort(F.collect_list(F.struct("ord", "s"))).alias("l"))
+    return lists.select("concept_uri", F.array_distinct(F.flatten(F.transform("l", lambda x: x["s"]))).alias("surfaces"))
 
 
 def with_surfaces(base: DataFrame, extra: DataFrame) -> tuple[DataFrame, DataFrame]:

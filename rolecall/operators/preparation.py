@@ -22,9 +22,9 @@ def exact_contamination(documents: DataFrame, held_out: DataFrame) -> DataFrame:
 
 
 def _hashed(rows: DataFrame, key: str, size: str, n: int) -> DataFrame:
-    """(key, size, x): the hash of each distinct shingle, with how many there are."""
+    """(key, size, x, y): two hashes of each distinct shingle, with how many there are."""
     s = rows.select(key, text.lower_words(F.col("text")).alias("w")).select(key, text.shingles(F.col("w"), n).alias("s"))
-    return s.select(key, F.size("s").alias(size), F.explode("s").alias("s")).select(key, size, F.xxhash64("s").alias("x"))
+    return s.select(key, F.size("s").alias(size), F.explode("s").alias("s")).select(key, size, F.xxhash64("s").alias("x"), F.xxhash64(F.lit(1), "s").alias("y"))
 
 
 def best_overlap(documents: DataFrame, held_out: DataFrame, n: int = C.NGRAM) -> DataFrame:
@@ -34,7 +34,7 @@ def best_overlap(documents: DataFrame, held_out: DataFrame, n: int = C.NGRAM) ->
     Shingles are hashed, counted on each side and joined; only shared ones travel on.
     """
     dx, hx = _hashed(documents, "doc_id", "nd", n), _hashed(held_out, "item_id", "nh", n)
-    both = dx.join(hx, "x").groupBy("doc_id", "item_id").agg(F.count("*").alias("c"), F.first("nd").alias("nd"), F.first("nh").alias("nh"))
+    both = dx.join(hx, ["x", "y"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("c"), F.first("nd").alias("nd"), F.first("nh").alias("nh"))
     j = both.select("doc_id", "item_id", (F.col("c") / (F.col("nd") + F.col("nh") - F.col("c"))).alias("jaccard"))
     return j.groupBy("doc_id").agg(F.max_by("item_id", F.struct("jaccard", -F.col("item_id"))).alias("item_id"), F.max("jaccard").alias("jaccard"))
 

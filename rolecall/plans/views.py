@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import uuid
 
 from pyspark.sql import Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..functions.lineage import shared_folder
 from ..operators import operations, preparation, projections, scoring
-from ..sources import bundle, taxonomy
+from ..sources import bundle, overlays, taxonomy
 from .queries import T, query, r6
 
 # ---- values ------------------------------------------------------------------
@@ -380,3 +381,31 @@ def stored_reports(spark, d):
     rows = T(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("jd_id"), F.col("l_suppkey").alias("cv_id")).agg(F.max("l_quantity").alias("overall_score"))
     out = scoring.stored_reports(scoring.ranked(rows, "cv_id"))
     return out.select("jd_id", r6(F.col("top_score"), "top_score"), "candidate_count", "report")
+
+
+def overlay_files(spark, d):
+    """SRC6, SRC8, SRC11: overlays of aliases, rules and known false positives, written as files of the nations and read back."""
+    path = _folder(spark)
+    n = T(spark, d, "nation").withColumn("id", F.concat(F.lit("n"), F.col("n_nationkey").cast("string")))
+
+    def write(name: str, key: str, entry) -> str:
+        whole = n.agg(F.to_json(F.struct(F.array_sort(F.collect_list(entry)).alias(key))).alias("value"))
+        whole.coalesce(1).write.text(f"{path}/{name}")
+        return f"{path}/{name}"
+
+    a = write("aliases", "aliases", F.struct(F.col("id").alias("target_uri"), F.array("n_name", F.lower("n_name")).alias("surfaces")))
+    context = F.struct(F.array(F.lit("skills")).alias("allowed_sections"), F.col("n_regionkey").alias("surrounding_window_chars"))
+    r = write("rules", "rules", F.struct(F.col("n_name").alias("surface_pattern"), F.col("id").alias("target_concept_uri"), context.alias("context_required"), (F.col("n_regionkey") > 2).alias("case_sensitive")))
+    f = write("known", "entries", F.struct(F.col("n_name").alias("span_lemma"), F.col("id").alias("wrong_uri")))
+    rules = overlays.suppression_rules(spark, r).select(F.lit("rule").alias("kind"), F.col("target_uri").alias("uri"), F.concat_ws(":", "surface", F.array_join("allowed_sections", ","), F.col("window_chars").cast("string"), F.col("case_sensitive").cast("string")).alias("value"))
+    names = overlays.aliases(spark, a).select(F.lit("alias").alias("kind"), F.col("concept_uri").alias("uri"), F.array_join("surfaces", ",").alias("value"))
+    known = overlays.false_positives(spark, f).select(F.lit("known").alias("kind"), F.col("wrong_uri").alias("uri"), F.col("span_lemma").alias("value"))
+    return rules.union(names).union(known)
+
+
+if importlib.util.find_spec("yaml"):  # the overlays' format needs its parser
+    query(
+        """
+SELECT 'rule' AS kind, 'n' || n_nationkey AS uri, n_name || ':skills:' || n_regionkey || ':' || CASE WHEN n_regionkey > 2 THEN 'true' ELSE 'false' END AS value FROM nation
+UNION ALL SELECT 'alias', 'n' || n_nationkey, n_name || ',' || lower(n_name) FROM nation UNION ALL SELECT 'known', 'n' || n_nationkey, lower(n_name) FROM nation"""
+    )(overlay_files)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..operators.operations import latest
+from ..sources import versions
 
 
 def limited(requests: DataFrame, limits: dict[str, tuple[int, str]] | None = None) -> DataFrame:
@@ -52,20 +54,13 @@ def transitions(changes: DataFrame, kind: str = "document") -> DataFrame:
     return rows.withColumn("allowed", F.coalesce(allowed(F.col("before"), F.col("state"), kind), F.lit(False)))
 
 
-def merge_batch(path: str, key: list[str], order: str):
-    """A foreachBatch function: the target at ``path`` holds the latest row of each key.
+def merge_batch(path: str, key: list[str], order: str, buckets: int = 64):
+    """A foreachBatch function: the keyed table at ``path`` (``versions.merged``) holds the latest row of each key.
 
-    The new table is written beside the old and named by batch, so a batch that is
-    run again writes the same table again.
-    """
+    A batch rewrites only the parts of the table that its keys fall into, and one that
+    is run again changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        from ..operators.operations import latest
-
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.parquet(f"{path}/{number - 1}").unionByName(batch)
-        latest(rows, key, [order]).write.mode("overwrite").parquet(f"{path}/{number}")
+        versions.merge(batch, path, number, key, lambda rows: latest(rows, key, [order]), buckets)
 
     return write

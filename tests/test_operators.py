@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolecall.functions import scores, text
 from rolecall.operators import lexical, linking, operations, preparation, scoring
-from rolecall.sources import overlays, taxonomy
+from rolecall.sources import overlays, taxonomy, versions
 from rolecall.streaming import limits
 
 
@@ -170,10 +170,18 @@ def test_streaming_limits(spark, tmp_path):
     q = limits.rejected_counts(stream, "GET", few).writeStream.outputMode("complete").format("memory").queryName("limits").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.n, r.rejected_n) for r in spark.table("limits").collect()) == [(1, 0), (3, 1)]
-    merge = limits.merge_batch(str(tmp_path / "out"), ["id"], "v")
-    merge(spark.createDataFrame([(1, 1)], "id long, v long"), 0)
-    merge(spark.createDataFrame([(1, 2), (2, 1)], "id long, v long"), 1)
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/1")).collect()) == [(1, 2), (2, 1)]
+    folder = str(tmp_path / "out")
+    merge = limits.merge_batch(folder, ["id"], "v", 4)
+    table = lambda: sorted(tuple(r) for r in versions.merged(spark, folder, "id long, v long").collect())
+    assert table() == []
+    merge(spark.createDataFrame([(i, 1) for i in range(20)], "id long, v long"), 3)
+    merge(spark.createDataFrame([(1, 2), (30, 1), (1, 0)], "id long, v long"), 4)
+    want = sorted([(i, 1) for i in range(20) if i != 1] + [(1, 2), (30, 1)])
+    assert table() == want
+    merge(spark.createDataFrame([(1, 9)], "id long, v long"), 4)  # the same batch again
+    assert table() == want
+    merge(spark.createDataFrame([(i, 7) for i in range(40)], "id long, v long"), 5)
+    assert versions.clean(spark, folder) and table() == [(i, 7) for i in range(40)]
 
 
 def test_overlays(spark, tmp_path):

@@ -80,7 +80,7 @@ def cue_pattern(cues: list[str]) -> str:
     """An expression for text that ends with one of the cues, phrases of words."""
     import re
 
-    if not cues:
+    if not cues or isinstance(cues, str):
         raise ValueError("denials need a list of cues")
     phrases = "|".join(r"\s+".join(map(re.escape, cue.split())) for cue in cues)
     return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{phrases})\s*$"

@@ -272,7 +272,7 @@ SELECT page, round(greatest((before + 1) * 5.0, 20.0), 6) AS left_to, round(leas
 )
 def column_detection(spark, d):
     """PRJ3, PRJ4, WIN10: pages with two columns and where each ends."""
-    x = F.when((F.col("value") < 10) | (F.col("user_id") % 3 == 0), F.col("value") % 10 * 3.7).otherwise(55 + F.round("value").cast("long") % 44)
+    x = F.when((F.col("value") < 10) | (F.col("user_id") % 3 == 0), F.col("value") % 10 * 3.7).otherwise(55 + F.rint("value").cast("long") % 44)
     w = T(spark, d, "events").select(F.col("user_id").alias("page"), x.alias("x"), F.lit(100.0).alias("width"))
     c = layout.column_ranges(layout.column_gaps(w))
     return c.select("page", r6(F.col("left.to"), "left_to"), r6(F.col("right.from"), "right_from"))

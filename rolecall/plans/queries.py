@@ -767,7 +767,7 @@ SELECT doc_id, span, win AS "window" FROM b WHERE inside UNION ALL SELECT doc_id
 )
 def nearest_window(spark, d):
     """JON8: windows that hold a span, else the nearest."""
-    s = T(spark, d, "events").select(F.col("event_id").alias("span"), F.col("user_id").alias("doc_id"), F.round("value").cast("int").alias("s"), (F.round("value").cast("int") + 5).alias("e"))
+    s = T(spark, d, "events").select(F.col("event_id").alias("span"), F.col("user_id").alias("doc_id"), F.rint("value").cast("int").alias("s"), (F.rint("value").cast("int") + 5).alias("e"))
     c = T(spark, d, "customer")
     w = c.select(F.col("c_custkey").alias("window"), (F.col("c_custkey") % 150).alias("doc_id"), (F.col("c_custkey") * 7 % 400).alias("w0"), (F.col("c_custkey") * 7 % 400 + 20).alias("w1"))
     return linking.nearest_window(s, w)

@@ -24,3 +24,9 @@ def test_columns_with_halves(spark, tmp_path):
     # 24.5 is 24 for the SQL, so the strip beside it starts one bin later
     values = ", ".join(f"(1, {v})" for v in [1.0] * 8 + [24.5] * 4 + [30.5])
     check(spark, tmp_path, "column_detection", events=f"select row_number() over () as event_id, CAST(u AS BIGINT) as user_id, CAST(v AS DOUBLE) as value from (values {values}) t(u, v)")
+
+
+def test_nearest_window_with_halves(spark, tmp_path):
+    # halves go to the even number for the SQL, which decides what is held and what is nearest
+    spans = "select CAST(k AS BIGINT) as event_id, CAST(90 + k % 2 * 3 AS BIGINT) as user_id, CAST(10 + k / 2.0 AS DOUBLE) as value from range(80) t(k)"
+    check(spark, tmp_path, "nearest_window", events=spans, customer="select CAST(c AS BIGINT) as c_custkey from range(6000) t(c)")

@@ -45,54 +45,75 @@ def encoded(rows: DataFrame, column: str, encode: Callable[[list[str]], np.ndarr
     return rows.withColumn("vec", vectors(F.col(column)))
 
 
-#: Queries and index rows that meet in one task.
-QUERY_BLOCK, INDEX_BLOCK = 1024, 8192
+#: Queries and index rows that meet in one task, and into how many parts smaller tables are cut for the cores.
+QUERY_BLOCK, INDEX_BLOCK, LEAST_PARTS = 32768, 32768, 8
 
 
 def _nearest_in_block(k: int):
-    """The k nearest of a block of index rows for each query of a block: one matrix product for a slice of queries."""
+    """The k nearest of a block of index rows for each query of a block: one matrix product for a slice
+    of queries.  The functions are nested, so that executors need not have this package."""
+
+    def best(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column, similarity) of the k greatest of each row of ``s`` at 12 digits, ties to the first column.
+
+        Only what reaches a row's k-th greatest within the rounding is rounded and sorted.
+        """
+        width = s.shape[1]
+        least = s.min(1) if k >= width else s.max(1) if k == 1 else np.partition(s, width - k, axis=1)[:, width - k]
+        if np.isfinite(least).all():
+            row, column = np.divmod(np.flatnonzero(s >= least[:, None] - 2e-12), width)
+        else:
+            row, column = np.divmod(np.arange(s.size), width)
+        value = np.round(s[row, column], 12)
+        order = np.lexsort((column, -value, row))
+        row, column, value = row[order], column[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        return row[place < k], column[place < k], value[place < k]
 
     def run(queries: pa.Table, index: pa.Table) -> pa.Table:
-        order = pc.sort_indices(index.column("id"))
-        index = index.take(order)
-        vectors = lambda t: t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
         parts = []
+        asked = queries.drop_columns(["vec", "block", "part"])
+        ids = index.column("id").combine_chunks()
         if queries.num_rows and index.num_rows:
-            q, x = vectors(queries), vectors(index)
-            for i in range(0, len(q), 128):
-                s = np.round(q[i : i + 128] @ x.T, 12)
-                keep = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                asked = queries.slice(i, 128).drop_columns(["vec", "block", "part"]).take(pa.array(np.repeat(np.arange(len(s)), keep.shape[1])))
-                found = index.column("id").take(pa.array(keep.ravel()))
-                parts.append(asked.append_column("id", found).append_column("similarity", pa.array(np.take_along_axis(s, keep, 1).ravel())))
-        if parts:
-            return pa.concat_tables(parts)
-        none = queries.slice(0, 0).drop_columns(["vec", "block", "part"])
-        return none.append_column("id", index.column("id").slice(0, 0)).append_column("similarity", pa.array([], pa.float64()))
+            order = pc.sort_indices(ids)
+            ids = ids.take(order)
+            vectors = lambda t: t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+            q, x = vectors(queries), vectors(index)[order.to_numpy()]
+            for i in range(0, len(q), 64):
+                row, column, value = best(q[i : i + 64] @ x.T)
+                parts.append(asked.take(pa.array(row + i)).append_column("id", ids.take(pa.array(column))).append_column("similarity", pa.array(value)))
+        return pa.concat_tables(parts) if parts else asked.slice(0, 0).append_column("id", ids.slice(0, 0)).append_column("similarity", pa.array([], pa.float64()))
 
     return run
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int = C.TOP_K, by: tuple[str, ...] = (), block: int = QUERY_BLOCK, part: int = INDEX_BLOCK) -> DataFrame:
+def top_k(
+    queries: DataFrame, index: DataFrame, k: int = C.TOP_K, by: tuple[str, ...] = (), block: int = QUERY_BLOCK, part: int = INDEX_BLOCK, unique: bool = False
+) -> DataFrame:
     """(*by, query, id, similarity, rank): the k nearest of ``index`` (*by, id, vec) for each of
     ``queries`` (*by, query, vec), within equal ``by``.
 
     A join of blocks: queries are hashed into blocks of about ``block`` rows and index
     rows into parts of about ``part``, so every block meets every part in a task of
-    bounded size.  A task keeps k rows for each of its queries; a window, which Spark
-    cuts to k before its shuffle too, ranks them.  No vector passes the driver.  Null
-    vectors have no neighbours; ties go to the smaller id; repeated queries count as one.
+    bounded size, and a row is copied as often as the other side has blocks.  A task
+    keeps k rows for each of its queries; a window, which Spark cuts to k before its
+    shuffle too, ranks them.  No vector passes the driver.  Null vectors and null ``by``
+    have no neighbours; ties go to the smaller id; repeated queries count as one, which
+    costs no shuffle if the caller knows that they are ``unique``.
     """
     keys = list(by)
-    q = queries.filter("vec is not null").select(*keys, "query", "vec").dropDuplicates([*keys, "query"])
-    x = index.filter("vec is not null").select(*keys, "id", "vec")
-    count = lambda rows, most, name: rows.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / most), F.lit(1)).alias(name))
-    if keys:  # groups that lack either side have no neighbours
-        sizes = count(q, block, "blocks").join(count(x, part, "parts"), keys)
-        q, x = q.join(sizes, keys), x.join(sizes, keys)
+    known = F.expr(" and ".join(f"{c} is not null" for c in (*keys, "vec")))
+    q = queries.filter(known).select(*keys, "query", "vec")
+    q = q if unique else q.dropDuplicates([*keys, "query"])
+    x = index.filter(known).select(*keys, "id", "vec")
+    if keys:  # only groups of more than one block are listed, which are few
+        many = lambda rows, most, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias(name)).filter(F.col(name) > 1)
+        sizes = F.broadcast(many(q, block, "blocks").join(many(x, part, "parts"), keys, "full_outer"))
+        q, x = (t.join(sizes, keys, "left").fillna(1, ["blocks", "parts"]) for t in (q, x))
     else:
-        blocks, parts = count(q, block, "blocks").first()[0], count(x, part, "parts").first()[0]
-        q, x = (t.withColumn("blocks", F.lit(blocks)).withColumn("parts", F.lit(parts)) for t in (q, x))
+        count = lambda n, most: max(-(-n // most), min(LEAST_PARTS, -(-n * 32 // most)), 1)
+        blocks, parts = count(q.count(), block), count(x.count(), part)
+        q, x = (t.withColumn("blocks", F.lit(blocks).cast("long")).withColumn("parts", F.lit(parts).cast("long")) for t in (q, x))
     all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     own = [F.col(c).alias(c) for c in (*keys, "query", "vec")]  # other columns than those of the index, if both come from one table
     q = q.select(*own, F.pmod(F.xxhash64("query"), F.col("blocks")).alias("block"), all_of("parts").alias("part"))
@@ -113,7 +134,7 @@ def resolved(requirements: DataFrame, concepts: DataFrame, vectors: DataFrame) -
     are as they were, with the label of their concept or none.
     """
     asked = requirements.filter("skill_uri is null and text is not null").select("text").distinct()
-    near = top_k(asked.join(vectors, "text").select(F.col("text").alias("query"), "vec"), concepts.select(F.col("skill_uri").alias("id"), "vec"), 1)
+    near = top_k(asked.join(vectors, "text").select(F.col("text").alias("query"), "vec"), concepts.select(F.col("skill_uri").alias("id"), "vec"), 1, unique=True)
     near = near.select(F.col("query").alias("text"), F.col("id").alias("found"), "similarity")
     rows = requirements.join(near, "text", "left").withColumn("new", F.col("skill_uri").isNull() & F.col("found").isNotNull())
     uri = F.when(F.col("new"), F.col("found")).otherwise(F.col("skill_uri"))
@@ -178,16 +199,23 @@ def nearest_window(spans: DataFrame, windows: DataFrame, bin_size: int = 256) ->
     return held.unionByName(near.select("doc_id", "span", best.alias("window")))
 
 
-def gold_similarity(gold: DataFrame, concepts: DataFrame, windows: DataFrame) -> DataFrame:
+def gold_similarity(gold: DataFrame, concepts: DataFrame, windows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(cv_id, uri, encoder, window, similarity): the most similar window of a document to each of its gold
     concepts, for every encoder in one pass.
 
     ``gold``: cv_id, uri; ``concepts``: encoder, uri, vec; ``windows``: cv_id, encoder, window,
     vec.  Only gold concepts meet windows, by blocks of a document and an encoder.  A
-    concept that an encoder lacks has no row for any.
+    concept that an encoder lacks has no row for any.  Where documents share their windows,
+    ``groups`` (cv_id, group) says which, and ``windows`` has ``group`` for cv_id: a concept
+    then meets the windows of a group once, and no window is copied for each document.
     """
     several = concepts.agg(F.count_distinct("encoder")).first()[0]
     whole = concepts.groupBy("uri").agg(F.count_distinct("encoder").alias("n")).filter(F.col("n") == several).select("uri")
-    asked = gold.select("cv_id", "uri").distinct().join(whole, "uri", "left_semi").join(concepts, "uri")
-    near = top_k(asked.select("cv_id", "encoder", F.col("uri").alias("query"), "vec"), windows.select("cv_id", "encoder", F.col("window").alias("id"), "vec"), 1, by=("cv_id", "encoder"))
-    return near.select("cv_id", F.col("query").alias("uri"), "encoder", F.col("id").alias("window"), "similarity")
+    wanted = gold.select("cv_id", "uri").distinct().join(whole, "uri", "left_semi")
+    by = "cv_id" if groups is None else "group"
+    wanted = wanted if groups is None else wanted.join(groups.select("cv_id", "group").distinct(), "cv_id")
+    asked = wanted.select(by, "uri").distinct().join(concepts, "uri")
+    near = top_k(asked.select(by, "encoder", F.col("uri").alias("query"), "vec"), windows.select(by, "encoder", F.col("window").alias("id"), "vec"), 1, by=(by, "encoder"), unique=True)
+    near = near.select(by, F.col("query").alias("uri"), "encoder", F.col("id").alias("window"), "similarity")
+    out = near if groups is None else wanted.join(near, ["group", "uri"])
+    return out.select("cv_id", "uri", "encoder", "window", "similarity")

@@ -120,11 +120,12 @@ SELECT cv_id, uri, encoder, vec_id AS "window", round(sim, 6) AS similarity FROM
 )
 def gold_similarity(spark, d):
     """JON33: the best window of a document for each of its gold concepts, under two encoders."""
-    e = T(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
+    e = T(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
     both = e.withColumn("encoder", F.lit("plain")).unionByName(e.filter("label <> 1").withColumn("vec", _turned()).withColumn("encoder", F.lit("turned")))
     gold = T(spark, d, "lineitem").select(F.col("l_suppkey").alias("cv_id"), F.col("l_partkey").alias("uri"))
-    windows = gold.select("cv_id").distinct().join(both, F.col("cv_id") % 10 == F.col("label")).select("cv_id", "encoder", F.col("vec_id").alias("window"), "vec")
-    out = linking.gold_similarity(gold, both.select("encoder", F.col("vec_id").alias("uri"), "vec"), windows)
+    windows = both.select(F.col("label").alias("group"), "encoder", F.col("vec_id").alias("window"), "vec")
+    groups = gold.select("cv_id", (F.col("cv_id") % 10).cast("int").alias("group"))
+    out = linking.gold_similarity(gold, both.select("encoder", F.col("vec_id").alias("uri"), "vec"), windows, groups)
     return out.select("cv_id", "uri", "encoder", "window", r6(F.col("similarity"), "similarity"))
 
 

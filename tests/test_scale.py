@@ -2,6 +2,7 @@
 
 import duckdb
 
+from rolecall.operators import linking
 from rolecall.plans import queries as plans
 
 from test_queries import rows_of
@@ -30,3 +31,32 @@ def test_nearest_window_with_halves(spark, tmp_path):
     # halves go to the even number for the SQL, which decides what is held and what is nearest
     spans = "select CAST(k AS BIGINT) as event_id, CAST(90 + k % 2 * 3 AS BIGINT) as user_id, CAST(10 + k / 2.0 AS DOUBLE) as value from range(80) t(k)"
     check(spark, tmp_path, "nearest_window", events=spans, customer="select CAST(c AS BIGINT) as c_custkey from range(6000) t(c)")
+
+
+def test_shared_windows_stand_once(spark, monkeypatch):
+    vec = lambda i: [float((i * p) % 7 - 3) for p in (3, 5, 2)]
+    concepts = spark.createDataFrame([("a", u, vec(u)) for u in range(9)], "encoder string, uri int, vec array<float>")
+    shared = spark.createDataFrame([(g, "a", w, vec(w + g)) for g in range(3) for w in range(20)], "group int, encoder string, window int, vec array<float>")
+    groups = spark.createDataFrame([(c, c % 4) for c in range(40)], "cv_id int, group int")
+    gold = spark.createDataFrame([(c, (c * k) % 9) for c in range(40) for k in (1, 2, 2)], "cv_id int, uri int")
+    own = groups.join(shared, "group").drop("group")
+    asked, inner = [], linking.top_k
+
+    def top_k(queries, index, *args, **more):
+        asked.append((queries.count(), index.count()))
+        return inner(queries, index, *args, **more)
+
+    monkeypatch.setattr(linking, "top_k", top_k)
+    got = {tuple(r) for r in linking.gold_similarity(gold, concepts, shared, groups).collect()}
+    assert got == {tuple(r) for r in linking.gold_similarity(gold, concepts, own).collect()} and got
+    assert asked[0][0] <= 36 and asked[0][1] == 60 and asked[1][1] == 600  # windows of the groups, not of the documents
+
+
+def test_nearest_at_ties_and_not_finite(spark):
+    index = spark.createDataFrame([(i, [1.0, 1e-13 * (i % 5)]) for i in range(50, 0, -1)], "id int, vec array<double>")
+    asked = spark.createDataFrame([(q, [1.0, 1.0]) for q in range(3)], "query int, vec array<double>")
+    for unique in (False, True):
+        got = linking.top_k(asked, index, 3, block=2, part=13, unique=unique).collect()
+        assert sorted((r["query"], r["rank"], r["id"]) for r in got) == [(q, k, k) for q in range(3) for k in (1, 2, 3)]
+    odd = index.limit(4).union(spark.createDataFrame([(0, [float("nan"), 1.0])], "id int, vec array<double>"))
+    assert linking.top_k(asked, odd, 2).count() == 6

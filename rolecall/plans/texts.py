@@ -22,7 +22,7 @@ FROM r LEFT JOIN n ON p_partkey = l_partkey LEFT JOIN embeddings e ON e.vec_id =
 )
 def requirement_resolution(spark, d):
     """JON12: requirements without a concept get the nearest one to their text; a confidence stays if there is one."""
-    e = T(spark, d, "embeddings").withColumn("vec", F.col("embedding").cast("array<double>"))
+    e = T(spark, d, "embeddings").withColumnRenamed("embedding", "vec")
     turned = F.concat(F.slice("vec", 2, F.size("vec") - 1), F.slice("vec", 1, 1))
     vectors = T(spark, d, "part").join(e, F.col("vec_id") == F.col("p_partkey")).select(F.col("p_partkey").cast("string").alias("text"), turned.alias("vec"))
     rows = T(spark, d, "lineitem").select(

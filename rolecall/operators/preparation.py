@@ -154,6 +154,13 @@ def _steps(rows: DataFrame, own: str, size: str, count: int) -> DataFrame:
     return rows.filter(rest > 0).select("*", steps).withColumn("at", F.pmod(F.col(own) + 1 + F.pmod(F.col("first") + F.col("k"), rest), F.col(size)))
 
 
+def _followers(ring: DataFrame, n: int) -> DataFrame:
+    """(category, at, next): the n concepts from each place of a category's ring on, in ring order."""
+    step = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")
+    each = ring.select("category", "uri", "place", "size", step).select("category", F.pmod(F.col("place") - F.col("k"), F.col("size")).alias("at"), F.struct("k", "uri").alias("c"))
+    return each.groupBy("category", "at").agg(F.array_sort(F.collect_list("c"))["uri"].alias("next"))
+
+
 def hard_negatives(positives: DataFrame, concepts: DataFrame, n: int = 3, seed: int = 0, known: DataFrame | None = None) -> DataFrame:
     """(pair_id, uri, negative, strategy, rank): n other concepts for each positive: its known
     false positive (``known``: pair_id, negative) if there is one, then siblings of the same
@@ -161,22 +168,35 @@ def hard_negatives(positives: DataFrame, concepts: DataFrame, n: int = 3, seed:
 
     Categories and the whole taxonomy are put in hash order once; a positive takes the
     concepts that follow a place of its own in those rings, so no group is multiplied out.
+    Every place of a ring knows what follows it, so a positive is one row that meets one
+    row; only positives of categories too small for n siblings look up one by one.
     A concept without a category has no siblings; a positive of no known concept gets no rows.
     """
-    ring = hash_ring(concepts, seed)
+    ring = cut(hash_ring(concepts, seed))
     number = F.conv(F.substring(seeded(F.col("pair_id"), seed), 1, 8), 16, 10).cast("long")
-    p = positives.select("pair_id", "uri").join(ring, "uri").withColumn("first", number)
-    pick = lambda rows, order: rows.select("pair_id", "uri", "negative", F.lit(order).alias("o"), "k")
-    near = _steps(p, "place", "size", n).join(ring.select("category", F.col("place").alias("at"), F.col("uri").alias("negative")), ["category", "at"])
-    # among 2 n + 1 others, n at least are neither a sibling taken before nor the known false positive
-    any_ = _steps(p.filter(F.col("size") <= n), "spot", "total", 2 * n + 1).join(ring.select(F.col("spot").alias("at"), F.col("uri").alias("negative")), "at")
-    found = pick(near, 1).unionByName(pick(any_, 2))
+    met = lambda rows: positives.select("pair_id", "uri").join(rows, "uri").withColumn("first", number)
+    item = lambda o, k, uri: F.struct(F.lit(o).alias("o"), F.col(k).cast("int").alias("k") if isinstance(k, str) else k.cast("int").alias("k"), uri.alias("negative"))
+    large, small = ring.filter(F.col("size") > n), ring.filter(F.col("size") <= n)
+    at = F.pmod(F.col("place") + 1 + F.pmod("first", F.col("size") - 1), F.col("size"))
+    p = met(large.select("uri", "category", "place", "size")).select("pair_id", "uri", "category", at.alias("at")).join(_followers(large, n + 1), ["category", "at"])
+    others = F.slice(F.filter("next", lambda u: u != F.col("uri")), 1, n)
+    rows = p.select("pair_id", "uri", F.transform(others, lambda u, k: item(1, k, u)).alias("found"))
+    if not small.isEmpty():
+        p, one = met(small), lambda o: F.array(item(o, "k", F.col("negative"))).alias("found")
+        near = _steps(p, "place", "size", n).join(ring.select("category", F.col("place").alias("at"), F.col("uri").alias("negative")), ["category", "at"])
+        # among 2 n + 1 others, n at least are neither a sibling taken before nor the known false positive
+        any_ = _steps(p, "spot", "total", 2 * n + 1).join(ring.select(F.col("spot").alias("at"), F.col("uri").alias("negative")), "at")
+        none = p.select("pair_id", "uri", F.array().cast(rows.schema["found"].dataType).alias("found"))
+        rows = rows.unionByName(none).unionByName(near.select("pair_id", "uri", one(1))).unionByName(any_.select("pair_id", "uri", one(2)))
     if known is not None:
-        found = found.unionByName(pick(p.join(known, "pair_id").filter("negative <> uri").withColumn("k", F.lit(0)), 0))
-    best = found.groupBy("pair_id", "uri", "negative").agg(F.min(F.struct("o", "k")).alias("w"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("pair_id", "uri").orderBy("w", "negative"))).filter(F.col("rank") <= n)
-    strategy = F.when(F.col("w.o") == 0, "known").when(F.col("w.o") == 1, "sibling").otherwise("any")
-    return ranked.select("pair_id", "uri", "negative", strategy.alias("strategy"), "rank")
+        own = F.when(F.col("negative") != F.col("uri"), F.array(item(0, F.lit(0), F.col("negative")))).otherwise(F.array())
+        rows = rows.join(known, "pair_id", "left").select("pair_id", "uri", F.concat(own, "found").alias("found"))
+    best = rows.groupBy("pair_id", "uri").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+    best = best.withColumn("all", F.col("found")["negative"])
+    first = F.slice(F.filter("found", lambda c, i: F.array_position(F.col("all"), c["negative"]) == i + 1), 1, n)
+    ranked = best.select("pair_id", "uri", F.posexplode(first).alias("k", "c"))
+    strategy = F.when(F.col("c.o") == 0, "known").when(F.col("c.o") == 1, "sibling").otherwise("any")
+    return ranked.select("pair_id", "uri", F.col("c.negative").alias("negative"), strategy.alias("strategy"), (F.col("k") + 1).alias("rank"))
 
 
 def pairs(positives: DataFrame, texts: DataFrame) -> DataFrame:

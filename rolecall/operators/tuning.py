@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scores
+from ..functions.lineage import cut
 from .evaluation import CLASSES
 
 
@@ -46,6 +47,7 @@ def confusion_cube(scored: DataFrame, by: list[str], edges: list[float]) -> Data
     names = [*CLASSES, "none"]
     kind = F.when(F.col("gold").isin(*CLASSES), F.col("gold")).otherwise("none")
     counts = scored.groupBy(*by, _reached(F.col("score"), edges).alias("k")).agg(*(F.count(F.when(kind == c, 1)).alias(c) for c in names))
+    counts = cut(counts)  # a row for each setting and edge: the scores behind them are read once, however often the cube is
     every = counts.select(*by).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(edges)))))
     w = Window.partitionBy(*by).orderBy(F.desc("k"))  # as many rows as edges
     return every.join(counts, [*by, "k"], "left").select(*by, "k", *(F.sum(F.coalesce(c, F.lit(0))).over(w).alias(c) for c in names))

@@ -44,7 +44,7 @@ c AS (SELECT run, gate, weight, t1, t2, (f_strong + f_possible + f_no) / 3 AS ma
 
 
 def _combinations(spark, d):
-    li = T(spark, d, "lineitem")
+    li = T(spark, d, "lineitem").repartition("l_suppkey", "l_orderkey")  # the groupings and the join below need no other place
     pair = [F.col("l_suppkey").alias("cv_id"), F.col("l_orderkey").alias("jd_id")]
     p = F.round((1 - F.col("l_discount")) * (F.col("l_quantity") / 50) * (1 - F.col("l_tax")), 6)
     factors = li.select(F.col("l_linestatus").alias("run"), *pair, F.when(F.col("l_returnflag") != "N", "required").otherwise("nice_to_have").alias("importance"), F.lit(1.0).alias("req_conf"), p.alias("cand_conf"), F.lit(1.0).alias("uri_sim"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..functions.lineage import shared_folder
+from ..functions.lineage import cut, shared_folder
 from ..operators import operations, preparation, projections, scoring
 from ..sources import bundle, overlays, taxonomy
 from .queries import T, query, r6
@@ -280,6 +280,7 @@ def pair_files(spark, d):
     path = _folder(spark)
     k = F.col("k").cast("int")
     rows = T(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")).agg(F.min("l_suppkey").alias("cv"), F.min("l_partkey").alias("uri"))
+    rows = cut(rows)  # counted, sampled by the sort, and written
     rows = rows.select(F.col("k").cast("string").alias("pair_id"), F.concat(F.lit("cv"), F.col("cv").cast("string")).alias("cv_id"), F.lit("positive").alias("pair_type"), F.lit("x").alias("text_span"), (k % 1000).alias("span_start"), (k % 1000 + 1).alias("span_end"), F.concat(F.lit("p"), F.col("uri").cast("string")).alias("concept_uri"))
     taxonomy.write_pairs(rows, {"pair_count": rows.count()}, path)
     return taxonomy.read_pairs(spark, path).select("pair_id", "cv_id", "concept_uri", "span_start")

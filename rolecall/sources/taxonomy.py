@@ -155,9 +155,11 @@ def write_pairs(rows: DataFrame, header: dict, path: str) -> None:
 
     order = ["cv_id", "span_start", "span_end", "pair_type", "concept_uri"]
     spark = rows.sparkSession
-    body = rows.select(F.lit(1).alias("k"), *order, F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
-    first = spark.createDataFrame([(json.dumps(header, sort_keys=True),)], "value string").select(F.lit(0).alias("k"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order), "value")
-    first.unionByName(body).orderBy("k", *order).select("value").write.text(path)
+    none = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]
+    first = spark.createDataFrame([(json.dumps(header, sort_keys=True),)], "_head string").select(F.lit(0).alias("_k"), *none, "_head")
+    body = rows.select(F.lit(1).alias("_k"), "*", F.lit(None).cast("string").alias("_head"))
+    line = F.coalesce("_head", F.to_json(F.struct(*sorted(rows.columns))))  # made after the sort, which moves the values alone
+    first.unionByName(body).orderBy("_k", *order).select(line.alias("value")).write.text(path)
 
 
 def concept_digest(rows: DataFrame) -> DataFrame:

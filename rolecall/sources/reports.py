@@ -66,7 +66,7 @@ def json_leaves(rows: DataFrame, deepest: int = 32) -> DataFrame:
 def unsourced(leaves: DataFrame, sources: DataFrame) -> DataFrame:
     """Leaves (path, leaf, value) that no source (path, leaf) stands for: a source of an object stands for all in it."""
     every = F.regexp_extract_all("leaf", F.lit(r"[^.\[\]]+|\[\d+\]"), 0)
-    parts = leaves.select("path", "leaf", "value", F.transform(F.sequence(F.lit(1), F.size(every)), lambda n: F.replace(F.array_join(F.slice(every, F.lit(1), n), "."), F.lit(".["), F.lit("["))).alias("above"))
-    known = sources.select("path", F.col("leaf").alias("source")).distinct()
-    told = parts.select("path", "leaf", F.explode("above").alias("source")).join(known, ["path", "source"], "left_semi")
-    return leaves.join(told.select("path", "leaf").distinct(), ["path", "leaf"], "left_anti")
+    above = F.transform(F.sequence(F.lit(1), F.size(every)), lambda n: F.replace(F.array_join(F.slice(every, F.lit(1), n), "."), F.lit(".["), F.lit("[")))
+    known = sources.groupBy("path").agg(F.collect_set("leaf").alias("_sources"))
+    told = F.coalesce(F.arrays_overlap(above, "_sources"), F.lit(False))
+    return leaves.join(known, "path", "left").filter(~told).select(*leaves.columns)  # the leaves are made once

@@ -6,7 +6,7 @@ import duckdb
 
 from rolecall.operators import linking, tuning
 from rolecall.plans import queries as plans
-from rolecall.sources import taxonomy
+from rolecall.sources import reports, taxonomy
 
 from test_queries import rows_of
 
@@ -87,3 +87,18 @@ def test_pairs_are_sorted_before_they_are_lines(spark, tmp_path):
     assert {"pair_count": 3} in lines and len(lines) == 4
     assert [r.pair_id for r in taxonomy.read_pairs(spark, f"{tmp_path}/p").orderBy("pair_id").collect()] == ["p1", "p2", "p3"]
     assert all("_head" not in x and "_k" not in x for x in lines)
+
+
+def test_leaves_are_made_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    leaves = spark.createDataFrame([("r", "a.b[0].c", "1"), ("r", "ab", "2"), ("r", "d", "3"), ("s", "a.b[0].c", "4"), (None, "a", "5")], "path string, leaf string, value string")
+    sources = spark.createDataFrame([("r", "a.b"), ("r", "d"), ("r", None), ("t", "ab")], "path string, leaf string")
+    got = {tuple(r) for r in reports.unsourced(leaves.mapInArrow(seen, leaves.schema), sources).collect()}
+    assert got == {("r", "ab", "2"), ("s", "a.b[0].c", "4"), (None, "a", "5")}
+    assert read.value == 5

@@ -28,6 +28,30 @@ def exact_matches(pairs: DataFrame, requirements: DataFrame, candidates: DataFra
     return rows.withColumn("match_score", F.when(F.col("match_score") >= gate, F.col("match_score")))
 
 
+def placed_requirements(requirements: DataFrame) -> DataFrame:
+    """``requirements`` with ``k``, their place (from 0) in their position, and its ``required_total`` and ``nice_total``."""
+    w = Window.partitionBy("jd_id")
+    n = lambda kind: F.count(F.when(F.col("importance") == kind, 1)).over(w).cast("int")
+    rows = requirements.select("jd_id", "req_ord", "text", "skill_uri", "importance")
+    return rows.select("*", (F.row_number().over(w.orderBy("req_ord", "text", "skill_uri", "importance")) - 1).alias("k"), n("required").alias("required_total"), n("nice_to_have").alias("nice_total"))
+
+
+def exact_hits(pairs: DataFrame, placed: DataFrame, candidates: DataFrame, gate: float = C.REQUIREMENT_GATE) -> DataFrame:
+    """(cv_id, jd_id, k, required, nice, required_total, nice_total, match_score): the ``placed``
+    requirements of each pair (cv_id, jd_id) that the surest candidate of their concept meets, and
+    place 0 in any case, so that no pair is lost.
+
+    As ``exact_matches``, but only narrow rows look for their candidates, and what is not met
+    goes no further: it is what else the position asks for.  Candidates are hashed, not
+    sorted, within the partitions of the shuffle.
+    """
+    sure = candidates.filter(F.col("confidence") >= gate).groupBy("cv_id", "skill_uri").agg(F.max("confidence").alias("match_score"))
+    kind = lambda name: F.coalesce(F.col("importance") == name, F.lit(False))
+    asked = placed.select("jd_id", "k", "skill_uri", kind("required").alias("required"), kind("nice_to_have").alias("nice"), "required_total", "nice_total")
+    rows = pairs.join(asked, "jd_id").join(sure.hint("shuffle_hash"), ["cv_id", "skill_uri"], "left")
+    return rows.filter("k = 0 or match_score is not null").drop("skill_uri")
+
+
 def semantic_fallback(unmatched: DataFrame, candidates: DataFrame, threshold: float = C.KEEP, gate: float = C.REQUIREMENT_GATE) -> DataFrame:
     """For unmatched requirements (cv_id, jd_id, req_ord, vec): the candidate (cv_id, skill_uri,
     confidence, vec) of that document with the highest cosine, ties to the smaller concept.
@@ -54,6 +78,24 @@ def overall(matched: DataFrame, required_weight: float = C.REQUIRED_WEIGHT) -> D
         F.coalesce(F.sum(F.when(req, F.col("match_score"))), F.lit(0.0)).alias("rs"),
         F.coalesce(F.sum(F.when(nice, F.col("match_score"))), F.lit(0.0)).alias("ns"),
     )
+    return _weighted(g, required_weight)
+
+
+def overall_of_hits(hits: DataFrame, required_weight: float = C.REQUIRED_WEIGHT) -> DataFrame:
+    """``overall`` from ``exact_hits``, whose rows bring the totals of their position."""
+    hit, part = F.col("match_score").isNotNull(), lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("match_score"))), F.lit(0.0))
+    g = hits.groupBy("cv_id", "jd_id").agg(
+        F.max("required_total").cast("long").alias("required_total"),
+        F.max("nice_total").cast("long").alias("nice_total"),
+        F.count(F.when(F.col("required") & hit, 1)).alias("required_matched"),
+        F.count(F.when(F.col("nice") & hit, 1)).alias("nice_matched"),
+        part("required").alias("rs"),
+        part("nice").alias("ns"),
+    )
+    return _weighted(g, required_weight)
+
+
+def _weighted(g: DataFrame, required_weight: float) -> DataFrame:
     r, s = scores.ratio(F.col("rs"), F.col("required_total")), scores.ratio(F.col("ns"), F.col("nice_total"))
     score = F.when(F.col("required_total") > 0, required_weight * r + (1 - required_weight) * s).otherwise(s)
     return g.select(
@@ -98,8 +140,28 @@ def explained(matched: DataFrame) -> DataFrame:
         F.slice(F.array_sort(F.collect_list(F.when(hit, F.struct((-F.col("match_score")).alias("k"), "req_ord", "text", "match_score")))), 1, 3).alias("top"),
         F.array_sort(F.collect_list(F.when(req & ~hit, F.struct("req_ord", "text")))).alias("gaps"),
     )
+    return _told(g)
+
+
+def explained_of_hits(hits: DataFrame, placed: DataFrame) -> DataFrame:
+    """``explained`` from ``exact_hits`` and the placed requirements that they point to."""
+    hit = F.col("match_score").isNotNull()
+    met = hits.groupBy("cv_id", "jd_id").agg(
+        F.count(F.when(F.col("required") & hit, 1)).alias("m"),
+        F.sort_array(F.collect_list(F.when(hit, F.struct((-F.col("match_score")).alias("by"), "k", "match_score")))).alias("met"),
+    )
+    needed = F.when(F.col("importance") == "required", F.struct("k", "text"))
+    own = placed.groupBy("jd_id").agg(F.max("required_total").alias("n"), F.sort_array(F.collect_list(F.struct("k", "text"))).alias("asked"), F.sort_array(F.collect_list(needed)).alias("needed"))
+    rows = met.select("cv_id", "jd_id", "m", "met", F.col("met.k").alias("places")).join(own, "jd_id")
+    top = F.transform(F.slice("met", 1, 3), lambda t: F.struct(F.get("asked", t["k"])["text"].alias("text"), t["match_score"].alias("match_score")))
+    gaps = F.filter("needed", lambda x: ~F.array_contains("places", x["k"]))
+    return _told(rows.select("cv_id", "jd_id", "n", "m", top.alias("top"), gaps.alias("gaps")))
+
+
+def _told(g: DataFrame) -> DataFrame:
     strengths = F.array_join(F.transform("top", lambda t: F.format_string("%s (%.2f)", t["text"], t["match_score"])), ", ")
-    missing = F.array_join(F.transform("gaps", lambda t: t["text"]), ", ")
+    missing = F.array_join(F.col("gaps.text"), ", ")
     clause = lambda head, body: F.when(F.length(body) > 0, F.concat(F.lit(head), body, F.lit(".")))
-    cover = F.when(F.col("n") > 0, F.format_string("Covers %d/%d required.", "m", "n"))
-    return g.select("cv_id", "jd_id", F.concat_ws(" ", cover, clause("Strengths: ", strengths), clause("Missing critical: ", missing)).alias("explanation"))
+    cover = F.when(F.col("n") > 0, F.concat(F.lit("Covers "), F.col("m").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" required.")))
+    lines = g.select("cv_id", "jd_id", cover.alias("cover"), strengths.alias("strengths"), missing.alias("missing"))
+    return lines.select("cv_id", "jd_id", F.concat_ws(" ", "cover", clause("Strengths: ", F.col("strengths")), clause("Missing critical: ", F.col("missing"))).alias("explanation"))

@@ -372,21 +372,23 @@ o AS (SELECT *, greatest(0, least(1, CASE WHEN rt > 0 THEN 0.85 * rs / rt + 0.15
 """
 
 
-def _matched(spark, d):
+def _hits(spark, d):
+    """What each pair meets, and the requirements in their places."""
     li = T(spark, d, "lineitem")
-    cand = li.groupBy(F.col("l_suppkey").alias("cv_id"), F.col("l_partkey").alias("skill_uri")).agg(F.max(1 - 8 * F.col("l_discount")).alias("confidence"))
+    cand = li.select(F.col("l_suppkey").alias("cv_id"), F.col("l_partkey").alias("skill_uri"), (1 - 8 * F.col("l_discount")).alias("confidence"))
     pairs = li.select(F.col("l_suppkey").alias("cv_id"), F.col("l_orderkey").alias("jd_id")).distinct()
     req = li.select(
         F.col("l_orderkey").alias("jd_id"), F.col("l_linenumber").alias("req_ord"), F.col("l_partkey").alias("skill_uri"), F.concat(F.lit("p"), "l_partkey").alias("text"),
         F.when(F.col("l_returnflag") == "N", "nice_to_have").otherwise("required").alias("importance"),
     )
-    return scoring.exact_matches(pairs, req, cand, 0.3)
+    placed = scoring.placed_requirements(req)
+    return scoring.exact_hits(pairs, placed, cand, 0.3), placed
 
 
 @query("WITH " + _SCORING + "SELECT cv_id, jd_id, round(score, 6) AS overall_score, rt AS required_total, nt AS nice_total, rm AS required_matched, nm AS nice_matched, round(CASE WHEN rt > 0 THEN rm / rt ELSE 0 END, 6) AS required_coverage, round(CASE WHEN nt > 0 THEN nm / nt ELSE 0 END, 6) AS nice_to_have_coverage FROM o")
 def overall_score(spark, d):
     """JON10, FLT10, AGG6, AGG16: candidates against requirements, scored and covered."""
-    o = scoring.overall(_matched(spark, d))
+    o = scoring.overall_of_hits(_hits(spark, d)[0])
     return o.select("cv_id", "jd_id", *(r6(F.col(c), c) for c in ("overall_score", "required_coverage", "nice_to_have_coverage")), "required_total", "nice_total", "required_matched", "nice_matched")
 
 
@@ -399,7 +401,7 @@ SELECT cv_id, jd_id, round(score, 6) AS overall_score, CAST(rank AS INT) AS rank
 )
 def ranked_report(spark, d):
     """WIN1, PRJ19, PRJ20, ORD11: candidates of each position ranked, classed, banded; failed rows last."""
-    o = scoring.overall(_matched(spark, d)).withColumn("overall_score", F.when(F.col("cv_id") % 9 == 0, None).otherwise(F.round("overall_score", 9)))
+    o = scoring.overall_of_hits(_hits(spark, d)[0]).withColumn("overall_score", F.when(F.col("cv_id") % 9 == 0, None).otherwise(F.round("overall_score", 9)))
     s = F.col("overall_score")
     return scoring.ranked(o, "cv_id").select("cv_id", "jd_id", r6(s, "overall_score"), "rank", scores.projected(s, 0.6, 0.3).alias("fit"), scores.display_band(s).alias("band"), F.coalesce(F.col("rank") <= 3, F.lit(False)).alias("shortlisted"))
 
@@ -413,7 +415,8 @@ SELECT cv_id, jd_id, concat_ws(' ', CASE WHEN n > 0 THEN 'Covers ' || c || '/' |
 )
 def explanations(spark, d):
     """PRJ21, PRJ22, WIN4: what a candidate covers, its strengths, what is missing."""
-    return scoring.explained(_matched(spark, d).withColumn("match_score", F.round("match_score", 6)))
+    hits, placed = _hits(spark, d)
+    return scoring.explained_of_hits(hits.withColumn("match_score", F.round("match_score", 6)), placed)
 
 
 @query(

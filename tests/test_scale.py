@@ -3,12 +3,13 @@
 import json
 
 import duckdb
+from pyspark.sql import functions as F
 
-from rolecall.operators import linking, tuning
+from rolecall.operators import linking, scoring, tuning
 from rolecall.plans import queries as plans
 from rolecall.sources import reports, taxonomy
 
-from test_queries import rows_of
+from test_queries import cell, rows_of
 
 
 def check(spark, folder, name, **tables):
@@ -102,3 +103,21 @@ def test_leaves_are_made_once(spark):
     got = {tuple(r) for r in reports.unsourced(leaves.mapInArrow(seen, leaves.schema), sources).collect()}
     assert got == {("r", "ab", "2"), ("s", "a.b[0].c", "4"), (None, "a", "5")}
     assert read.value == 5
+
+
+def test_only_what_is_met_goes_on(spark):
+    # long rows say what each pair meets and what not; the narrow ones say the same
+    req = [(j, k % 17, f"t{k % 5}", None if k == 9 else k % 13, ("required", "nice_to_have", "other", None)[k % 4 if j else 1]) for j in range(3) for k in range(40)] + [(7, 0, "x", None, "required")]
+    req = spark.createDataFrame(req, "jd_id int, req_ord int, text string, skill_uri int, importance string").withColumn("req_conf", F.lit(1.0))
+    pairs = spark.createDataFrame([(c, j) for c in range(20) for j in (0, 1, 2, 7, 8)] + [(None, 1)], "cv_id int, jd_id int")
+    cand = spark.createDataFrame([(c, (c * 7) % 13, 0.05 + c / 20) for c in range(20)] + [(c, c % 5, 0.8) for c in range(9)] + [(3, None, 0.9), (None, 1, 0.9)], "cv_id int, skill_uri int, confidence double")
+    cand = cand.groupBy("cv_id", "skill_uri").agg(F.max("confidence").alias("confidence"))
+    long = scoring.exact_matches(pairs, req, cand, 0.3)
+    placed = scoring.placed_requirements(req)
+    hits = scoring.exact_hits(pairs, placed, cand.union(cand.limit(3)), 0.3)
+    rows = lambda df, *more: sorted((tuple(cell(v) for v in r) for r in df.select("cv_id", "jd_id", *more).collect()), key=str)
+    score = ["overall_score", "required_total", "nice_total", "required_matched", "nice_matched", "required_coverage", "nice_to_have_coverage"]
+    assert rows(scoring.overall_of_hits(hits), *score) == rows(scoring.overall(long), *score)
+    assert rows(scoring.explained_of_hits(hits, placed), "explanation") == rows(scoring.explained(long), "explanation")
+    met = long.filter("match_score is not null").count()
+    assert 0 < hits.count() <= met + 81 < long.count() / 2

@@ -29,8 +29,9 @@ def _matches(text: Column, pattern: str) -> Column:
 
 
 def _with_places(rows: DataFrame, by: list[str], parts: str = "parts") -> DataFrame:
-    """(by..., start, end, value) of every match in ``parts``."""
-    each = rows.select(*by, F.posexplode(parts).alias("k", "part")).select(*by, "k", F.length("part.gap").alias("gap"), F.col("part.value").alias("value"))
+    """(by..., start, end, value) of every match in ``parts``.  The outer form, as Spark would else
+    look for matches once more, in a filter before the rows are dealt."""
+    each = rows.select(*by, F.posexplode_outer(parts).alias("k", "part")).filter("k is not null").select(*by, "k", F.length("part.gap").alias("gap"), F.col("part.value").alias("value"))
     w = Window.partitionBy(*by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("value")).over(w)
     return each.select(*by, (end - F.length("value")).cast("int").alias("start"), end.cast("int").alias("end"), "value")
@@ -104,10 +105,12 @@ def slash_segmented(documents: DataFrame, surfaces: DataFrame) -> DataFrame:
 
     ``slashes`` holds the places of these slashes in the old text, so that
     ``original_place`` maps a place of the new text back.  Distinct runs are looked up, not
-    documents; a null text stays null.
+    documents; a null text stays null.  Documents are dealt by their id first, as a small
+    file would else be one task, and every later step keeps to that.
     """
-    rows = documents.select("doc_id", "text").filter(F.contains("text", F.lit("/")))
-    runs = _with_places(rows.select("doc_id", _matches(F.col("text"), SLASHED).alias("parts")), ["doc_id"])
+    documents = documents.select("doc_id", "text").repartition("doc_id")
+    slashed = F.when(F.contains("text", F.lit("/")), F.col("text"))
+    runs = _with_places(documents.select("doc_id", _matches(slashed, SLASHED).alias("parts")), ["doc_id"])
     known = surfaces.select(F.lower(F.trim("surface")).alias("part")).filter("part <> ''").distinct().withColumn("known", F.lit(True))
     parts = runs.select("value").distinct().select("value", F.explode(F.split("value", "/")).alias("part")).withColumn("part", F.lower("part"))
     whole = parts.join(known, "part", "left").groupBy("value").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("all")).filter("all").select("value")
@@ -115,7 +118,7 @@ def slash_segmented(documents: DataFrame, surfaces: DataFrame) -> DataFrame:
     ends = F.transform(sizes, lambda n, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) + i)
     inner = runs.join(whole, "value").select("doc_id", F.explode(F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + F.col("start"))).alias("slash"))
     lists = inner.groupBy("doc_id").agg(F.array_sort(F.collect_list("slash")).alias("slashes"))
-    both = documents.select("doc_id", "text").join(lists, "doc_id", "left")
+    both = documents.join(lists, "doc_id", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, p: F.struct((p + 1).alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, p - a["at"]), F.lit(" / ")).alias("out"))
     new = F.aggregate("slashes", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))

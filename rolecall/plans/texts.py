@@ -86,8 +86,8 @@ def slash_segmentation(spark, d):
     docs = part.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
     surfaces = part.select(F.col("p_type").alias("surface")).union(part.select(first)).union(part.filter("p_size > 25").select("p_brand"))
     new = sections.slash_segmented(docs, surfaces)
-    both = new.join(docs.withColumnRenamed("text", "old"), "doc_id")
-    back = F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda y: F.substring(F.col("old"), sections.original_place(y, F.col("slashes")) + 1, F.lit(1)))
+    both = new.join(docs.repartition("doc_id").select("doc_id", F.split("text", "").alias("old")).hint("merge"), "doc_id")
+    back = F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda y: F.coalesce(F.get("old", sections.original_place(y, F.col("slashes"))), F.lit("")))
     chars = F.split("text", "")
     same = F.forall(F.arrays_zip(chars.alias("a"), back.alias("b")), lambda p: (p["a"] == p["b"]) | ((p["a"] == " ") & (p["b"] == "/")))
     return both.select("doc_id", "text", same.alias("maps_back"))

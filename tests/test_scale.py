@@ -5,7 +5,7 @@ import json
 import duckdb
 from pyspark.sql import functions as F
 
-from rolecall.operators import linking, scoring, tuning
+from rolecall.operators import linking, scoring, sections, tuning
 from rolecall.plans import queries as plans
 from rolecall.sources import reports, taxonomy
 
@@ -121,3 +121,17 @@ def test_only_what_is_met_goes_on(spark):
     assert rows(scoring.explained_of_hits(hits, placed), "explanation") == rows(scoring.explained(long), "explanation")
     met = long.filter("match_score is not null").count()
     assert 0 < hits.count() <= met + 81 < long.count() / 2
+
+
+def test_slashes_of_a_small_file_are_many_tasks(spark, tmp_path):
+    # one task read and searched a small file; the search stands after the exchange, and once
+    docs = spark.createDataFrame([(i, f"/x C/C++ {i}/C" if i % 3 else None) for i in range(500)], "doc_id int, text string").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/docs")
+    names = spark.createDataFrame([("C",), ("c++",)], "surface string")
+    new = sections.slash_segmented(spark.read.parquet(f"{tmp_path}/docs"), names)
+    assert {r.doc_id: r.text for r in new.collect()} == {i: f"/x C / C++ {i}/C" if i % 3 else None for i in range(500)}
+    plan = new._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    found = [i for i, line in enumerate(plan) if "regexp_extract_all" in line]
+    dealt = [i for i, line in enumerate(plan) if "RepartitionByExpression" in line]
+    assert found and not any("Filter" in plan[i] for i in found)
+    assert all(any(i < d for d in dealt) for i in found)

@@ -22,9 +22,12 @@ def exact_contamination(documents: DataFrame, held_out: DataFrame) -> DataFrame:
 
 
 def _hashed(rows: DataFrame, key: str, size: str, n: int) -> DataFrame:
-    """(key, size, x, y): two hashes of each distinct shingle, with how many there are."""
+    """(key, size, x, y): two hashes of each distinct shingle, with how many there are.
+
+    The outer form, as Spark would else make all shingles once more, in a filter on their number.
+    """
     s = rows.select(key, text.lower_words(F.col("text")).alias("w")).select(key, text.shingles(F.col("w"), n).alias("s"))
-    return s.select(key, F.size("s").alias(size), F.explode("s").alias("s")).select(key, size, F.xxhash64("s").alias("x"), F.xxhash64(F.lit(1), "s").alias("y"))
+    return s.select(key, F.size("s").alias(size), F.explode_outer("s").alias("s")).filter("s is not null").select(key, size, F.xxhash64("s").alias("x"), F.xxhash64(F.lit(1), "s").alias("y"))
 
 
 def best_overlap(documents: DataFrame, held_out: DataFrame, n: int = C.NGRAM) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 import duckdb
 from pyspark.sql import functions as F
 
-from rolecall.operators import linking, scoring, sections, tuning
+from rolecall.operators import linking, preparation, scoring, sections, tuning
 from rolecall.plans import queries as plans
 from rolecall.sources import reports, taxonomy
 
@@ -135,3 +135,14 @@ def test_slashes_of_a_small_file_are_many_tasks(spark, tmp_path):
     dealt = [i for i, line in enumerate(plan) if "RepartitionByExpression" in line]
     assert found and not any("Filter" in plan[i] for i in found)
     assert all(any(i < d for d in dealt) for i in found)
+
+
+def test_shingles_are_made_once(spark, tmp_path):
+    # a filter inferred from the explode made the shingles of every text a second time
+    spark.createDataFrame([(1, "a b c d e f g"), (2, "a b"), (3, ""), (4, None), (5, "x a b c d e")], "doc_id int, text string").write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame([(8, "b c d e f g"), (9, "A  b"), (7, None)], "item_id int, text string").write.parquet(f"{tmp_path}/h")
+    best = preparation.best_overlap(spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/h"))
+    assert {tuple(r) for r in best.collect()} == {(1, 8, 2 / 3), (2, 9, 1.0)}
+    plan = best._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert any("array_distinct" in line for line in plan)
+    assert not any("array_distinct" in line for line in plan if "Filter" in line)
